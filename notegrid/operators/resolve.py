@@ -177,31 +177,6 @@ def exact_lookup(queries: DataFrame, notes: DataFrame, aliases: DataFrame) -> Da
         F.coalesce(F.col("b.n") > 1, F.lit(False)).alias("ambiguous"))
 
 
-def suggest(values: DataFrame, options: DataFrame, value: str, keys: list[str],
-            style: str = "option") -> DataFrame:
-    """Best declared option (or field name) for a rejected value.
-
-    ``options`` holds ``keys``, ``option`` and ``ordinal`` and comes from the schema, so it is
-    broadcast. Tiers for options: equal ignoring case, prefix, containment, edits up to 40 % of
-    the longer text. For keys: equal ignoring case, then edits up to min(2, 40 %).
-    """
-    distinct = values.select(*keys, value).distinct()
-    v, o = F.lower(value), F.lower("option")
-    distance = F.levenshtein(v, o)
-    if style == "option":
-        limit = F.ceil(F.greatest(F.length(value), F.length("option")) * 0.4)
-        rank = F.when(v == o, 0).when(F.startswith(o, v), 1) \
-            .when(F.contains(o, v) | F.contains(v, o), 2).when(distance <= limit, 3)
-    else:
-        limit = F.least(F.lit(2), F.ceil(F.length("option") * 0.4))
-        rank = F.when(v == o, 0).when(distance <= limit, 3)
-    pairs = distinct.join(F.broadcast(options), keys)
-    scored = pairs.withColumn("rank", rank).filter(F.col("rank").isNotNull())
-    tie = F.struct("rank", F.when(F.col("rank") == 3, distance).otherwise(0), "ordinal")
-    best = scored.groupBy(*keys, value).agg(F.min_by("option", tie).alias("suggestion"))
-    return distinct.join(best, [*keys, value], "left")
-
-
 def backlinks(resolved: DataFrame) -> DataFrame:
     """Reference counts per note: total, distinct sources, by relation field."""
     hit = resolved.filter(F.col("resolved_path").isNotNull())

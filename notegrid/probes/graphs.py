@@ -163,33 +163,6 @@ def _(t):
     return R.exact_lookup(t.part.select(q.alias("query")), t.index_rows, t.aliases)
 
 
-@probe("suggest_option", """
-    WITH v AS (SELECT DISTINCT CASE o_orderkey%6 WHEN 0 THEN lower(c) WHEN 1 THEN left(c,3) WHEN 2
-        THEN c||'S' WHEN 3 THEN substr(c,1,3)||'X'||substr(c,5) WHEN 4 THEN 'zzzz' ELSE substr(c,4,4) END AS value
-      FROM orders, (SELECT ['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'] AS o),
-        LATERAL (SELECT o[(o_orderkey%5+1)::INT] AS c)),
-    opt AS (SELECT unnest(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY']) AS option,
-      unnest([0,1,2,3,4]) AS ordinal),
-    s AS (SELECT value, option, ordinal, lower(value) AS v, lower(option) AS o FROM v, opt),
-    r AS (SELECT *, levenshtein(v,o) AS d, CASE WHEN v=o THEN 0 WHEN starts_with(o,v) THEN 1
-      WHEN contains(o,v) OR contains(v,o) THEN 2
-      WHEN levenshtein(v,o) <= ceil(greatest(length(value),length(option))*0.4) THEN 3 END AS rank FROM s)
-    SELECT v.value, (SELECT option FROM r WHERE r.value=v.value AND rank IS NOT NULL
-      ORDER BY rank, CASE WHEN rank=3 THEN d ELSE 0 END, ordinal LIMIT 1) AS suggestion FROM v""")
-def _(t):
-    words = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    k = F.col("o_orderkey")
-    c = F.element_at(F.array(*map(F.lit, words)), (k % 5 + 1).cast("int"))
-    value = F.when(k % 6 == 0, F.lower(c)).when(k % 6 == 1, F.substring(c, 1, 3)) \
-        .when(k % 6 == 2, F.concat(c, F.lit("S"))) \
-        .when(k % 6 == 3, F.concat(F.substring(c, 1, 3), F.lit("X"), F.substring(c, 5, 20))) \
-        .when(k % 6 == 4, "zzzz").otherwise(F.substring(c, 4, 4))
-    values = t.read("orders").select(value.alias("value"), F.lit("segment").alias("field"))
-    options = t.spark.createDataFrame([("segment", w, i) for i, w in enumerate(words)],
-                                      "field string, option string, ordinal int")
-    return R.suggest(values, options, "value", ["field"]).select("value", "suggestion")
-
-
 @probe("backlinks", twin("index_n", body="""
     SELECT p_src AS path, 'parts' AS field, count(*) AS n_links, count(DISTINCT src_path) AS n_sources
     FROM asked JOIN idx ON key=lower(target) WHERE n_src=1 GROUP BY 1 UNION ALL
