@@ -201,3 +201,54 @@ class Tables:
                                       F.col("parent").alias("raw"))
                  for n in ("nation", "customer", "supplier", "order")]
         return reduce(DataFrame.unionAll, parts)
+
+    # -- notes with defects ------------------------------------------------
+    @cached_property
+    def drifted(self) -> DataFrame:
+        """Orders as notes with dynamic headers and, by key arithmetic, every kind of defect."""
+        k = F.col("o_orderkey")
+        hit = lambda n, r: k % n == r
+        status = F.when(hit(7, 0), quoted(F.lower("o_orderstatus"))).when(hit(11, 1), '"X"') \
+            .when(hit(13, 2), F.lit(None)).when(hit(17, 3), '""') \
+            .otherwise(quoted(F.col("o_orderstatus")))
+        total = F.when(hit(19, 4), quoted(k.cast("string"))) \
+            .when(hit(23, 5), quoted(F.concat(F.lit("about "), k))) \
+            .when(hit(29, 6), F.concat(F.lit("["), k, F.lit("]"))) \
+            .otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+        ordered = F.when(hit(31, 7), quoted(F.date_format("o_orderdate", "yyyy/M/d"))) \
+            .when(hit(37, 8), '"soon"').when(hit(41, 9), F.date_format("o_orderdate", "yyyy")) \
+            .otherwise(quoted(F.date_format("o_orderdate", "yyyy-MM-dd")))
+        priority = F.when(hit(43, 10), F.lit(None)).when(hit(53, 12), '""') \
+            .otherwise(quoted(F.col("o_orderpriority")))
+        cased = F.when(hit(43, 10) | hit(47, 11), quoted(F.col("o_orderpriority")))
+        rush = F.when(hit(3, 0), F.lit(None)).when(hit(59, 13), '"True"').when(hit(61, 14), "1") \
+            .otherwise(F.when(k % 2 == 0, "true").otherwise("false"))
+        tags = F.when(hit(67, 15), '["a","a"]').when(hit(71, 16), '["a",null," "]') \
+            .when(hit(73, 17), '"solo"').when(hit(79, 18), '[1,"b"]') \
+            .when(hit(83, 19), '[["x","y"]]')
+        parent = F.when(hit(103, 23), quoted(F.concat(F.lit("[[Customer "), k, F.lit("]")))) \
+            .when(hit(107, 24), quoted(F.concat(F.lit("Customer "), k))) \
+            .otherwise(quoted(wiki(self.customer_name(F.col("o_custkey")))))
+        type_name = F.when(hit(109, 25), "ordr").when(hit(113, 26), F.lit(None)).otherwise("order")
+        fm = header(type=quoted(type_name), status=status, total=total, ordered=ordered,
+                    priority=priority, Priority=cased, rush=rush, tags=tags,
+                    tag=F.when(hit(89, 20), '"q"'), totl=F.when(hit(97, 21), "5"),
+                    overdue=F.when(hit(101, 22), "true"), parent=parent)
+        name = F.concat(F.when(hit(137, 29), "Order: ").otherwise("Order "), k)
+        folder = F.when(hit(131, 28), "Misc").otherwise(self.order_folder())
+        none = hit(127, 27)
+        return self.read("orders").select(
+            F.concat(folder, F.lit("/"), name).alias("path"), name.alias("name"),
+            folder.alias("folder"), F.when(~none, type_name).alias("type"),
+            F.when(~hit(131, 28), "order").alias("directory_type"),
+            F.when(~none, F.parse_json(fm)).alias("fm"), k.alias("k"))
+
+
+def quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def header(**fragments: Column) -> Column:
+    """JSON text of a header; null fragments are keys the note does not have."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[
+        F.concat(F.lit(f'"{key}":'), c) for key, c in fragments.items()]), F.lit("}"))
