@@ -202,6 +202,24 @@ class Tables:
                  for n in ("nation", "customer", "supplier", "order")]
         return reduce(DataFrame.unionAll, parts)
 
+    @cached_property
+    def written(self) -> DataFrame:
+        """Documents with a tail of links, code, sections and names, all by key arithmetic."""
+        k = F.col("doc_id").cast("string")
+        m = lambda n: (F.col("doc_id") % n).cast("string")
+        tail = F.concat(
+            F.lit("\nAsk Part "), m(2500), F.lit(" near NATION_"), m(30), F.lit(" with "),
+            F.when(F.col("doc_id") % 2 == 0, "red widget").otherwise("Blue Bolt"), F.lit(" for Doc "),
+            (F.col("doc_id") + 1).cast("string"), F.lit(" by Doc "), k, F.lit(" hand.\nNATION_"), m(25),
+            F.lit(" again; `Part 1` [[Part 2]] [x](Part 3.md) https://a.b/Part 4 and Part "), m(2000),
+            F.lit("7x.\n```\nPart 5 [[Nowhere]]\n```\n## Notes\n- [ ] call NATION_3\n- [x] done "), k,
+            F.lit("\n### Links\n[[]] [[Part "), m(2500), F.lit("|it]] [[NATOIN_"), m(25),
+            F.lit("]] [f](../src1/Doc%20"), k, F.lit(".md) ![p](pic.png) [u](http://x.y) [[open"))
+        return self._note(self.read("documents").withColumn("body", F.concat("text", tail)),
+                          "document", F.concat(F.lit("Docs/"), F.col("source")),
+                          F.concat(F.lit("Doc "), F.col("doc_id")), k=F.col("doc_id"),
+                          body=F.col("body"))
+
     # -- notes with defects ------------------------------------------------
     @cached_property
     def drifted(self) -> DataFrame:
