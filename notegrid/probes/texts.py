@@ -231,11 +231,11 @@ def _(t):
 
 @probe("mentions_fuzzy", twin("nation_n", body="""
     SELECT path, line, phrase, name, distance, row_number() OVER (PARTITION BY path ORDER BY distance, name)::INT AS rank FROM
-      (SELECT path, n0+1 AS line, 'NATIUN_'||k%25 AS phrase, name, levenshtein('natiun_'||k%25, lower(name))::INT AS distance FROM w
-       JOIN nation_n ON levenshtein('natiun_'||k%25, lower(name)) BETWEEN 1 AND 2) QUALIFY rank <= 3""",
+      (SELECT w.path, n0+1 AS line, 'NATIUN_'||w.k%25 AS phrase, name, levenshtein('natiun_'||w.k%25, lower(name))::INT AS distance FROM w
+       JOIN nation_n ON levenshtein('natiun_'||w.k%25, lower(name)) BETWEEN 1 AND 2) QUALIFY rank <= 3""",
     w="SELECT 'Docs/'||source||'/Doc '||doc_id AS path, doc_id AS k, " + N0 + "::INT AS n0 FROM documents"))
 def _(t):
-    known = M.surfaces(t.frames("region", "nation", "supplier"))
+    known = M.surfaces(t.frames("nation", "supplier"))
     notes = t.document.select("path", F.concat("body", F.lit("\nWe met NATIUN_"), F.col("k") % 25,
                                                F.lit(" today.")).alias("body"))
     return M.mentions_fuzzy(notes, known)
