@@ -183,11 +183,9 @@ def _(t):
 
 
 @probe("sort_calendar", twin("order_n", body="""
-    SELECT name, linear, row_number() OVER (ORDER BY linear, name) AS pos FROM
-      (SELECT 'Order '||k AS name, round(day_no*20 + hour + minute/60.0, 4)::DOUBLE AS linear FROM w) ORDER BY linear, name LIMIT 300""", **CAL))
+    SELECT path, round(day_no*20 + hour + minute/60.0, 4)::DOUBLE AS linear FROM w ORDER BY linear""", **CAL))
 def _(t):
     p = C.calendar_parse(F.col("text"), "moon", CALENDAR)
-    dated = _calendar_text(t).select("name", p["calendar"].alias("calendar"),
+    dated = _calendar_text(t).select("path", "name", p["calendar"].alias("calendar"),
                                      F.round(p["linear"], 4).alias("linear"))
-    page = O.sort_calendar(dated, "calendar", "linear").limit(300)
-    return page.select("name", "linear", (F.regexp_extract("name", r"(\d+)", 1).cast("bigint") + 1).alias("pos"))
+    return O.sort_calendar(dated, "calendar", "linear").select("path", "linear")

@@ -71,54 +71,56 @@ def _(t):
     return X.fix_stale_link(stale, close)
 
 
-# ---- ownership: an order owns its parts; every part is claimed by the orders that name it
+# ---- ownership: customers own their orders; every ninth order is claimed by a second customer
 
-OWN_SCHEMA = {**SCHEMA, "types": {**SCHEMA["types"], "order": {
-    **SCHEMA["types"]["order"], "fields": {**SCHEMA["types"]["order"]["fields"], "parts": {
-        "kind": "relation", "source": ["part"], "multiple": True, "owned": True}}}}}
-OWN = {"claims": """SELECT DISTINCT o.path AS owner_path, p.path AS path, p.k FROM lineitem JOIN order_n o ON o.k=l_orderkey JOIN part_n p ON p.k=l_partkey
-    WHERE l_orderkey%40=0"""}
+OWN_SCHEMA = {**SCHEMA, "types": {**SCHEMA["types"], "customer": {
+    **SCHEMA["types"]["customer"], "fields": {**SCHEMA["types"]["customer"]["fields"], "orders": {
+        "kind": "relation", "source": ["order"], "multiple": True, "owned": True}}}}}
+OWN = {"claims": """SELECT c.path AS owner_path, o.path AS path, o.k FROM order_n o JOIN customer_n c ON c.k=o.o_custkey UNION
+    SELECT c.path, o.path, o.k FROM order_n o JOIN customer_n c ON c.k=o.o_custkey+1 WHERE o.k%9=0"""}
 
 
 def _owned(t):
-    lines = t.read("lineitem").filter("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey").distinct()
-    parts = t.part.select(F.col("k").alias("l_partkey"), F.col("path").alias("resolved_path"), "name")
-    orders = t.order.select(F.col("k").alias("l_orderkey"), F.col("path").alias("src_path"))
-    return lines.join(parts, "l_partkey").join(orders, "l_orderkey").select(
-        "src_path", F.lit("order").alias("src_type"), F.lit("parts").alias("field"),
+    mine = F.regexp_extract("parent", r"(\d+)", 1).cast("bigint")
+    claims = t.order.select(F.col("path").alias("resolved_path"), "name", F.explode(F.when(
+        F.col("k") % 9 == 0, F.array(mine, mine + 1)).otherwise(F.array(mine))).alias("c"))
+    owners = t.customer.select(F.col("path").alias("src_path"), F.col("k").alias("c"))
+    return claims.join(owners, "c").select(
+        "src_path", F.lit("customer").alias("src_type"), F.lit("orders").alias("field"),
         wiki(F.col("name")).alias("raw"), "resolved_path")
 
 
 def _owners(t):
-    return R.owner_index(t.frames("order", "part"), _owned(t), compile_types(OWN_SCHEMA))
+    return R.owner_index(t.frames("order", "customer"), _owned(t), compile_types(OWN_SCHEMA))
 
 
-@probe("owner_index", twin("order_n", "part_n", body="SELECT path, owner_path, 'parts' AS field, true AS declared, false AS located FROM claims", **OWN))
+@probe("owner_index", twin("order_n", "customer_n", body="SELECT path, owner_path, 'orders' AS field, true AS declared, false AS located FROM claims", **OWN))
 def _(t):
     return _owners(t)
 
 
-@probe("rule_owned_ambiguous_owner", twin("order_n", "part_n", body="""
+@probe("rule_owned_ambiguous_owner", twin("order_n", "customer_n", body="""
     SELECT path, count(*) AS n_owners FROM claims GROUP BY 1 HAVING count(*) > 1""", **OWN))
 def _(t):
     return R.owner_counts(_owners(t)).filter("n_owners > 1").select("path", "n_owners")
 
 
-@probe("rule_owned_wrong_location", twin("order_n", "part_n", body="""
-    SELECT path, min(owner_path) AS owner_path, regexp_replace(min(owner_path),'/[^/]*$','')||'/parts' AS expected FROM claims GROUP BY 1 HAVING count(*) = 1""", **OWN))
+@probe("rule_owned_wrong_location", twin("order_n", "customer_n", body="""
+    SELECT path, min(owner_path) AS owner_path, regexp_replace(min(owner_path),'/[^/]*$','')||'/orders' AS expected FROM claims GROUP BY 1 HAVING count(*) = 1""", **OWN))
 def _(t):
     single = R.owner_counts(_owners(t)).filter("n_owners = 1")
-    expected = F.concat(F.regexp_replace("owner_path", r"/[^/]*$", ""), F.lit("/parts"))
-    return single.join(t.part.select("path", "folder"), "path").withColumn("expected", expected) \
+    expected = F.concat(F.regexp_replace("owner_path", r"/[^/]*$", ""), F.lit("/orders"))
+    return single.join(t.order.select("path", "folder"), "path").withColumn("expected", expected) \
         .filter("folder <> expected").select("path", "owner_path", "expected")
 
 
-@probe("rule_owned_note_referenced", twin("order_n", "part_n", body="""
-    SELECT DISTINCT o.path AS src_path, p.path AS path FROM lineitem JOIN order_n o ON o.k=l_orderkey JOIN part_n p ON p.k=l_partkey
-    WHERE p.path IN (SELECT path FROM claims) AND (o.path, p.path) NOT IN (SELECT owner_path, path FROM claims)""", **OWN))
+@probe("rule_owned_note_referenced", twin("order_n", "customer_n", body="""
+    SELECT a.path AS src_path, b.path AS path FROM order_n a JOIN order_n b ON b.k=a.k-1 WHERE b.path IN (SELECT path FROM claims)""", **OWN))
 def _(t):
-    lines = t.part_links
-    resolved = R.resolve_links(lines, _index(t), t.schema)
+    before = F.concat(F.lit("Order "), (F.col("k") - 1).cast("string"))
+    links = t.order.select(F.col("path").alias("src_path"), F.lit("order").alias("src_type"),
+                           F.lit("prev").alias("field"), wiki(before).alias("raw"))
+    resolved = R.resolve_links(links, _index(t), t.schema)
     return R.may_reference(resolved, _owners(t)).select("src_path", F.col("resolved_path").alias("path"))
 
 

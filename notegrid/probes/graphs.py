@@ -323,17 +323,18 @@ def _(t):
     return H.closure(_ring_edges(t).filter("child LIKE 'Places/%'"))
 
 
-@probe("would_cycle", """
-    WITH p AS (SELECT 'Places/'||r_name AS child, 'Places/'||n_name AS parent, n_regionkey=r_regionkey AS closes
-      FROM region JOIN nation ON (n_nationkey + r_regionkey) % 3 = 0 UNION ALL
-      SELECT 'Places/'||n_name, 'Places/'||n_name, true FROM nation WHERE n_nationkey%6=0)
-    SELECT child, parent FROM p WHERE closes""")
+@probe("would_cycle", twin("customer_n", body="""
+    SELECT 'Places/NATION_'||((n_nationkey + k%3)%25) AS child, path AS parent FROM customer_n WHERE k%3=0 UNION ALL
+    SELECT path, path FROM customer_n WHERE k%5=0"""))
 def _(t):
-    regions = t.read("region").select(F.concat(F.lit("Places/"), "r_name").alias("child"), "r_regionkey")
-    nations = t.read("nation").select(F.concat(F.lit("Places/"), "n_name").alias("parent"), "n_nationkey")
-    crossed = regions.join(nations, (F.col("n_nationkey") + F.col("r_regionkey")) % 3 == 0)
-    own = nations.filter("n_nationkey % 6 = 0").select(F.col("parent").alias("child"), "parent")
-    return H.would_cycle(_place_edges(t), crossed.select("child", "parent").union(own))
+    # Proposals to hang a place below a customer; it closes a ring where the place is above it.
+    rows = t.read("customer").select(
+        F.concat(F.lit("Parties/"), "c_mktsegment", F.lit("/"), F.regexp_replace("c_name", "#", " ")).alias("path"),
+        F.col("c_custkey").alias("k"), "c_nationkey")
+    place = F.concat(F.lit("Places/NATION_"), (F.col("c_nationkey") + F.col("k") % 3) % 25)
+    asked = rows.select(place.alias("child"), F.col("path").alias("parent")).union(
+        rows.filter("k % 5 = 0").select("path", "path"))
+    return H.would_cycle(_place_edges(t), asked)
 
 
 # Fork lineage: document k was forked from document k/3; every 13th repeats another id, every
@@ -405,10 +406,10 @@ def _(t):
 
 @probe("fork_delete_guard", twin("document_n", body="""
     SELECT c.path, count(x.path) AS n_children, CASE WHEN max(s.n)>1 THEN 'duplicate-id' WHEN count(x.path)>0 THEN 'has-children' END AS block
-    FROM (SELECT * FROM f WHERE k%4=1) c LEFT JOIN (SELECT path, forked_from FROM f WHERE k%4<>1) x ON x.forked_from=c.id
+    FROM (SELECT * FROM f WHERE path IN (SELECT path FROM document_n WHERE lang='en')) c LEFT JOIN (SELECT path, forked_from FROM f WHERE path NOT IN (SELECT path FROM document_n WHERE lang='en')) x ON x.forked_from=c.id
       LEFT JOIN (SELECT id, count(*) AS n FROM f GROUP BY 1) s ON s.id=c.id GROUP BY 1""", **FORKS))
 def _(t):
-    return G.fork_delete_guard(_forked(t), _forked(t).filter("k % 4 = 1"))
+    return G.fork_delete_guard(_forked(t), t.document.filter("lang = 'en'").select("path"))
 
 
 @probe("adoption_check", twin("document_n", body="""

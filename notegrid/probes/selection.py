@@ -134,18 +134,14 @@ def _(t):
         {"status": ["F"], "priority": ["5-LOW", "3-MEDIUM"]})).select("path")
 
 
-@probe("sort_rows", twin("part_n", body="""
-    SELECT name, kind, row_number() OVER (ORDER BY k) AS pos FROM part_n ORDER BY k LIMIT 250"""))
+@probe("sort_rows", twin("part_n", body="SELECT name, kind FROM part_n ORDER BY k"))
 def _(t):
-    # Natural order of the names, cut to the first page; the position shows the order.
-    top = O.limit_rows(t.part.select("name", "kind"), 250, "name")
-    return top.withColumn("pos", (F.regexp_extract("name", r"(\d+)", 1).cast("bigint") + 1))
+    return O.sort_rows(t.part.select("name", "kind"), "name")
 
 
-@probe("sort_missing_last", twin("document_n", body="""
-    SELECT name, quality FROM document_n ORDER BY quality IS NULL, quality DESC, name LIMIT 150"""))
+@probe("sort_missing_last", twin("document_n", body="SELECT name, quality FROM document_n ORDER BY quality IS NULL, quality DESC, name"))
 def _(t):
-    return O.limit_rows(t.document.select("name", "quality"), 150, "quality", desc=True)
+    return O.sort_rows(t.document.select("name", "quality"), "quality", desc=True)
 
 
 @probe("sort_default", twin("supplier_n", body="SELECT name FROM supplier_n ORDER BY name"))
