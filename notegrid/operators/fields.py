@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.session import spread
 from notegrid.types import TypeSchema
 
 # Fixed value: text that reads as a date, with or without month, day and time.
@@ -50,7 +51,7 @@ def classified(fields: DataFrame) -> DataFrame:
 
 def field_facts(notes: DataFrame) -> DataFrame:
     """Per field: notes using it, its share of notes with a header, counts per shape, mixed."""
-    shapes = classified(explode_fields(notes)).groupBy("key", "value_shape").agg(
+    shapes = classified(explode_fields(spread(notes))).groupBy("key", "value_shape").agg(
         F.count(F.lit(1)).alias("n"))
     headed = notes.filter(F.size(F.map_keys(F.col("fm").try_cast("map<string,variant>"))) > 0) \
         .agg(F.count(F.lit(1)).alias("headed"))
@@ -76,7 +77,7 @@ def baseline_shapes(shapes: DataFrame) -> DataFrame:
 
 def diverging_rows(notes: DataFrame) -> DataFrame:
     """Notes whose shape differs from the most common one of the field."""
-    shapes = classified(explode_fields(notes))
+    shapes = classified(explode_fields(spread(notes)))
     # One row per distinct key; the optimizer broadcasts it only while it is small.
     base = baseline_shapes(shapes)
     return shapes.filter("value_shape <> 'empty'").join(base, "key").filter(
@@ -102,7 +103,7 @@ def option_drift(notes: DataFrame, schema: TypeSchema) -> DataFrame:
                 options.setdefault(name, set()).update(d["options"])
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         [(k, sorted(v)) for k, v in options.items()], "key string, options array<string>"))
-    rows = explode_fields(notes).join(dim, "key")
+    rows = explode_fields(spread(notes)).join(dim, "key")
     texts = F.when(F.col("shape") == "list", F.transform(
         "items", lambda i: F.trim(i.try_cast("string")))).otherwise(F.array(F.trim("s")))
     values = rows.select("path", "key", "options", F.explode(F.array_distinct(

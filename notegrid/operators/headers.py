@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.session import spread
+
 HELD = "map<string,variant>"
 CHANGE = ("struct<seq int, operation string, field string, old string, new string, "
           "new_field string>")
@@ -71,7 +73,7 @@ def fold(notes: DataFrame, steps) -> DataFrame:
     state = F.struct(held(F.col("fm")).alias("h"), F.array().cast(f"array<{CHANGE}>").alias("done"))
     for seq, step in enumerate(steps):
         state = let(state, run(step, seq))
-    df = notes.withColumn("state", state)
+    df = spread(notes).withColumn("state", state)
     return df.withColumn("h", F.col("state.h")).withColumn("done", F.col("state.done")).drop("state")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegrid.operators.search import prose_mask
+from notegrid.session import broadcast_if_small, settle, spread
 
 # Shortest name looked for; damping thresholds; near-miss limits; term limits.
 MIN_SURFACE = 3
@@ -139,7 +140,7 @@ def surface_index(known: DataFrame) -> DataFrame:
 
 def _ngrams(notes: DataFrame, lengths: list[int]) -> DataFrame:
     """(path, start, end, line, cold, text, key) for each run of as many words as some name."""
-    rows = notes.select("path", tokenizer()(F.col("body"), prose_mask(F.col("body"))).alias("tokens"))
+    rows = spread(notes).select("path", tokenizer()(F.col("body"), prose_mask(F.col("body"))).alias("tokens"))
 
     def run(i: Column, n: int) -> Column:
         words = F.slice("tokens", i, F.lit(n))
@@ -180,10 +181,11 @@ def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
     (path, line, start, end, text, tier, canonical, kind, n_targets). Longest name first, left to
     right, word-bounded, never the note itself.
     """
-    index = surface_index(known).withColumn("core_key", F.lower(_core(F.col("key")))) \
+    known = settle(known)
+    index = settle(surface_index(known)).withColumn("core_key", F.lower(_core(F.col("key")))) \
         .withColumn("lead", F.expr("substring(key, 1, instr(key, core_key) - 1)")) \
         .withColumn("tail", F.expr("substring(key, instr(key, core_key) + length(core_key))"))
-    keys = index.select("core_key", "key", "lead", "tail").distinct()
+    keys = broadcast_if_small(index.select("core_key", "key", "lead", "tail").distinct())
     grams = _ngrams(notes, _lengths(known))
     lead_n, tail_n = F.length("lead"), F.length("tail")
     before, after = F.coalesce("before", F.lit("")), F.col("after")
@@ -262,7 +264,7 @@ def word_forms(notes: DataFrame) -> DataFrame:
 
     linked = F.flatten(F.transform(inner, lambda x: F.regexp_extract_all(
         link_text(F.trim(x)), F.lit(f"({WORD})"), F.lit(1))))
-    words = notes.select("path", F.explode(F.concat(prose, linked)).alias("form"))
+    words = spread(notes).select("path", F.explode(F.concat(prose, linked)).alias("form"))
     return words.groupBy(F.lower("form").alias("word"), "form", "path").agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -312,7 +314,7 @@ def frequent_terms(notes: DataFrame, known: DataFrame, mentions_min: int = TERM_
     flat = F.regexp_replace(prose_mask(F.col("body")), r"[ \t]+", " ")
     marked = F.regexp_replace(flat, r"(?:\A|(?<=[\n.!?])) ?(?=[\p{Lu}\p{Lt}])", "\u0001")
     runs = F.regexp_extract_all(marked, F.lit(f"(\u0001?{capital}(?: {capital}){{0,2}})"), F.lit(1))
-    rows = notes.select("path", F.explode(runs).alias("run"))
+    rows = spread(notes).select("path", F.explode(runs).alias("run"))
     clean = F.regexp_replace(F.regexp_replace("run", "\u0001", ""), r"['-]+$", "")
     stop = F.array(*map(F.lit, STOP_WORDS))
     words = F.split(clean, " ")
@@ -393,7 +395,7 @@ def fuzzy_phrases(notes: DataFrame, known: DataFrame, cap: int = FUZZY_CAP) -> D
     longest = known.agg(F.max(F.length("surface"))).first()[0] or 0
     reach = longest + cap
     masked = prose_mask(F.col("body"))
-    lines = notes.select("path", F.posexplode(F.split(masked, "\n")).alias("i", "text"))
+    lines = spread(notes).select("path", F.posexplode(F.split(masked, "\n")).alias("i", "text"))
     word = r"[A-Z][\w'-]*"
     runs = F.regexp_extract_all("text", F.lit(rf"((?<!\w){word}(?:\s+{word})*)"), F.lit(1))
     found = lines.select("path", (F.col("i") + 1).alias("line"), "text", F.posexplode(runs).alias("run", "full"))

@@ -21,6 +21,7 @@ from notegrid.functions import text as X
 from notegrid.functions.values import coerce_boolean, coerce_number, safe_name
 from notegrid.operators.fields import explode_fields, shape_of
 from notegrid.operators.lineage import valid_id
+from notegrid.session import spread
 from notegrid.types import TypeSchema
 
 # Keys every note may carry without declaring them.
@@ -70,7 +71,7 @@ def field_context(notes: DataFrame, schema: TypeSchema) -> DataFrame:
     spark = notes.sparkSession
     known = list(schema.parent)
     fm = F.col("fm").try_cast("map<string,variant>")
-    typed = notes.filter(F.col("type").isin(known)).withColumn("held", F.transform(
+    typed = spread(notes.filter(F.col("type").isin(known))).withColumn("held", F.transform(
         F.map_entries(fm), lambda e: F.struct(e["key"].alias("k"), blank_value(e["value"]).alias("blank"))))
     rows = explode_fields(typed, "held").filter(
         (F.col("key") != "type") & ~F.endswith("key", F.lit("-type")))
@@ -334,7 +335,7 @@ def note_context(notes: DataFrame, schema: TypeSchema) -> DataFrame:
         rows.append((t, schema.output_dir[t], required))
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         rows, "d_type string, output_dir string, required array<string>"))
-    out = notes.join(dim, F.col("type") == F.col("d_type"), "left")
+    out = spread(notes).join(dim, F.col("type") == F.col("d_type"), "left")
     return out.withColumn("typed", F.col("d_type").isNotNull()).drop("d_type").withColumn(
         "keys", F.map_keys(F.col("fm").try_cast("map<string,variant>")))
 

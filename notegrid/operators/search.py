@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegrid.functions.text import FUZZY_LIMIT, FUZZY_THRESHOLD, similarity
+from notegrid.session import spread
 
 # What counts as code, and what else is not prose.
 CODE = [r"(?m:^[ \t]*(```|~~~)[^\n]*\n[\s\S]*?^[ \t]*\1[^\n]*$)",
@@ -58,10 +59,10 @@ def search_lines(notes: DataFrame, query: str, regex: bool = False, context: int
     lines = lines_of(F.col("body"))
     found = F.filter(F.transform(lines, lambda t, i: F.struct(
         (i + 1).alias("line"), t.alias("text"))), lambda s: hit(s["text"]))
-    candidates = notes
+    candidates = spread(notes)
     if not regex and "\n" not in query:  # whole-body test first: most bodies drop out unsplit
         body = F.col("body") if case_sensitive else F.lower("body")
-        candidates = notes.filter(F.contains(body, F.lit(query if case_sensitive else query.lower())))
+        candidates = candidates.filter(F.contains(body, F.lit(query if case_sensitive else query.lower())))
     rows = candidates.select("path", lines.alias("lines"), F.explode(found).alias("m"))
     at = F.col("m.line")
     return rows.select(
@@ -114,7 +115,7 @@ def section_check(notes: DataFrame, sections: dict[str, list[tuple[int, str]]])
                               F.col("masked").rlike(heading_pattern(None, title))
                               .alias("wrong_level")))
               for t, declared in sections.items() for level, title in declared]
-    rows = notes.filter(F.col("type").isin(list(sections))).select(
+    rows = spread(notes.filter(F.col("type").isin(list(sections)))).select(
         "path", "type", prose_mask(F.col("body")).alias("masked"))
     return rows.select("path", F.explode(F.array_compact(F.array(*checks))).alias("s")) \
         .select("path", "s.level", "s.title", "s.wrong_level")
@@ -164,7 +165,7 @@ def section_append(body: Column, title: str, items: Column, kind: str = "checkbo
 # ---------------------------------------------------------------- links in bodies
 
 def _masked_lines(notes: DataFrame) -> DataFrame:
-    return notes.select("path", "folder", F.posexplode(F.split(code_mask(F.col("body")), "\n"))
+    return spread(notes).select("path", "folder", F.posexplode(F.split(code_mask(F.col("body")), "\n"))
                         .alias("i", "text")).select("path", "folder",
                                                     (F.col("i") + 1).alias("line"), "text")
 

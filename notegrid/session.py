@@ -41,3 +41,39 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder, so a lost executor costs no replay."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+# Runtime settings that matter to the wide row-local expressions here: methods the JVM would refuse
+# to compile are split instead of fused.
+RUNTIME = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+SCAN_TASK_BYTES = 128 << 20
+BROADCAST_BYTES = 32 << 20
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input too small to keep the cores busy; leave every other input alone.
+
+    Judged from the plan's size estimate alone: when scanning would give fewer than a quarter of
+    the cores a task, heavy row-local work is worth one shuffle of that little data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SCAN_TASK_BYTES * cores // 4 else df
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Settled copy of a lookup table, marked for broadcast only when its measured size allows.
+
+    The measure counts the text of all rows plus a fixed share per row; beyond the limit the join
+    stays a shuffled one.
+    """
+    from pyspark.sql import functions as F
+    table = settle(df)
+    width = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in table.columns), F.lit(16))
+    size = table.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table

@@ -12,6 +12,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notegrid.session import tune
 from notegrid.types import TypeSchema, compile_types
 
 ASOF = "2001-08-01"
@@ -72,7 +73,7 @@ class Tables:
     """Lazy frames over one folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = tune(spark), folder
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
