@@ -1,7 +1,7 @@
 """Unlinked mentions of known names, near misses and frequent unknown terms.
 
-Text meets names by equality: every body becomes word n-grams of just the lengths that names
-have, and the n-grams hash-join an index with one row per name. Work is linear in the text and
+Text meets names by equality: every body becomes word runs of just the lengths that names have,
+starting at words that names start with, and the runs hash-join an index with one row per name. Work is linear in the text and
 does not grow with the number of names. Names shared by many notes are counted in the index,
 never listed, so a popular alias costs one row.
 """
@@ -41,45 +41,67 @@ LINE_MARKER = r"^[ \t]{0,3}(?:>[ \t]*)*(?:(?:[-*+]|[0-9]{1,9}[.)])[ \t]+(?:\[[ x
 SENTENCE_END = r"""[.!?][\])}"'’”»]*[ \t\r\n]*$"""
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}_'-]*"
 
-TOKENS = "array<struct<text string, gap string, start int, line int, cold boolean>>"
+GRAMS = ("array<struct<start int, end int, line int, cold boolean, text string, before string, "
+         "after string>>")
+# Most first words, and their total length, that still travel to every task as a set.
+FIRST_WORDS, FIRST_BYTES = 200_000, 8 << 20
 
 
-def tokenizer():
-    """Arrow-batched helper: words of the masked text with offset, line, the text up to the next
-    word, and whether a capital at that place carries no signal."""
+def gram_finder(lengths: list[int], firsts=None):
+    """Arrow-batched helper: the word runs of the masked text that could be a name.
+
+    Per run: offsets, line, the text up to its neighbours, and whether a capital there carries no
+    signal. ``firsts`` is a broadcast set of the words names begin with; without it every word
+    may begin one.
+    """
     import re
     word, marker = re.compile(r"[A-Za-z0-9_']+"), re.compile(LINE_MARKER)
     ended = re.compile(SENTENCE_END)
 
-    def one(body: str, masked: str) -> list:
-        out, line, seen, line_start = [], 1, 0, 0
-        found = list(word.finditer(masked))
-        for i, m in enumerate(found):
-            breaks = masked.count("\n", seen, m.start())
-            if breaks:
-                line += breaks
-                line_start = masked.rfind("\n", 0, m.start()) + 1
-            seen = m.start()
-            cold = False
-            if m[0][0].isupper():
-                before = body[line_start:m.start()]
-                # A closing run before the word is short; look back over blanks only.
-                tail = m.start()
-                while tail > 0 and body[tail - 1] in " \t\r\n":
-                    tail -= 1
-                while tail > 0 and body[tail - 1] in "])}\"'’”»":
-                    tail -= 1
-                cold = not before.strip(" \t") or bool(marker.match(before)) or bool(
-                    ended.search(body[max(tail - 1, 0):m.start()]))
-            end = found[i + 1].start() if i + 1 < len(found) else len(masked)
-            out.append((m[0], masked[m.end():end], m.start(), line, cold))
+    def cold(body: str, line_start: int, at: int) -> bool:
+        before = body[line_start:at]
+        if not before.strip(" \t") or marker.match(before):
+            return True
+        tail = at
+        while tail > 0 and body[tail - 1] in " \t\r\n":
+            tail -= 1
+        while tail > 0 and body[tail - 1] in "])}\"'’”»":
+            tail -= 1
+        return bool(ended.search(body[max(tail - 1, 0):at]))
+
+    def one(body: str, masked: str, wanted) -> list:
+        spans = [m.span() for m in word.finditer(masked)]
+        out, line, seen = [], 1, 0
+        for i, (s, e) in enumerate(spans):
+            if wanted is not None and masked[s:e].lower() not in wanted:
+                continue
+            line += masked.count("\n", seen, s)
+            seen = s
+            quiet = masked[s].isupper() and cold(body, masked.rfind("\n", 0, s) + 1, s)
+            before = masked[spans[i - 1][1]:s] if i else None
+            for n in lengths:
+                if i + n > len(spans):
+                    break
+                end = spans[i + n - 1][1]
+                after = spans[i + n][0] if i + n < len(spans) else len(masked)
+                out.append((s, end, line, quiet, masked[s:end], before, masked[end:after]))
         return out
 
-    @F.pandas_udf(TOKENS)
-    def tokens(body: pd.Series, masked: pd.Series) -> pd.Series:
-        return pd.Series([one(b or "", m or "") for b, m in zip(body, masked)])
+    @F.pandas_udf(GRAMS)
+    def grams(body: pd.Series, masked: pd.Series) -> pd.Series:
+        wanted = None if firsts is None else firsts.value
+        return pd.Series([one(b or "", m or "", wanted) for b, m in zip(body, masked)])
+
+    return grams.asNondeterministic()  # one evaluation, where the rows are spread
+
 
-    return tokens
+def _first_words(known: DataFrame):
+    """The words names begin with, as a broadcast set when they are few by measure."""
+    words = settle(known.select(F.lower(F.regexp_extract("surface", r"([A-Za-z0-9_']+)", 1)).alias("w")).distinct())
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("w")).alias("b")).first()
+    if size["n"] > FIRST_WORDS or (size["b"] or 0) > FIRST_BYTES:
+        return None
+    return known.sparkSession.sparkContext.broadcast({r["w"] for r in words.collect()})
 
 
 def _core(c: Column) -> Column:
@@ -138,34 +160,12 @@ def surface_index(known: DataFrame) -> DataFrame:
         F.min_by("kind", "canonical").alias("low_kind"), F.max_by("kind", "canonical").alias("high_kind"))
 
 
-def _ngrams(notes: DataFrame, lengths: list[int]) -> DataFrame:
-    """(path, start, end, line, cold, text, key) for each run of as many words as some name."""
-    rows = spread(notes).select("path", tokenizer()(F.col("body"), prose_mask(F.col("body"))).alias("tokens"))
-
-    def run(i: Column, n: int) -> Column:
-        words = F.slice("tokens", i, F.lit(n))
-        last = F.element_at(words, -1)
-        first = words[0]
-        joined = F.array_join(F.transform(F.slice(words, F.lit(1), F.lit(n - 1)),
-                                          lambda w: F.concat(w["text"], w["gap"])), "") if n > 1 else F.lit("")
-        whole = F.concat(joined, last["text"])
-        return F.struct(first["start"].alias("start"),
-                        (last["start"] + F.length(last["text"])).alias("end"),
-                        first["line"].alias("line"), first["cold"].alias("cold"),
-                        whole.alias("text"),
-                        F.when(i > 1, F.element_at("tokens", F.greatest(i - 1, F.lit(1)))["gap"])
-                        .alias("before"), last["gap"].alias("after"))
-
-    def of_length(n: int):
-        return lambda i: run(i, n)
-
-    grams = F.concat(*[
-        F.when(F.size("tokens") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("tokens") - (n - 1)), of_length(n)))
-        .otherwise(F.array().cast("array<struct<start:int,end:int,line:int,cold:boolean,"
-                                  "text:string,before:string,after:string>>"))
-        for n in lengths])
-    return rows.select("path", F.explode(grams).alias("g")).select(
+def _ngrams(notes: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, start, end, line, cold, text, before, after, core_key) of possible names."""
+    find = gram_finder(_lengths(known), _first_words(known))
+    rows = spread(notes.select("path", "body")).select(
+        "path", find(F.col("body"), prose_mask(F.col("body"))).alias("grams"))
+    return rows.select("path", F.explode("grams").alias("g")).select(
         "path", "g.*").withColumn("core_key", F.lower("text"))
 
 
@@ -186,7 +186,7 @@ def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
         .withColumn("lead", F.expr("substring(key, 1, instr(key, core_key) - 1)")) \
         .withColumn("tail", F.expr("substring(key, instr(key, core_key) + length(core_key))"))
     keys = broadcast_if_small(index.select("core_key", "key", "lead", "tail").distinct())
-    grams = _ngrams(notes, _lengths(known))
+    grams = _ngrams(notes, known)
     lead_n, tail_n = F.length("lead"), F.length("tail")
     before, after = F.coalesce("before", F.lit("")), F.col("after")
     fits = F.endswith(F.lower(before), F.col("lead")) & F.startswith(F.lower(after), F.col("tail")) \

@@ -7,6 +7,7 @@ from notegrid.operators import lineage as G
 from notegrid.operators import resolve as R
 from notegrid.operators import select as S
 from notegrid.probes.registry import probe, twin
+from notegrid.session import settle
 from notegrid.sources.tables import wiki
 
 TARGETS = {"real": "SELECT lower(name) AS key, path, type FROM index_n UNION SELECT lower(path), path, type FROM index_n",
@@ -26,7 +27,7 @@ def _index(t):
 def _(t):
     places = t.frames("region", "nation", "customer")
     links = t.parent_links.filter("src_type <> 'order'")
-    index = _index(t)
+    index = settle(_index(t))
     edges = H.parent_edges(R.resolve_links(links, index, t.schema))
     target = places.filter("type = 'region' AND name = 'EUROPE'").select("path")
     below = H.descendants_of(edges, target).join(

@@ -176,8 +176,12 @@ class Tables:
 
     @cached_property
     def index_rows(self) -> DataFrame:
-        return self.frames("region", "nation", "customer", "supplier", "order", "part",
-                           "document")
+        # Labels play no part in names, so documents come without that join here.
+        documents = self.read("documents").select(
+            F.concat(F.lit("Docs/"), "source", F.lit("/Doc "), "doc_id").alias("path"),
+            F.concat(F.lit("Doc "), "doc_id").alias("name"),
+            F.concat(F.lit("Docs/"), "source").alias("folder"), F.lit("document").alias("type"))
+        return self.frames("region", "nation", "customer", "supplier", "order", "part").unionAll(documents)
 
     @cached_property
     def aliases(self) -> DataFrame:
