@@ -19,34 +19,47 @@ DIM = T.StructType([T.StructField("d_type", T.StringType()),
                     T.StructField("source_types", T.ArrayType(T.StringType()))])
 
 
-def build_targets(notes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(key, path, type, kind): lower-cased names, paths and aliases; real keys beat aliases."""
+def name_rows(notes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(key, path, type, kind): every lower-cased name, path and alias, shadowed ones included."""
     real = notes.select(
         "path", "type",
-        F.explode(F.array_distinct(F.array(
-            F.struct(F.lower("name").alias("key"), F.lit("name").alias("kind")),
-            F.struct(F.lower("path").alias("key"), F.lit("path").alias("kind"))))).alias("t")) \
-        .select("t.key", "path", "type", "t.kind")
-    real = real.filter((F.col("kind") == "name") | (F.col("key").contains("/")))
+        F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("path")))).alias("key"),
+        F.lit("real").alias("kind")).select("key", "path", "type", "kind")
     if aliases is None:
         return real
-    named = aliases.filter(F.coalesce(F.trim("alias"), F.lit("")) != "").select(
-        F.lower("alias").alias("key"), "path", "type", F.lit("alias").alias("kind")).distinct()
-    free = named.join(real.select("key").distinct(), "key", "left_anti")
-    return real.unionByName(free)
+    return real.unionByName(aliases.filter(F.coalesce(F.trim("alias"), F.lit("")) != "").select(
+        F.lower("alias").alias("key"), "path", "type", F.lit("alias").alias("kind")).distinct())
+
+
+def build_targets(notes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(key, path, type, kind) where an alias equal to some real name or path is dropped."""
+    rows = name_rows(notes, aliases)
+    if aliases is None:
+        return rows
+    real = rows.filter("kind = 'real'")
+    return real.unionByName(rows.filter("kind = 'alias'").join(
+        real.select("key").distinct(), "key", "left_anti"))
 
 
 def target_index(targets: DataFrame) -> DataFrame:
     """One row per key: how many notes, a sole path, and the same per note type.
 
-    The per-type map has at most one entry per schema type, so it stays small however many
-    notes share the key.
+    Takes ``name_rows`` or ``build_targets``; a key with a real name ignores its aliases. The
+    per-type map has at most one entry per schema type, so it stays small however many notes share
+    the key.
     """
-    by_type = targets.groupBy("key", F.coalesce("type", F.lit("")).alias("type")).agg(
+    by_type = targets.groupBy("key", (F.col("kind") == "alias").alias("alias"),
+                              F.coalesce("type", F.lit("")).alias("type")).agg(
         F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
-    return by_type.groupBy("key").agg(
-        F.sum("n").alias("n"), F.min("path").alias("path"),
-        F.map_from_entries(F.collect_list(F.struct("type", F.struct("n", "path")))).alias("types"))
+    entry = F.struct("type", "n", "path", "alias")
+    per_key = by_type.groupBy("key").agg(F.collect_list(entry).alias("all"),
+                                         F.bool_or(~F.col("alias")).alias("real"))
+    kept = F.filter("all", lambda e: e["alias"] != F.col("real"))
+    return per_key.select("key", kept.alias("kept")).select(
+        "key", F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, e: a + e["n"]).alias("n"),
+        F.array_min(F.transform("kept", lambda e: e["path"])).alias("path"),
+        F.map_from_entries(F.transform("kept", lambda e: F.struct(
+            e["type"], F.struct(e["n"].alias("n"), e["path"].alias("path"))))).alias("types"))
 
 
 def path_map(targets: DataFrame) -> DataFrame:

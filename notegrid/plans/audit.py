@@ -89,7 +89,8 @@ def audit(notes: DataFrame, schema: TypeSchema, asof: str, *, only: list[str] |
     targets = R.build_targets(names if names is not None else notes, aliases)
     by_link = [c for c in wanted if c in Q.LINK_RULES]
     if by_link and links is not None:
-        parts.append(Q.link_issues(R.resolve_links(links, R.target_index(targets), schema), by_link))
+        parts.append(Q.link_issues(R.resolve_links(links, R.target_index(R.name_rows(
+            names if names is not None else notes, aliases)), schema), by_link))
     if "body" in notes.columns:
         listing = files if files is not None else notes.select(F.concat("path", F.lit(".md")).alias("file"))
         parts += body_issues(notes, wanted, targets, listing, sections)

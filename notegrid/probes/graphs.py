@@ -16,7 +16,7 @@ TARGETS = {"real": "SELECT lower(name) AS key, path, type FROM index_n UNION SEL
 
 
 def _index(t):
-    return R.target_index(R.build_targets(t.index_rows, t.aliases))
+    return R.target_index(R.name_rows(t.index_rows, t.aliases))
 
 
 @probe("orders_under_region", twin("customer_n", "nation_n", "order_n", body="""
