@@ -71,8 +71,8 @@ def parse_notes(files: DataFrame, root: str) -> DataFrame:
 
     base = root.rstrip("/") + "/"
     rel = F.expr("substring(path, instr(path, base_) + length(base_))")
-    named = files.withColumn("base_", F.lit(base)).withColumn("rel", F.url_decode(
-        F.replace(rel, F.lit("+"), F.lit("%2B")))).filter(~F.col("rel").rlike(r"(^|/)\."))
+    named = files.withColumn("base_", F.lit(base)).withColumn("rel", rel) \
+        .filter(~F.col("rel").rlike(r"(^|/)\."))
     parsed = named.select("rel", "length", "modificationTime", "content").mapInPandas(parse, READ)
     return parsed.withColumn("fm", F.try_parse_json("header")).drop("header")
 
