@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notegrid.operators import headers as E
 from notegrid.operators.fields import shape_of
+from notegrid.operators.naming import side_by_side
 
 
 def literal(text: str):
@@ -132,7 +133,7 @@ def bulk_limit(changes: DataFrame, n: int) -> DataFrame:
 def bulk_summary(candidates: DataFrame, changes: DataFrame) -> DataFrame:
     affected = changes.agg(F.count_distinct("path").alias("affected"),
                            F.count(F.lit(1)).alias("n_changes"))
-    return candidates.agg(F.count(F.lit(1)).alias("matched")).join(affected)
+    return side_by_side(candidates.agg(F.count(F.lit(1)).alias("matched")), affected)
 
 
 def backup_rows(notes: DataFrame, changes: DataFrame, operation: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notegrid.functions.values import safe_name
 from notegrid.operators import headers as E
+from notegrid.operators.naming import free_names
 from notegrid.types import TypeSchema
 
 SPARK_TYPE = {"string": "string", "number": "double", "boolean": "boolean", "date": "date"}
@@ -137,17 +138,9 @@ def check_constraints(df: DataFrame, constraints: list[tuple[str, str, str, str]
 
 
 def stamp_related(rows: DataFrame, instances: list[tuple[str, str]], notes: DataFrame) -> DataFrame:
-    """(path, type, name, clash): declared companion notes of each new row, names made unique.
-
-    A name that an existing note or an earlier new row holds gets its order number appended.
-    """
-    from pyspark.sql import Window as W
+    """(path, type, name, no): declared companion notes of each new row, under free names."""
     made = F.array(*[F.struct(F.lit(t).alias("type"), fill_template(
         p, {"name": F.col("name")}, F.lit(None).cast("date")).alias("want")) for t, p in instances])
     wanted = rows.select("path", F.explode(made).alias("m")).select("path", "m.type", "m.want")
-    taken = notes.select(F.col("name").alias("want")).distinct().withColumn("taken", F.lit(1))
-    nth = F.row_number().over(W.partitionBy("want").orderBy("path", "type"))
-    numbered = wanted.withColumn("nth", nth).join(taken, "want", "left").withColumn(
-        "no", F.col("nth") + F.coalesce("taken", F.lit(0)))
-    return numbered.select("path", "type", F.when(F.col("no") == 1, F.col("want")).otherwise(
-        F.concat("want", F.lit(" "), F.col("no").cast("string"))).alias("name"), "no")
+    return free_names(wanted, notes, ["path", "type"]).select(
+        "path", "type", F.col("free_name").alias("name"), "no")

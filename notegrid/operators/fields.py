@@ -54,17 +54,16 @@ def field_facts(notes: DataFrame) -> DataFrame:
     shapes = classified(explode_fields(spread(notes))).groupBy("key", "value_shape").agg(
         F.count(F.lit(1)).alias("n"))
     headed = notes.filter(F.size(F.map_keys(F.col("fm").try_cast("map<string,variant>"))) > 0) \
-        .agg(F.count(F.lit(1)).alias("headed"))
+        .agg(F.count(F.lit(1)).alias("headed")).scalar()
     count = lambda s: F.coalesce(
         F.sum(F.when(F.col("value_shape") == s, F.col("n"))), F.lit(0)).alias(f"n_{s}")
     facts = shapes.groupBy("key").agg(
         F.sum("n").alias("n"), *[count(s) for s in ("string", "number", "boolean", "date", "list",
                                                     "object", "empty")],
         (F.count_if(F.col("value_shape") != "empty") > 1).alias("mixed"))
-    # One row of totals next to one row per distinct key.
-    return facts.join(F.broadcast(headed)).select(
+    return facts.select(
         *[c for c in facts.columns if c != "mixed"], "mixed",
-        F.round(F.col("n") / F.col("headed"), 6).alias("share"))
+        F.round(F.col("n") / headed, 6).alias("share"))
 
 
 def baseline_shapes(shapes: DataFrame) -> DataFrame:

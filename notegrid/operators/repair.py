@@ -15,6 +15,7 @@ from notegrid.functions.values import coerce_boolean, coerce_number, safe_name
 from notegrid.operators import headers as E
 from notegrid.operators import rules as Q
 from notegrid.operators.fields import shape_of
+from notegrid.operators.naming import side_by_side
 from notegrid.types import TypeSchema
 
 TEXT = E.json_text
@@ -216,4 +217,4 @@ def fix_summary(issues: DataFrame, changes: DataFrame, after: DataFrame) -> Data
                         F.count_if(~F.col("auto_fixable")).alias("skipped"))
     fixed = changes.agg(F.count(F.lit(1)).alias("fixed"))
     left = after.agg(F.count(F.lit(1)).alias("remaining"))
-    return before.join(fixed).join(left)
+    return side_by_side(before, fixed, left)

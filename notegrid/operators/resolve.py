@@ -220,7 +220,9 @@ def owner_index(notes: DataFrame, owned_links: DataFrame, schema: TypeSchema) ->
     """Owned note -> owner, by declaration and by location, with the number of owners.
 
     ``owned_links`` are resolved links of owned fields (src_path, field, resolved_path). A note
-    lies in an owner's place when its folder is ``<owner folder>/<field>`` of that owner.
+    lies in an owner's place when its folder is ``<owner folder>/<field>`` of that owner; a folder
+    that several owners share says nothing about whose the note is, so such folders are counted
+    and left to the declarations.
     """
     owned_fields = [(t, f) for t, fs in schema.fields.items() for f, d in fs.items()
                     if d.get("owned")]
@@ -231,10 +233,10 @@ def owner_index(notes: DataFrame, owned_links: DataFrame, schema: TypeSchema) ->
         .filter(F.col("resolved_path").isNotNull()) \
         .select(F.col("resolved_path").alias("path"), F.col("src_path").alias("owner_path"),
                 "field", F.lit("declared").alias("how"))
-    owners = notes.join(dim, F.col("type") == F.col("d_type")).select(
-        F.concat("folder", F.lit("/"), "d_field").alias("folder"),
-        F.col("path").alias("owner_path"), F.col("d_field").alias("field"))
-    by_place = notes.select("path", "folder").join(owners, "folder").filter(
+    owners = notes.join(dim, F.col("type") == F.col("d_type")).groupBy(
+        F.concat("folder", F.lit("/"), "d_field").alias("folder"), F.col("d_field").alias("field")).agg(
+        F.count(F.lit(1)).alias("n_here"), F.min("path").alias("owner_path"))
+    by_place = notes.select("path", "folder").join(owners.filter("n_here = 1"), "folder").filter(
         F.col("path") != F.col("owner_path")).select(
         "path", "owner_path", "field", F.lit("location").alias("how"))
     both = declared.unionByName(by_place)

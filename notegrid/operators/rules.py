@@ -21,6 +21,7 @@ from notegrid.functions import text as X
 from notegrid.functions.values import coerce_boolean, coerce_number, safe_name
 from notegrid.operators.fields import explode_fields, shape_of
 from notegrid.operators.lineage import valid_id
+from notegrid.operators.naming import side_by_side
 from notegrid.session import spread
 from notegrid.types import TypeSchema
 
@@ -493,7 +494,7 @@ def audit_summary(issues: DataFrame, checked: DataFrame) -> DataFrame:
         F.count_if(F.col("warnings") > 0).alias("files_with_warnings"),
         F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"),
         F.coalesce(F.sum("warnings"), F.lit(0)).alias("total_warnings"))
-    return checked.agg(F.count(F.lit(1)).alias("files_checked")).join(totals)
+    return side_by_side(checked.agg(F.count(F.lit(1)).alias("files_checked")), totals)
 
 
 def validate_rows(notes: DataFrame, schema: TypeSchema) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notegrid.functions.dates import add_offset, partial_date
+from notegrid.operators.naming import free_names
 
 
 def previous_values(log: DataFrame, key: str, time: str, tie: str, value: str,
@@ -99,35 +100,17 @@ def spawn_successors(due: DataFrame, notes: DataFrame, name: Column, base: str,
                      trigger_field: str, reset: str | None) -> DataFrame:
     """New notes for finished recurring ones: name with a free number, shifted date, reset
     trigger, ``prev``; and ``next_link`` for the old note. Unusable base dates are errors.
-
-    Free numbers: the wanted names are counted per name, existing notes hold their names, and each
-    new note takes the next number after the highest used one, starting at 2.
     """
     first = partial_date(F.col(base))
     day = F.when(first["precision"] == "day", first["first_day"])
     wanted = due.select("path", F.col("name").alias("old_name"), name.alias("want"),
                         F.date_format(add_offset(day, F.lit(amount), F.lit(unit)), "yyyy-MM-dd").alias("date"),
                         day.isNull().alias("bad"))
-    good = wanted.filter("NOT bad")
-    # Existing names as (stem, number): "Plan" is number 1 of "Plan", "Plan 3" is number 3.
-    stems = notes.select("name").distinct().select(
-        F.explode(F.array(F.struct(F.col("name").alias("want"), F.lit(1).alias("no")),
-                          F.struct(F.regexp_replace("name", r" \d+$", "").alias("want"),
-                                   F.regexp_extract("name", r" (\d+)$", 1).try_cast("int").alias("no")))).alias("s")) \
-        .select("s.want", "s.no").filter("no IS NOT NULL").distinct()
-    taken = stems.join(good.select("want").distinct(), "want", "left_semi")
-    order = F.row_number().over(W.partitionBy("want").orderBy("path"))
-    # Numbers used by existing notes are few per wanted name; new ones fill the gaps in order.
-    used = taken.groupBy("want").agg(F.sort_array(F.collect_set("no")).alias("used"))
-    counted = good.withColumn("nth", order).join(used, "want", "left").withColumn(
-        "used", F.coalesce("used", F.array().cast("array<int>")))
-    number = F.aggregate("used", F.col("nth"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    named = counted.withColumn("no", number).withColumn(
-        "name", F.when(F.col("no") == 1, F.col("want")).otherwise(
-            F.concat("want", F.lit(" "), F.col("no").cast("string"))))
-    ok = named.select("path", "name", F.col("date").alias(base), F.lit(reset).alias(trigger_field),
+    named = free_names(wanted.filter("NOT bad").drop("bad"), notes, ["path"])
+    ok = named.select("path", F.col("free_name").alias("name"), F.col("date").alias(base),
+                      F.lit(reset).alias(trigger_field),
                       F.concat(F.lit("[["), "old_name", F.lit("]]")).alias("prev"),
-                      F.concat(F.lit("[["), "name", F.lit("]]")).alias("next_link"),
+                      F.concat(F.lit("[["), "free_name", F.lit("]]")).alias("next_link"),
                       F.lit(None).cast("string").alias("error"))
     none = F.lit(None).cast("string")
     bad = wanted.filter("bad").select("path", none.alias("name"), none.alias(base), none.alias(trigger_field),

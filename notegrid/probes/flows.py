@@ -11,6 +11,7 @@ from notegrid.operators import repair as X
 from notegrid.operators import resolve as R
 from notegrid.operators import rules as Q
 from notegrid.operators import workflow as Wf
+from notegrid.operators.naming import side_by_side
 from notegrid.probes.graphs import FORKS, LINKS_SQL, _forked, _index, _order_verdicts, _part_links
 from notegrid.probes.registry import probe, twin
 from notegrid.sources.tables import ASOF, SCHEMA, wiki
@@ -372,7 +373,7 @@ def _(t):
 @probe("suggest_version", twin("index_n", body="SELECT 6::BIGINT AS review, 3::BIGINT AS safe, '3.0.0' AS version, count(*) AS n_notes FROM index_n"))
 def _(t):
     version = Ev.suggest_version(Ev.classify_changes(*_tables(t)), "2.4.1")
-    return version.join(t.index_rows.agg(F.count(F.lit(1)).alias("n_notes")))
+    return side_by_side(version, t.index_rows.agg(F.count(F.lit(1)).alias("n_notes")))
 
 
 @probe("undocumented_types", twin("index_n", body="""

@@ -96,14 +96,13 @@ class Tables:
 
     @cached_property
     def nation(self) -> DataFrame:
-        # The region table is a dimension of fixed, known size.
-        regions = F.broadcast(self.read("region"))
+        regions = self.read("region")
         df = self.read("nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
         return self._note(df, "nation", F.lit("Places"), F.col("n_name"),
                           k=F.col("n_nationkey"), parent=wiki(F.col("r_name")))
 
     def _party(self, table: str, p: str, type_name: str, folder: Column, **fields) -> DataFrame:
-        nations = F.broadcast(self.read("nation").select("n_nationkey", "n_name"))
+        nations = self.read("nation").select("n_nationkey", "n_name")
         df = self.read(table).join(nations, F.col(f"{p}_nationkey") == F.col("n_nationkey"))
         return self._note(df, type_name, folder,
                           F.regexp_replace(f"{p}_name", "#", " "),

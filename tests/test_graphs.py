@@ -85,3 +85,12 @@ def test_previous_values_across_quiet_days(spark):
     got = {r["id"]: r["before"] for r in Wf.previous_values(log, "key", "t", "id", "v").collect()}
     assert got == {1: None, 2: "a", 3: "b", 4: "b", 5: None}
     assert {r["id"] for r in Wf.transitions(log, "key", "t", "id", "v", "b").collect()} == {2, 5}
+
+
+def test_free_names_fill_gaps_in_order(spark):
+    from notegrid.operators.naming import free_names
+    notes = spark.createDataFrame([("Plan",), ("Plan 2",), ("Plan 4",), ("Solo 3",)], "name string")
+    wanted = spark.createDataFrame([(f"p{i}", "Plan") for i in range(4)] + [("q0", "Solo"), ("q1", "Solo"), ("q2", "Solo")],
+                                   "path string, want string")
+    got = {r["path"]: r["free_name"] for r in free_names(wanted, notes, ["path"]).collect()}
+    assert got == {"p0": "Plan 3", "p1": "Plan 5", "p2": "Plan 6", "p3": "Plan 7", "q0": "Solo", "q1": "Solo 2", "q2": "Solo 4"}
