@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,36 +13,45 @@ READ = ("path string, name string, folder string, ext string, size bigint, mtime
         "header string, body string, raw string, error string")
 
 
-def _yaml():
-    """YAML loader with dates kept as text and only true/false as booleans."""
-    import re
+def yaml_tools():
+    """A maker of (yaml module, loader); being local it travels to the tasks by value.
+
+    The loader keeps dates as text and knows only true/false as booleans.
+    """
+    def make():
+        import datetime
+        import re
 
-    import yaml
+        import yaml
 
-    class Loader(yaml.SafeLoader):
-        yaml_implicit_resolvers = {
-            k: [(tag, rx) for tag, rx in v if tag not in ("tag:yaml.org,2002:bool",)]
-            for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+        class Loader(yaml.SafeLoader):
+            yaml_implicit_resolvers = {
+                k: [(tag, rx) for tag, rx in v if tag not in ("tag:yaml.org,2002:bool",)]
+                for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
 
-    Loader.add_implicit_resolver("tag:yaml.org,2002:bool",
-                                 re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+        Loader.add_implicit_resolver("tag:yaml.org,2002:bool",
+                                     re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
 
-    def day(loader, node):
-        value = yaml.SafeLoader.construct_yaml_timestamp(loader, node)
-        if getattr(value, "tzinfo", None) is not None:
-            import datetime
-            value = value.astimezone(datetime.timezone.utc)
-        return value.strftime("%Y-%m-%d")
+        def day(loader, node):
+            value = yaml.SafeLoader.construct_yaml_timestamp(loader, node)
+            if getattr(value, "tzinfo", None) is not None:
+                value = value.astimezone(datetime.timezone.utc)
+            return value.strftime("%Y-%m-%d")
 
-    Loader.add_constructor("tag:yaml.org,2002:timestamp", day)
-    return yaml, Loader
+        Loader.add_constructor("tag:yaml.org,2002:timestamp", day)
+        return yaml, Loader
+
+    return make
 
 
 def parse_notes(files: DataFrame, root: str) -> DataFrame:
     """Rows of a binary file scan as parsed notes; one Arrow batch at a time per task."""
+    tools = yaml_tools()
+
     def parse(batches):
+        import json
         import re
-        yaml, loader = _yaml()
+        yaml, loader = tools()
         head = re.compile(r"\A---[ \t]*\r?\n(.*?)(?:\r?\n)?^---[ \t]*(?:\r?\n|\Z)", re.S | re.M)
         for pdf in batches:
             out = []
@@ -233,10 +240,12 @@ def structural_scan(raw: Column) -> Column:
                 "has_type": bool(first and value.get("type")), "error": error,
                 "duplicates": duplicates, "trailing": trailing}
 
+    tools = yaml_tools()
+
     @F.pandas_udf(SCAN)
     def run(raws: pd.Series) -> pd.DataFrame:
         import re
-        yaml, loader = _yaml()
+        yaml, loader = tools()
         rx = re.compile(r"^([ \t]*)([^\s:#][^:]*):(?=\s|$)(.*)$")
         return pd.DataFrame([scan(r or "", yaml, loader, rx) for r in raws])
 
