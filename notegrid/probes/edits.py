@@ -125,9 +125,9 @@ def _(t):
 
 
 @probe("bulk_move", twin("part_n", body="""
-    SELECT path, name, 'Archive/'||name AS new_path, CASE WHEN k%9=0 THEN 'destination exists' END AS error FROM part_n WHERE kind='SMALL'"""))
+    SELECT path, name, 'Archive/'||name AS new_path, CASE WHEN size>40 THEN 'destination exists' END AS error FROM part_n WHERE kind='SMALL'"""))
 def _(t):
-    taken = t.part.filter("k % 9 = 0").select(F.concat(F.lit("Archive/"), "name").alias("path"), "name")
+    taken = t.part.filter("size > 40").select(F.concat(F.lit("Archive/"), "name").alias("path"), "name")
     return B.bulk_move(t.part.select("path", "name").union(taken), t.part.filter("kind = 'SMALL'"), "Archive")
 
 

@@ -185,9 +185,9 @@ def _(t):
 
 @probe("project_links", twin("index_n", "turn_n", body="""
     SELECT path, '[['||CASE WHEN count(*) OVER (PARTITION BY name)=1 THEN name ELSE path END||']]' AS link
-    FROM (SELECT path, name FROM index_n UNION ALL SELECT 'Copies/'||name, name FROM part_n WHERE k%9=0)"""))
+    FROM (SELECT path, name FROM index_n UNION ALL SELECT 'Copies/'||name, name FROM part_n WHERE size>40)"""))
 def _(t):
-    copies = t.part.filter("k % 9 = 0").select(F.concat(F.lit("Copies/"), "name").alias("path"), "name")
+    copies = t.part.filter("size > 40").select(F.concat(F.lit("Copies/"), "name").alias("path"), "name")
     return R.shortest_link(t.index_rows.select("path", "name").union(copies))
 
 
@@ -326,7 +326,7 @@ def _(t):
 
 @probe("would_cycle", twin("customer_n", body="""
     SELECT 'Places/NATION_'||((n_nationkey + k%3)%25) AS child, path AS parent FROM customer_n WHERE k%3=0 UNION ALL
-    SELECT path, path FROM customer_n WHERE k%5=0"""))
+    SELECT path, path FROM customer_n WHERE segment='BUILDING'"""))
 def _(t):
     # Proposals to hang a place below a customer; it closes a ring where the place is above it.
     rows = t.read("customer").select(
@@ -334,7 +334,7 @@ def _(t):
         F.col("c_custkey").alias("k"), "c_nationkey")
     place = F.concat(F.lit("Places/NATION_"), (F.col("c_nationkey") + F.col("k") % 3) % 25)
     asked = rows.select(place.alias("child"), F.col("path").alias("parent")).union(
-        rows.filter("k % 5 = 0").select("path", "path"))
+        rows.filter("path LIKE 'Parties/BUILDING/%'").select("path", "path"))
     return H.would_cycle(_place_edges(t), asked)
 
 

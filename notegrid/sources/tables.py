@@ -146,7 +146,11 @@ class Tables:
 
     @cached_property
     def document(self) -> DataFrame:
-        df = self.read("documents").join(self.read("labels"), "doc_id", "left")
+        # One label row per document by construction, so the optimizer drops this join wherever no
+        # label is asked for.
+        labels = self.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"),
+                                                           F.max("toxic").alias("toxic"))
+        df = self.read("documents").join(labels, "doc_id", "left")
         return self._note(
             df, "document", F.concat(F.lit("Docs/"), F.col("source")),
             F.concat(F.lit("Doc "), F.col("doc_id")), k=F.col("doc_id"), lang=F.col("lang"),
