@@ -78,8 +78,8 @@ def fold(notes: DataFrame, steps) -> DataFrame:
 
 
 def changes_of(folded: DataFrame) -> DataFrame:
-    return folded.filter(F.size("done") > 0).select("path", F.explode("done").alias("c")) \
-        .select("path", "c.*")
+    # No test for emptiness before the explode: it would run every step a second time.
+    return folded.select("path", F.explode("done").alias("c")).select("path", "c.*")
 
 
 def applied(folded: DataFrame) -> DataFrame:

@@ -71,8 +71,15 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def lineage_component(notes: DataFrame) -> DataFrame:
-    """(path, component) for every note that takes part in a fork edge."""
-    return components(lineage_edges(notes)).select(F.col("node").alias("path"), "component")
+    """(path, component) for every note that takes part in a fork edge; a component is named after
+    its smallest path.
+
+    A note has one lineage parent, so everyone connected shares a root (or a cut ring), and the
+    roots come from pointer jumping; ``components`` is for graphs without that property.
+    """
+    shape = H.forest(lineage_edges(notes))
+    label = shape.groupBy("root").agg(F.min("node").alias("component"))
+    return shape.join(label, "root").select(F.col("node").alias("path"), "component")
 
 
 def lineage_rows(notes: DataFrame, target_path: str) -> DataFrame:

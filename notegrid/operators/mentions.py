@@ -421,7 +421,8 @@ def mentions_fuzzy(notes: DataFrame, known: DataFrame, cap: int = FUZZY_CAP) ->
     Distinct phrases meet names once; the best suffix of a run is its nearest, earliest one.
     """
     from pyspark.sql import Window as W
-    phrases = fuzzy_phrases(notes, known, cap)
+    known = settle(known)
+    phrases = settle(fuzzy_phrases(notes, known, cap))
     names = known.filter("kind = 'name' AND NOT skipped").filter(F.length("surface") >= FUZZY_MIN) \
         .select(F.col("canonical").alias("name")).distinct()
     pairs = close_pairs(phrases.select(F.col("phrase").alias("query")), names, cap).filter(

@@ -133,16 +133,17 @@ def repair_fields(notes: DataFrame, schema: TypeSchema, only: list[str] | None =
     answers = [F.struct(F.lit(k).alias("operation"), f().alias("new")) for k, f in chosen.items()]
     first = F.get(F.filter(F.array(*answers), lambda x: x["new"].isNotNull()), 0) if answers \
         else F.lit(None).cast("struct<operation string, new string>")
-    rows = rows.withColumn("fix", first)
-    if only is None or "fix_key" in only:
-        rows = rows.withColumn("to_key", fix_key())
-    else:
-        rows = rows.withColumn("to_key", F.lit(None).cast("string"))
-    changed = rows.filter(F.col("fix").isNotNull() | F.col("to_key").isNotNull())
-    return changed.select(
-        "path", F.lit(0).alias("seq"), F.coalesce("fix.operation", F.lit("fix_key")).alias("operation"),
-        F.col("key").alias("field"), F.to_json("v").alias("old"),
-        F.coalesce("fix.new", F.to_json("v")).alias("new"), F.col("to_key").alias("new_field"))
+    key = fix_key() if only is None or "fix_key" in only else F.lit(None).cast("string")
+
+    def as_change(x: Column) -> Column:
+        return F.when(x["fix"].isNotNull() | x["to_key"].isNotNull(), F.struct(
+            F.lit(0).alias("seq"), F.coalesce(x["fix"]["operation"], F.lit("fix_key")).alias("operation"),
+            F.col("key").alias("field"), F.to_json("v").alias("old"),
+            F.coalesce(x["fix"]["new"], F.to_json("v")).alias("new"), x["to_key"].alias("new_field")))
+
+    # Exploded rather than filtered, so that no repair is worked out twice.
+    made = E.let(F.struct(first.alias("fix"), key.alias("to_key")), as_change)
+    return rows.select("path", F.explode(F.array_compact(F.array(made))).alias("c")).select("path", "c.*")
 
 
 def fix_adopt(notes: DataFrame, schema: TypeSchema) -> DataFrame:

@@ -102,28 +102,30 @@ def select_all_of(df: DataFrame, schema: TypeSchema, *, type_name: str | None =
 
 
 def source_filter(condition: dict[str, dict], columns: dict[str, Column] | None = None) -> Column:
-    """``{field: {equals|not_equals|in|not_in: value}}`` on the text form; missing is ''."""
+    """``{field: {equals|not_equals|in|not_in: value}}`` on the text form; missing is ''.
+
+    Written as plain comparisons with explicit null tests, so the scan can use them.
+    """
     test = F.lit(True)
     for field, rule in condition.items():
-        value = F.coalesce((columns or {}).get(field, F.col(field)).cast("string"), F.lit(""))
+        value = (columns or {}).get(field, F.col(field)).cast("string")
         for op, operand in rule.items():
-            if op == "equals":
-                test = test & (value == operand)
-            elif op == "not_equals":
-                test = test & (value != operand)
-            elif op == "in":
-                test = test & value.isin(list(operand))
-            elif op == "not_in":
-                test = test & ~value.isin(list(operand))
-            else:
+            if op not in ("equals", "in", "not_equals", "not_in"):
                 raise ValueError(f"unknown filter operator: {op}")
+            wanted = [operand] if op in ("equals", "not_equals") else list(operand)
+            hit = value.isin(wanted)
+            if op in ("equals", "in"):
+                test = test & (hit | value.isNull() if "" in wanted else hit)
+            else:
+                test = test & (~hit & value.isNotNull() if "" in wanted else ~hit | value.isNull())
     return test
 
 
 def retention_condition(condition: dict[str, list[str]]) -> Column:
+    """All fields hold one of their values; as a filter, a missing field does not match."""
     test = F.lit(True)
     for field, values in condition.items():
-        test = test & F.coalesce(F.col(field).isin(values), F.lit(False))
+        test = test & F.col(field).isin(values)
     return test
 
 

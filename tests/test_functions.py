@@ -69,3 +69,13 @@ def test_calendar_format_and_parse_are_inverse(spark, hours):
 def test_calendar_order_across_eras(spark):
     rows = column(spark, ["B 2-1-1", "B 1-2-5 9:59", "A 1-1-1"], lambda c: C.calendar_parse(c, "x", CAL)["linear"])
     assert rows == sorted(rows) and rows[0] == -160.0 and rows[2] == 0.0
+
+
+def test_source_filter_treats_missing_as_empty(spark):
+    from notegrid.operators.select import source_filter
+    ask = lambda rule: column(spark, ["a", "", None], lambda c: source_filter({"c": rule}))
+    keep = lambda xs: [bool(x) for x in xs]
+    assert keep(ask({"equals": "a"})) == [True, False, False]
+    assert keep(ask({"in": ["a", ""]})) == [True, True, True]
+    assert keep(ask({"not_equals": "a"})) == [False, True, True]
+    assert keep(ask({"not_in": ["", "b"]})) == [True, False, False]
