@@ -43,7 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     """About ``most`` texts whose label is ``value``, spread evenly over all rows by a hash of the id.
 
     Only the sampled label rows, whose number is bounded by ``most`` (with a margin of a half), are
-    broadcast. Repeated label rows of a document count once.
+    broadcast. A document counts once, however often it or its label is repeated.
     """
     rows = (labels.select("doc_id", F.col(label).cast("int").alias("label"))
             .filter(F.col("doc_id").isNotNull() & (F.col("label") == value) & ~held_out).distinct())
@@ -53,4 +53,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 31)) < share)
     rows = rows.limit(most + most // 2)
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(rows), "doc_id").select("text", "label").limit(2 * most))
+            .join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]).select("text", "label"))

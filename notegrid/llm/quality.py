@@ -119,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 3000
     parts = [labelled_sample(docs, labels, "quality", held_out, value, max(1, round(rows * n[value] / sum(n.values()))))
              for value in sorted(n)]
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    pdf = settled(_sparse_terms(found.repartition(8))).toPandas()
+    pdf = settled(_sparse_terms(found)).toPandas()
     if not len(pdf):
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 1.0)
     terms = np.zeros((len(pdf), WIDTH), np.float32)

@@ -177,8 +177,8 @@ def _calibrate(lexicon: Lexicon, sums: np.ndarray, counts: np.ndarray, y: np.nda
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, toxic_rows: int = 4000, clean_rows: int = 8000,
           most_terms: int = 20_000, support: int = 5, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon from at most about ``toxic_rows`` toxic and ``clean_rows`` clean labelled texts."""
-    toxic = settled(labelled_sample(docs, labels, "toxic", held_out, 1, toxic_rows).dropDuplicates(["text"]))
-    clean = settled(labelled_sample(docs, labels, "toxic", held_out, 0, clean_rows).dropDuplicates(["text"]))
+    toxic = settled(labelled_sample(docs, labels, "toxic", held_out, 1, toxic_rows))
+    clean = settled(labelled_sample(docs, labels, "toxic", held_out, 0, clean_rows))
     n1, n0 = toxic.count(), clean.count()
     if not n1:
         return Lexicon()
