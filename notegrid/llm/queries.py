@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrid.llm import minhash, mixing, packing, quality, toxicity
+from notegrid.llm import ann, chat, minhash, mixing, packing, quality, site_style, toxicity, vector_dedup, warc
 from notegrid.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -53,3 +53,97 @@ def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
     items = packing.pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(items, 1024).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
                                             "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op2_site_style(spark: SparkSession, folder: str) -> DataFrame:
+    return site_style.extract(table(spark, folder, "pages"))
+
+
+@query
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = chat.format_chats(rows.select("conv_id", "turn", "role", F.array(chat.text_part(F.col("text"))[0]).alias("parts")))
+    turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.masked_text(F.col("formatted"), F.col("loss_spans"))
+    read = chats.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                       "formatted_chars")
+
+
+ORACLES["op4_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))
+    + length('<|turn|><|text|><|end|>') + 1 AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+
+@query
+def op6_collision_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op9_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"), 0.95)
+
+
+ORACLES["op9_vector_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(e) > 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT a AS v, a AS w FROM links UNION SELECT r.v, l.b FROM reach r JOIN links l ON r.w = l.a),
+low AS (SELECT v, min(w) AS w FROM reach GROUP BY v),
+degree AS (SELECT a AS v, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(w, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(w, vec_id)) AS kept
+FROM embeddings e LEFT JOIN low ON low.v = e.vec_id LEFT JOIN degree d ON d.v = e.vec_id"""
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"), least=100)
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
+
+ORACLES["op7_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+long AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+same AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met, any_value(a.n) AS an, any_value(b.n) AS bn
+  FROM long a JOIN long b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+half AS (SELECT a, b FROM same WHERE 100 * met >= 80 * (an + bn - met)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a AS v, a AS w FROM links UNION SELECT r.v, l.b FROM reach r JOIN links l ON r.w = l.a),
+low AS (SELECT v, min(w) AS w FROM reach GROUP BY v)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(w, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(w, doc_id)) AS kept
+FROM sets LEFT JOIN low ON low.v = sets.doc_id"""
