@@ -38,9 +38,7 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 
 HIDDEN = [0xAD, 0x34F, 0x61C, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)]
 WORDS = re.compile(r"[^\W\d_]+")
-INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!|]+(?=[^\W\d_])")
-LEADING = re.compile(r"(?<![\w@$!|])[0-9@$](?=[^\W\d_])")
-TRAILING = re.compile(r"(?<=[^\W\d_]{3})[0-9](?![\w@$!|])")
+SIGN_RUN = re.compile(r"[0-9@$!|]+")
 SPELT = re.compile(r"(?<=\s)(?:\w ){3,}\w(?=\s)")
 PREFIXES = (4, 5, 6)
 
@@ -61,14 +59,23 @@ MERGE = str.maketrans({"l": "i"})
 SIGNS = str.maketrans(STANDS_FOR)
 
 
+def _stand_in(m: re.Match) -> str:
+    """A run of digits or signs as letters: between letters, or one at the edge of a word."""
+    text, a, b, run = m.string, m.start(), m.end(), m.group()
+    before = a > 0 and text[a - 1].isalpha()
+    after = b < len(text) and text[b].isalpha()
+    if after and (before or (len(run) == 1 and run not in "!|" and not (a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_")))):
+        return run.translate(SIGNS)
+    if before and len(run) == 1 and run.isdigit() and a > 2 and text[a - 3:a].isalpha():
+        return run.translate(SIGNS)
+    return run
+
+
 def folded_words(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
         text = text.translate(FOLD)
-    stand = lambda m: m.group().translate(SIGNS)
-    for pattern in (INSIDE, LEADING, TRAILING):
-        text = pattern.sub(stand, text)
-    return WORDS.findall(text.translate(MERGE))
+    return WORDS.findall(SIGN_RUN.sub(_stand_in, text).translate(MERGE))
 
 
 def canonical(text: str) -> tuple[str, int]:
@@ -153,6 +160,51 @@ def _counts(rows: DataFrame, wanted: set[str] | None, pairs: bool = False) -> Da
     return rows.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _held_terms(rows: DataFrame, wanted: set[str]) -> list[tuple[int, list[str]]]:
+    """The wanted terms of each sampled text, and a word of it that its near copies are likely to share."""
+    def work(batches):
+        import xxhash
+        for batch in batches:
+            found, groups = [], []
+            for text in batch.column("text").to_pylist():
+                line = canonical(text or "")[0]
+                found.append(sorted(_terms(line) & wanted))
+                groups.append(min((xxhash.xxh64_intdigest(w) >> 1 for w in set(line.split())), default=0))
+            yield pa.RecordBatch.from_pydict({"copies": pa.array(groups, pa.int64()), "terms": pa.array(found, pa.list_(pa.string()))})
+    if not wanted:
+        return []
+    return [(r.copies, r.terms) for r in rows.mapInArrow(work, "copies long, terms array<string>").collect()]
+
+
+def _chosen(weights: dict[str, float], texts: list[tuple[int, list[str]]], least: int) -> dict[str, float]:
+    """Terms picked one after another, each for the sampled toxic texts that no earlier one explains.
+
+    Texts that look like copies of one another count once, so words that many copies share do not pass
+    for toxic ones. Of two terms that explain as much the shorter one is taken.
+    """
+    holders: dict[str, set[int]] = {t: set() for t in weights}
+    for k, (_, terms) in enumerate(texts):
+        for t in terms:
+            holders[t].add(k)
+    kept: dict[str, float] = {}
+    open_ = set(range(len(texts)))
+    most = 0
+    while True:
+        best = max(((len({texts[k][0] for k in h & open_}) * weights[t], -len(t), t) for t, h in holders.items()), default=None)
+        if best is None or best[0] < least * weights[best[2]]:
+            break
+        term = best[2]
+        kept[term] = weights[term]
+        open_ -= (chosen := holders.pop(term))
+        most = max(most, len({texts[k][0] for k in chosen}))
+    # Terms as common as those, though some of those stand beside them everywhere in the sample.
+    for term in sorted(holders, key=lambda t: (len(t), t)):
+        common = 4 * len({texts[k][0] for k in holders[term]}) >= most >= 4 * least
+        if common and not any(term.startswith(t) for t in kept):
+            kept[term] = weights[term]
+    return dict(sorted(kept.items()))
+
+
 def _calibrate(lexicon: Lexicon, sums: np.ndarray, counts: np.ndarray, y: np.ndarray, share: float) -> None:
     """Choose the power of the length and fit the curve, by log loss with a small penalty on the slope."""
     best = None
@@ -177,12 +229,12 @@ def _calibrate(lexicon: Lexicon, sums: np.ndarray, counts: np.ndarray, y: np.nda
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, toxic_rows: int = 4000, clean_rows: int = 8000,
           most_terms: int = 20_000, support: int = 5, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon from at most about ``toxic_rows`` toxic and ``clean_rows`` clean labelled texts."""
-    toxic = settled(labelled_sample(docs, labels, "toxic", held_out, 1, toxic_rows))
-    clean = settled(labelled_sample(docs, labels, "toxic", held_out, 0, clean_rows))
+    toxic, clean = (settled(labelled_sample(docs, labels, "toxic", held_out, label, most).dropDuplicates(["text"]).repartition(24))
+                    for label, most in ((1, toxic_rows), (0, clean_rows)))
     n1, n0 = toxic.count(), clean.count()
     if not n1:
         return Lexicon()
-    least = max(min(support, n1), n1 // 500)
+    least = max(min(support, n1), n1 // 200)  # more than a few copies of one text can bring about
     c1 = {r.term: r.n for r in _counts(toxic, None).filter(F.col("n") >= least)
           .orderBy(F.desc("n"), "term").limit(most_terms).collect()}
     c0 = {r.term: r.n for r in _counts(clean, set(c1)).collect()}
@@ -191,12 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, toxic_rows: int
         rate1, rate0 = (n + 0.5) / (n1 + 1), (c0.get(term, 0) + 0.5) / (n0 + 1)
         if rate1 >= 6 * rate0 and n / n1 >= 8 * c0.get(term, 0) / max(n0, 1):
             weights[term] = min(8.0, math.log(rate1 / rate0))
-    # Of terms that are the start of one another the shortest stands for all, unless a longer one says more.
-    kept: dict[str, float] = {}
-    for term in sorted(weights, key=lambda t: (len(t), t)):
-        starts = [term[:k] for k in range(1, len(term)) if term[:k] in kept]
-        if not any(kept[s] >= weights[term] - 0.7 for s in starts):
-            kept[term] = weights[term]
+    kept = _chosen(weights, _held_terms(toxic, set(weights)), max(2, n1 // 400))
     lexicon = Lexicon(kept)
     if kept:
         p1 = {r.term: r.n for r in _counts(toxic, set(kept), pairs=True).filter(F.col("n") >= least)
