@@ -134,18 +134,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
               .groupBy("rank", "block", "rest", "passes").agg(F.sum("words").alias("words")))
     shuffled = Window.partitionBy("rank").orderBy(F.xxhash64("rank", "block", F.lit(seed + 1)), "block")
     run = shuffled.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = (blocks.withColumn("place", F.row_number().over(shuffled) - 1).withColumn("upto", F.sum("words").over(run))
+    blocks = (blocks.withColumn("held", F.count("*").over(Window.partitionBy("rank")))
+              .withColumn("place", F.row_number().over(shuffled) - 1).withColumn("upto", F.sum("words").over(run))
               .withColumn("in_rest", F.expr("greatest(0L, least(words, rest - (upto - words)))")))
     # Blocks of the mix in permuted order: first those of the whole passes, then those of the rest.
     of_rest = Window.partitionBy("rank").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = settled(blocks.withColumn("rest_place", F.sum(F.expr("int(in_rest > 0)")).over(of_rest) - 1))
     count = blocks.groupBy("rank").agg(F.sum(F.expr("passes + int(in_rest > 0)")).alias("n"))
     quotas = shard_quotas(count, shards, seed)
-    copies = blocks.join(goal.select("rank", "blocks"), "rank").select(
-        "rank", "block", "words", "in_rest",
+    copies = blocks.select(
+        "rank", "block",
         F.explode(F.expr("""concat(
-            transform(if(passes > 0, sequence(0, passes - 1), array()), p -> named_struct('pass', p, 'at', bigint(p) * blocks + place)),
-            if(in_rest > 0, array(named_struct('pass', passes, 'at', bigint(passes) * blocks + rest_place)), array()))""")).alias("c"))
+            transform(if(passes > 0, sequence(0, passes - 1), array()), p -> named_struct('pass', p, 'at', bigint(p) * held + place)),
+            if(in_rest > 0, array(named_struct('pass', passes, 'at', bigint(passes) * held + rest_place)), array()))""")).alias("c"))
     dealt = (copies.select("rank", "block", "c.*").join(quotas, "rank").filter("at >= first AND at < upto")
              .groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("dealt")))
     plan = (blocks.join(dealt, ["rank", "block"], "left").join(goal, "rank")
