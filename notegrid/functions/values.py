@@ -257,14 +257,14 @@ def static_value(c: Column, now: Column, today: Column, actor: Column) -> Column
 def natural_key(c: Column) -> Column:
     """Sort key: case-folded text with digit runs padded, so "2" sorts before "10".
 
-    Each run becomes its digit count (two places) followed by its digits without leading zeros,
-    which orders runs of any length up to 99 digits.
+    Each run becomes its digit count, itself led by its own number of places, followed by
+    its digits without leading zeros, which orders runs of any length.
     """
     pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def keyed(p: Column) -> Column:
         bare = F.regexp_replace(p, r"^0+(?=\d)", "")
         return F.when(p.rlike(r"^\d"), F.concat(
-            F.lpad(F.length(bare).cast("string"), 2, "0"), bare)).otherwise(p)
+            F.length(F.length(bare).cast("string")).cast("string"), F.length(bare).cast("string"), bare)).otherwise(p)
 
     return F.array_join(F.transform(pieces, keyed), "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,10 @@ def literal(text: str):
         return None
     if text in ("true", "false"):
         return text == "true"
-    try:
-        number = float(text)
-    except ValueError:
+    if not re.fullmatch(r"-?\d+(\.\d+)?", text, re.ASCII):
         return text
-    return int(number) if number.is_integer() and "e" not in text.lower() else number
+    number = float(text)
+    return int(text.partition(".")[0]) if "." not in text or number.is_integer() else number
 
 
 def _value(value) -> tuple[Column, Column]:
@@ -182,5 +182,9 @@ def relink_bodies(notes: DataFrame, rewrites: DataFrame) -> DataFrame:
     """(path, body) with rewritten links; each note's rewrites are folded inside its row."""
     per_note = rewrites.groupBy(F.col("src_path").alias("path")).agg(
         F.collect_set(F.struct("raw", "new_raw")).alias("edits"))
-    return notes.join(per_note, "path").select("path", F.aggregate(
-        "edits", F.col("body"), lambda text, e: F.replace(text, e["raw"], e["new_raw"])).alias("body"))
+    # Two passes over marks that no text holds, so what one edit has written is no input of another.
+    mark = lambda k: F.concat(F.lit("\u0000"), k.cast("string"), F.lit("\u0000"))
+    numbered = F.transform("edits", lambda e, k: F.struct(e["raw"].alias("raw"), e["new_raw"].alias("new_raw"), mark(k).alias("mark")))
+    return notes.join(per_note.select("path", numbered.alias("edits")), "path").select("path", F.aggregate(
+        "edits", F.aggregate("edits", F.replace("body", F.lit("\u0000"), F.lit("")), lambda text, e: F.replace(text, e["raw"], e["mark"])),
+        lambda text, e: F.replace(text, e["mark"], e["new_raw"])).alias("body"))

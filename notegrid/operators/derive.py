@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from graphlib import CycleError, TopologicalSorter
 
@@ -56,7 +57,7 @@ def derive_fields(df: DataFrame, schema: TypeSchema, type_name: str) -> DataFram
 def apply_defaults(notes: DataFrame, schema: TypeSchema, asof: str) -> DataFrame:
     """(path, field, value) of blank declared fields: the fixed value wins over the default.
 
-    The declared fields of a type ride along as one small array, so the check is row-local.
+    Values other than text are JSON. The declared fields of a type ride along as one small array, so the check is row-local.
     """
     from notegrid.operators.rules import blank_value
     rows = []
@@ -66,8 +67,9 @@ def apply_defaults(notes: DataFrame, schema: TypeSchema, asof: str) -> DataFrame
             value = d.get("value", d.get("default"))
             if value is None or d.get("derived"):
                 continue
-            value = {"$NOW": asof, "$TODAY": asof}.get(value, value)
-            fill.append((f, str(value).lower() if isinstance(value, bool) else str(value)))
+            if value in ("$NOW", "$TODAY"):
+                value = asof
+            fill.append((f, value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, default=str)))
         rows.append((t, fill))
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         rows, "type string, fill array<struct<field:string,value:string>>"))

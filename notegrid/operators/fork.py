@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.operators.headers import held
+from notegrid.operators.headers import held, json_text
 from notegrid.types import TypeSchema
 
 # Fixed value: header keys a copy never inherits.
@@ -29,13 +31,13 @@ def fork_rows(notes: DataFrame, schema: TypeSchema, suffix: str = " copy") -> Da
     digest = F.sha2(F.concat_ws("/", F.lit("fork"), "path", source), 256)
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     fresh = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in cuts])
-    text = lambda c: F.parse_json(F.concat(F.lit('"'), c, F.lit('"')))
+    text = lambda c: F.parse_json(json_text(c))
     kept = F.map_filter(held(F.col("fm")), lambda k, v: ~F.array_contains(gone, k))
     defaults = F.lit(None)
     for t, fields in schema.fields.items():
-        pairs = [(f, d["default"]) for f, d in fields.items() if isinstance(d.get("default"), str)]
+        pairs = [(f, d["default"]) for f, d in fields.items() if d.get("default") is not None]
         if pairs:
-            filled = F.create_map(*[x for f, v in pairs for x in (F.lit(f), text(F.lit(v)))])
+            filled = F.create_map(*[x for f, v in pairs for x in (F.lit(f), F.parse_json(F.lit(json.dumps(v, ensure_ascii=False, default=str))))])
             missing = F.map_filter(filled, lambda k, v: ~F.array_contains(F.map_keys(kept), k))
             kept = F.when(F.col("type") == t, F.map_concat(kept, missing)).otherwise(kept)
     named = F.map_concat(kept, F.create_map(

@@ -193,7 +193,8 @@ def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
         & ((lead_n == 0) | F.col("before").isNull() | (F.length(before) > lead_n))
     hits = grams.join(keys, "core_key").filter(fits).select(
         "path", (F.col("start") - lead_n).alias("start"), (F.col("end") + tail_n).alias("end"),
-        "line", "cold", "text", "key", "lead", "tail")
+        "line", "cold", "text", "key",  # the edges as the text has them, not as the index folds them
+        F.right(before, lead_n).alias("lead"), F.left(F.coalesce(after, F.lit("")), tail_n).alias("tail"))
     chosen = _leftmost_longest(hits)
     form_hit = chosen.withColumn("whole", F.concat("lead", "text", "tail"))
     by_form = index.select("key", "form", "n", "low", "high", "low_kind", "high_kind")

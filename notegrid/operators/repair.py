@@ -29,9 +29,13 @@ def _typed_json(text: Column, kind: Column) -> Column:
 
 
 def _default_json() -> Column:
-    return F.when(F.col("multiple"), F.concat(F.lit("["), F.array_join(F.transform(
-        F.split("default", ", "), lambda x: TEXT(x)), ","), F.lit("]"))) \
-        .otherwise(_typed_json(F.col("default"), F.col("kind")))
+    """The declared default as written in the schema; a text is coerced to the field's kind."""
+    c = F.col
+    single = F.when(F.startswith("default_json", F.lit('"')), _typed_json(c("default"), c("kind"))).otherwise(c("default_json"))
+    return F.when(c("multiple") & ~F.startswith("default_json", F.lit("[")),
+                  F.concat(F.lit("["), F.when(F.startswith("default_json", F.lit('"')), TEXT(c("default"))).otherwise(c("default_json")),
+                           F.lit("]"))) \
+        .when(c("multiple"), c("default_json")).otherwise(single)
 
 
 def fix_default() -> Column:
@@ -74,22 +78,26 @@ def fix_list() -> Column:
                         .otherwise(F.concat(F.lit("\u0000"), F.to_json(x))))
     good = F.array_distinct(F.filter(texts, lambda t: t.isNotNull() & (F.trim(t) != "")))
     new = F.concat(F.lit("["), F.array_join(F.transform(good, lambda t: F.when(
-        F.startswith(t, F.lit("\u0000")), F.substring(t, 2, 1000000)).otherwise(TEXT(t))), ","), F.lit("]"))
+        F.startswith(t, F.lit("\u0000")), F.substr(t, F.lit(2), F.length(t))).otherwise(TEXT(t))), ","), F.lit("]"))
     keeps_one = ~c("required") | (F.size(good) > 0)
     whole_alias = ~c("alias") | F.forall("items", lambda x: shape_of(x) == "string")
     applies = c("declared") & Q._is_list_field() & (c("shape") == "list") & keeps_one & whole_alias \
-        & (c("kind") != "date")
+        & ((c("kind") != "date") | F.exists("items", lambda x: shape_of(x) == "number"))
     return F.when(applies & (new != F.to_json("v")), new)
 
 
 def fix_link(style: str = "wikilink") -> Column:
     """Missing bracket first, then the configured link format."""
     c = F.col
-    near = F.when(c("s").rlike(r"^\[\[.*[^\]]\]$"), F.concat("s", F.lit("]"))) \
-        .when(c("s").rlike(r"^\[[^\[].*\]\]$"), F.concat(F.lit("["), "s"))
-    mended = F.coalesce(near, c("s"))
-    formatted = F.when(c("declared") & (c("kind") == "relation"), L.link_format(mended, style)).otherwise(mended)
-    return F.when((c("shape") == "string") & (c("s") != "") & (formatted != c("s")), TEXT(formatted))
+    def made(s: Column) -> Column:
+        mended = F.when(Q.broken_link(s), Q.mended_link(s)).otherwise(s)
+        return F.when(c("declared") & (c("kind") == "relation") & (F.trim(s) != ""), L.link_format(F.trim(mended), style)).otherwise(mended)
+
+    items = F.concat(F.lit("["), F.array_join(F.transform("items", lambda v: F.when(
+        F.coalesce((shape_of(v) == "string") & Q.broken_link(v.try_cast("string")), F.lit(False)), TEXT(made(v.try_cast("string")))).otherwise(F.coalesce(F.to_json(v), F.lit("null")))), ","), F.lit("]"))
+    listed = F.exists("items", lambda v: F.coalesce((shape_of(v) == "string") & Q.broken_link(v.try_cast("string")), F.lit(False)))
+    return F.when((c("shape") == "string") & (c("s") != "") & (made(c("s")) != c("s")), TEXT(made(c("s")))) \
+        .when((c("shape") == "list") & listed, items)
 
 
 def fix_boolean() -> Column:
@@ -175,10 +183,13 @@ def fix_stale_link(stale: DataFrame, close: DataFrame) -> DataFrame:
 
 
 def fix_location(notes: DataFrame, schema: TypeSchema) -> DataFrame:
-    """(path, new_path): misplaced notes go to their type's folder."""
+    """(path, new_path): misplaced notes go to their type's folder, unless they sit with their owner."""
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         list(schema.output_dir.items()), "type string, output_dir string"))
-    out = notes.join(dim, "type").filter(
+    rows = notes.join(dim, "type")
+    if any(d.get("owned") for fields in schema.fields.values() for d in fields.values()):
+        rows = rows.join(Q.well_owned(notes, schema).select("path"), "path", "left_anti")
+    out = rows.filter(
         (F.col("folder") != F.col("output_dir")) & ~F.startswith("folder", F.concat("output_dir", F.lit("/"))))
     return out.select("path", F.concat("output_dir", F.lit("/"), "name").alias("new_path"))
 

@@ -23,6 +23,7 @@ from notegrid.operators.fields import explode_fields, shape_of
 from notegrid.operators.lineage import valid_id
 from notegrid.operators.naming import side_by_side
 from notegrid.session import spread
+from notegrid.sources.notes import read_owned
 from notegrid.types import TypeSchema
 
 # Keys every note may carry without declaring them.
@@ -78,7 +79,7 @@ def field_context(notes: DataFrame, schema: TypeSchema) -> DataFrame:
         (F.col("key") != "type") & ~F.endswith("key", F.lit("-type")))
     fields = F.broadcast(schema.fields_table(spark).drop("ordinal", "description").select(
         F.col("type").alias("d_type"), F.col("field").alias("key"), "kind", "required", "multiple",
-        "default", "options", "source_types", "granularity", "alias", "derived_expr"))
+        "default", "default_json", "options", "source_types", "granularity", "alias", "derived_expr"))
     names = F.broadcast(spark.createDataFrame(
         [(t, list(f)) for t, f in schema.fields.items()], "n_type string, names array<string>"))
     return rows.join(names, F.col("type") == F.col("n_type")).join(
@@ -278,13 +279,19 @@ def invalid_boolean_coercion() -> Column:
                      expected=coerce_boolean(_c("s")), fix=F.lit(True)))
 
 
-def malformed_wikilink() -> Column:
-    def broken(s: Column) -> Column:
-        return s.rlike(r"^\s*(\[\[.*[^\]]|\[\[)\]\s*$") | s.rlike(r"^\s*\[[^\[].*\]\]\s*$")
+def broken_link(s: Column) -> Column:
+    """A wikilink that lacks one bracket at its start or its end."""
+    return s.rlike(r"^\s*(\[\[.*[^\]]|\[\[)\]\s*$") | s.rlike(r"^\s*\[[^\[].*\]\]\s*$")
+
 
-    def mended(s: Column) -> Column:
-        return F.when(s.rlike(r"^\s*\[\["), F.regexp_replace(s, r"(\]\s*)$", "]$1")) \
-            .otherwise(F.regexp_replace(s, r"^(\s*\[)", "$1["))
+def mended_link(s: Column) -> Column:
+    """The link with that bracket; blanks around it stay."""
+    return F.when(s.rlike(r"^\s*\[\["), F.regexp_replace(s, r"(\]\s*)$", "]$1")) \
+        .otherwise(F.regexp_replace(s, r"^(\s*\[)", "$1["))
+
+
+def malformed_wikilink() -> Column:
+    broken, mended = broken_link, mended_link
 
     scalar = one((_c("shape") == "string") & broken(_c("s")),
                  issue("malformed-wikilink", "error", field=_c("key"), value=_c("s"),
@@ -337,10 +344,24 @@ def note_context(notes: DataFrame, schema: TypeSchema) -> DataFrame:
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         rows, "d_type string, output_dir string, required array<string>"))
     out = spread(notes).join(dim, F.col("type") == F.col("d_type"), "left")
+    if any(d.get("owned") for fields in schema.fields.values() for d in fields.values()):
+        out = out.join(well_owned(notes, schema), "path", "left")
+    else:
+        out = out.withColumn("owner_path", F.lit(None).cast("string"))
     return out.withColumn("typed", F.col("d_type").isNotNull()).drop("d_type").withColumn(
         "keys", F.map_keys(F.col("fm").try_cast("map<string,variant>")))
 
 
+def well_owned(notes: DataFrame, schema: TypeSchema) -> DataFrame:
+    """(path, owner_path): notes that sit where their owner's field keeps notes of their type."""
+    kept = [(t, f, k) for t, fields in schema.fields.items() for f, d in fields.items() if d.get("owned")
+            for k in schema.source_family(d)]
+    allowed = F.broadcast(notes.sparkSession.createDataFrame(kept, "owner_type string, field string, type string"))
+    placed = read_owned(notes, schema).join(notes.select("path", "type"), "path")
+    return (placed.join(allowed, ["owner_type", "field", "type"]).groupBy("path")
+            .agg(F.min("owner_path").alias("owner_path")))
+
+
 def missing_frontmatter() -> Column:
     return one(_c("fm").isNull(), issue("missing-frontmatter", "error",
                                         fix=_c("directory_type").isNotNull()))
@@ -365,7 +386,7 @@ def unsafe_filename() -> Column:
 
 
 def wrong_directory() -> Column:
-    return one(_c("typed") & (_c("folder") != _c("output_dir"))
+    return one(_c("typed") & _c("owner_path").isNull() & (_c("folder") != _c("output_dir"))
                & ~F.startswith("folder", F.concat("output_dir", F.lit("/"))),
                issue("wrong-directory", "error", value=_c("folder"), expected=_c("output_dir"),
                      fix=F.lit(True)))

@@ -210,7 +210,7 @@ def _decoded(c: Column) -> Column:
 
 def resolve_relative(folder: Column, target: Column) -> Column:
     """Corpus path of a relative or root-relative target with ``.`` and ``..`` worked out."""
-    full = F.when(F.startswith(target, F.lit("/")), F.substring(target, 2, 100000)) \
+    full = F.when(F.startswith(target, F.lit("/")), F.substr(target, F.lit(2), F.length(target))) \
         .otherwise(F.concat_ws("/", folder, target))
     steps = F.filter(F.split(full, "/"), lambda s: ~s.isin("", "."))
     walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(

@@ -207,7 +207,7 @@ def _(t):
     forms = M.word_forms(t.document)
     words = forms.select("word").distinct().filter(F.col("word").rlike("^[a-z]+$"))
     names = words.select(F.concat(F.lit("Words/"), "word").alias("path"),
-                         F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1000)).alias("name"))
+                         F.concat(F.upper(F.substring("word", 1, 1)), F.substr("word", F.lit(2), F.length("word"))).alias("name"))
     return M.common_names(names, forms)
 
 

@@ -19,7 +19,7 @@ def build_session(app: str = "notegrid", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid.operators.select import glob_regex
+from notegrid.session import broadcast_if_small
 from notegrid.types import TypeSchema
 
 READ = ("path string, name string, folder string, ext string, size bigint, mtime timestamp, "
@@ -159,12 +160,19 @@ def ignore_patterns(notes: DataFrame, files: list[tuple[str, str]], path: str =
 
 
 def dedupe_paths(notes: DataFrame, key: Column | None = None) -> DataFrame:
-    """One note per canonical path: the first in path order. Aggregates instead of a window, so
-    a path listed very often is combined before the shuffle."""
-    canonical = F.regexp_replace("path", r"/\./|//+", "/") if key is None else key
+    """One note per canonical path (``.`` and ``..`` worked out): the first in path order.
+
+    Paths are counted first; only rows whose path is listed more than once are gathered, with a
+    partial aggregate, and all others stay where they are.
+    """
+    from notegrid.operators.search import resolve_relative
+    canonical = resolve_relative(F.lit(""), F.col("path")) if key is None else key
     rows = notes.withColumn("canonical", canonical)
     keep = [c for c in rows.columns if c != "canonical"]
-    return rows.groupBy("canonical").agg(F.min_by(F.struct(*keep), F.col("path")).alias("r")).select("r.*")
+    often = rows.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("canonical", F.lit(True).alias("often"))
+    marked = rows.join(broadcast_if_small(often), "canonical", "left")
+    first = (marked.filter("often").groupBy("canonical").agg(F.min_by(F.struct(*keep), F.col("path")).alias("r")).select("r.*"))
+    return marked.filter("often IS NULL").select(*keep).unionByName(first)
 
 
 def read_unmanaged(notes: DataFrame, schema: TypeSchema) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.operators.headers import held
+from notegrid.operators.headers import held, json_text
 from notegrid.types import TypeSchema
 
 
@@ -21,7 +21,7 @@ def render(notes: DataFrame, schema: TypeSchema) -> Column:
     declared = F.filter(F.coalesce(order, F.array(F.lit("type"))), lambda k: F.array_contains(keys, k))
     rest = F.array_sort(F.array_except(keys, declared))
     line = lambda k: F.concat(F.when(k.rlike(r"^[\w-]+$"), k).otherwise(
-        F.concat(F.lit('"'), k, F.lit('"'))), F.lit(": "), F.to_json(F.try_element_at(h, k)))
+        json_text(k)), F.lit(": "), F.to_json(F.try_element_at(h, k)))
     header = F.array_join(F.transform(F.concat(declared, rest), line), "\n")
     return F.when(F.col("fm").isNull(), F.col("body")).otherwise(
         F.concat(F.lit("---\n"), header, F.lit("\n---\n"), F.coalesce("body", F.lit(""))))

@@ -7,6 +7,8 @@ fields merge over inherited ones and replace trait fields.
 
 from __future__ import annotations
 
+import json
+
 from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,7 @@ FIELD_ROW = T.StructType([
     T.StructField("required", T.BooleanType()),
     T.StructField("multiple", T.BooleanType()),
     T.StructField("default", T.StringType()),
+    T.StructField("default_json", T.StringType()),
     T.StructField("static_value", T.StringType()),
     T.StructField("options", T.ArrayType(T.StringType())),
     T.StructField("source_types", T.ArrayType(T.StringType())),
@@ -112,7 +115,9 @@ class TypeSchema:
                 derived = d.get("derived") or {}
                 rows.append((t, name, d.get("kind"), bool(d.get("required")),
                              bool(d.get("multiple")) or d.get("kind") == "list",
-                             _text(d.get("default")), _text(d.get("value")),
+                             _text(d.get("default")),
+                             None if d.get("default") is None else json.dumps(d["default"], ensure_ascii=False, default=str),
+                             _text(d.get("value")),
                              list(d.get("options", [])), self.source_family(d),
                              d.get("granularity", "day"), bool(d.get("owned")),
                              bool(d.get("alias")), derived.get("expression"),
