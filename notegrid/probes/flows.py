@@ -12,6 +12,7 @@ from notegrid.operators import resolve as R
 from notegrid.operators import rules as Q
 from notegrid.operators import workflow as Wf
 from notegrid.operators.naming import side_by_side
+from notegrid.plans.audit import audit
 from notegrid.probes.graphs import FORKS, LINKS_SQL, _forked, _index, _order_verdicts, _part_links
 from notegrid.probes.registry import probe, twin
 from notegrid.sources.tables import ASOF, SCHEMA, wiki
@@ -115,6 +116,16 @@ def _(t):
         .filter("folder <> expected").select("path", "owner_path", "expected")
 
 
+@probe("audit_owned", twin("order_n", "customer_n", body="""
+    SELECT path, 'owned-ambiguous-owner' AS code FROM claims GROUP BY 1 HAVING count(*) > 1 UNION ALL
+    SELECT path, 'owned-wrong-location' FROM claims GROUP BY 1 HAVING count(*) = 1""", **OWN))
+def _(t):
+    """The same rules run by the audit plan, which resolves the raw links itself."""
+    notes = t.frames("order", "customer")
+    return audit(notes, compile_types(OWN_SCHEMA), "2024-01-01", only=["owned-ambiguous-owner", "owned-wrong-location"],
+                 links=_owned(t).drop("resolved_path"), names=t.index_rows).select("path", "code")
+
+
 @probe("rule_owned_note_referenced", twin("order_n", "customer_n", body="""
     SELECT a.path AS src_path, b.path AS path FROM order_n a JOIN order_n b ON b.k=a.k-1 WHERE b.path IN (SELECT path FROM claims)""", **OWN))
 def _(t):

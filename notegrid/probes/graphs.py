@@ -6,6 +6,7 @@ from notegrid.operators import hierarchy as H
 from notegrid.operators import lineage as G
 from notegrid.operators import resolve as R
 from notegrid.operators import select as S
+from notegrid.plans.audit import is_root
 from notegrid.probes.registry import probe, twin
 from notegrid.session import settle
 from notegrid.sources.tables import wiki
@@ -223,11 +224,7 @@ def _(t):
 @probe("is_root", twin("index_n", body="""
     SELECT path FROM index_n WHERE type IN ('region','part','document')"""))
 def _(t):
-    linked = t.parent_links.select(F.col("src_path").alias("path"), "src_type", "field", "raw")
-    parent_like = [(n, f) for n in t.schema.fields for f in t.schema.parent_like_fields(n)]
-    dim = F.broadcast(t.spark.createDataFrame(parent_like, "src_type string, field string"))
-    held = linked.join(dim, ["src_type", "field"], "left_semi").filter(F.col("raw").isNotNull())
-    return t.index_rows.join(held, "path", "left_anti").select("path")
+    return is_root(t.index_rows, t.parent_links, t.schema)
 
 
 @probe("is_child_of", twin(*NS, body="SELECT child AS path FROM edge WHERE parent='Places/NATION_3'", **PLACES))

@@ -38,7 +38,7 @@ def _(t):
                            A.is_null(F.col("fm"), "quality").alias("is_null"))
 
 
-@probe("now", None)
+@probe("now", twin("order_n", body="SELECT path, true AS past FROM order_n"))
 def _(t):
     return t.order.select("path", (F.current_timestamp() > F.col("ordered").cast("timestamp")).alias("past"))
 

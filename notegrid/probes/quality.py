@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from notegrid.operators import fields as P
 from notegrid.operators import rules as Q
 from notegrid.operators import select as S
+from notegrid.plans.audit import audit
 from notegrid.probes.registry import probe, twin
 from notegrid.sources.tables import ASOF
 
@@ -95,7 +96,7 @@ def _issues(t):
 
 @probe("audit", twin(body="SELECT * FROM i", **ALL))
 def _(t):
-    return _issues(t)
+    return audit(t.drifted, t.schema, ASOF, only=list(SQL))
 
 
 @probe("audit_summary", twin(body="""
