@@ -144,7 +144,7 @@ def _(t):
 
 
 def _known(t):
-    return M.surfaces(t.frames("region", "nation", "supplier", "part", "document"), t.aliases)
+    return M.surfaces(t.index_rows, t.aliases)
 
 
 HITS = {"m": """
