@@ -125,8 +125,9 @@ def under(links: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(path, ancestor, depth) for all pairs up to a depth; each pair once, cycles included.
 
-    Level by level: the pairs of the last level step to the next ancestor. A chain ends at its
-    root, or after one full turn of a cycle, which the node's chain length tells in advance.
+    Known pairs double: those of the full depth so far are continued by all pairs of their ancestor,
+    so a chain takes log2(length) rounds. A chain ends at its root, or after one full turn of a
+    cycle, which the node's chain length tells in advance.
     """
     base = settle(edges.select("child", "parent").distinct())
     shape = forest(base)
@@ -142,52 +143,45 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
                  ).alias("reach")))
     longest = reach.agg(F.max("reach")).first()[0] or 0
     stop = longest if max_depth is None else min(longest, max_depth)
-    step = base.join(reach, F.col("child") == F.col("node")).select(
-        F.col("child").alias("path"), F.col("parent").alias("ancestor"), "reach")
-    levels, depth = [], 1
-    current = settle(step)
-    while depth <= stop:
-        levels.append(current.select("path", "ancestor", F.lit(depth).alias("depth")))
-        if depth == stop:
-            break
-        nxt = current.filter(F.col("reach") > depth).join(
-            base, F.col("ancestor") == F.col("child")).select(
-            "path", F.col("parent").alias("ancestor"), "reach")
-        current = settle(nxt)
-        depth += 1
-    out = levels[0] if levels else step.limit(0).select("path", "ancestor", F.lit(0).alias("depth"))
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.groupBy("path", "ancestor").agg(F.min("depth").alias("depth"))
+    reach = reach.select(F.col("node").alias("path"), F.least("reach", F.lit(stop)).alias("reach"))
+    known = settle(base.select(F.col("child").alias("path"), F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth"))
+                   .join(reach, "path").filter("reach >= 1"))
+    depth = 1
+    while depth < stop:
+        onward = known.select(F.col("path").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("depth").alias("more"))
+        added = (known.filter(F.col("depth") == depth).join(onward, "ancestor")
+                 .select("path", F.col("beyond").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"), "reach")
+                 .filter("depth <= reach"))
+        known = settle(known.unionByName(added))
+        depth *= 2
+    return known.groupBy("path", "ancestor").agg(F.min("depth").cast("int").alias("depth"))
 
 
 def would_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
     """Proposed (child, parent) edges, each judged alone, that would close a cycle.
 
-    The new edge closes one when the child is the parent itself or above it. Only the ancestors
-    of proposed parents are walked, all proposals together, one parent step per round.
+    The new edge closes one when the child is the parent itself or above it. Members of a ring are
+    above all that hangs below it. Otherwise the child must stand where the parent's chain is at the
+    child's depth: all proposals take that many steps together, by powers of two.
     """
     proposals = proposals.select("child", "parent").distinct()
-    base = settle(edges.select(F.col("child").alias("at"), F.col("parent").alias("up")).distinct())
-    found = [proposals.filter(F.col("child") == F.col("parent"))]
-    walk = settle(proposals.filter(F.col("child") != F.col("parent")).select(
-        "child", "parent", F.col("parent").alias("at"), F.col("parent").alias("mark"),
-        F.lit(1).cast("bigint").alias("power"), F.lit(0).cast("bigint").alias("steps")))
-    while not walk.isEmpty():
-        stepped = settle(walk.join(base, "at").select("child", "parent", F.col("up").alias("at"),
-                                                      "mark", "power", "steps"))
-        found.append(stepped.filter(F.col("at") == F.col("child")).select("child", "parent"))
-        # Brent's rule: a walk that meets its own mark is inside an older cycle and stops.
-        alive = stepped.filter((F.col("at") != F.col("child")) & (F.col("at") != F.col("mark")))
-        turn = F.col("steps") + 1 == F.col("power")
-        walk = settle(alive.select(
-            "child", "parent", "at", F.when(turn, F.col("at")).otherwise(F.col("mark")).alias("mark"),
-            F.when(turn, F.col("power") * 2).otherwise(F.col("power")).alias("power"),
-            F.when(turn, 0).otherwise(F.col("steps") + 1).cast("bigint").alias("steps")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    same = proposals.filter(F.col("child") == F.col("parent"))
+    shape = settle(forest(edges))
+    above = shape.select(F.col("node").alias("child"), F.col("root").alias("c_root"), F.col("depth").alias("c_depth"), F.col("cycle").alias("ring"))
+    below = shape.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"))
+    both = settle(proposals.filter(F.col("child") != F.col("parent")).join(above, "child").join(below, "parent").filter("c_root = p_root"))
+    jump = edges.select(F.col("child").alias("at"), F.col("parent").alias("up")).distinct()
+    walk = both.filter("ring IS NULL AND c_depth < p_depth").select(
+        "child", "parent", F.col("parent").alias("at"), (F.col("p_depth") - F.col("c_depth")).alias("steps"))
+    longest = walk.agg(F.max("steps")).first()[0] or 0
+    for bit in range(int(longest).bit_length()):
+        step = F.shiftright("steps", bit).bitwiseAND(F.lit(1)) == 1
+        moved = walk.filter(step).join(jump, "at").select("child", "parent", F.col("up").alias("at"), "steps")
+        walk = settle(walk.filter(~step).unionByName(moved))
+        ahead = jump.select(F.col("at").alias("up"), F.col("up").alias("far"))
+        jump = settle(jump.join(ahead, "up").select("at", F.col("far").alias("up")))
+    return (same.unionByName(both.filter("ring IS NOT NULL").select("child", "parent"))
+            .unionByName(walk.filter(F.col("at") == F.col("child")).select("child", "parent")).distinct())
 
 
 def children_index(edges: DataFrame) -> DataFrame:

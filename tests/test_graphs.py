@@ -94,3 +94,29 @@ def test_free_names_fill_gaps_in_order(spark):
                                    "path string, want string")
     got = {r["path"]: r["free_name"] for r in free_names(wanted, notes, ["path"]).collect()}
     assert got == {"p0": "Plan 3", "p1": "Plan 5", "p2": "Plan 6", "p3": "Plan 7", "q0": "Solo", "q1": "Solo 2", "q2": "Solo 4"}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(H, "settle", lambda df, f=H.settle: rounds.append(1) or f(df))
+    n = 3000
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(n)], "child string, parent string")
+    asked = spark.createDataFrame([(f"n{n}", "n0"), ("n7", "n0"), ("n0", "n7"), ("x", "n1"), ("n5", "n5"), ("n2999", "n1500"), ("n1500", "n2999")],
+                                  "child string, parent string")
+    got = {(r["child"], r["parent"]) for r in H.would_cycle(chain, asked).collect()}
+    assert got == {(f"n{n}", "n0"), ("n7", "n0"), ("n5", "n5"), ("n2999", "n1500")}
+    assert len(rounds) < 60
+    rounds.clear()
+    short = chain.limit(200)
+    assert H.closure(short).count() == 200 * 201 // 2
+    assert len(rounds) < 40
+
+
+def test_rings_are_above_what_hangs_below_them(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("e", "d"), ("f", "d")], "child string, parent string")
+    asked = spark.createDataFrame([(x, y) for x in "abcdef" for y in "abcdef"], "child string, parent string")
+    above = {"a": "abc", "b": "abc", "c": "abc", "d": "abcd", "e": "abcde", "f": "abcdf"}
+    got = {(r["child"], r["parent"]) for r in H.would_cycle(edges, asked).collect()}
+    assert got == {(x, y) for y, seen in above.items() for x in seen}
+    pairs = {(r["path"], r["ancestor"]): r["depth"] for r in H.closure(edges).collect()}
+    assert pairs[("a", "a")] == 3 and pairs[("e", "c")] == 3 and pairs[("e", "b")] == 2 and ("e", "e") not in pairs and len(pairs) == 9 + 3 + 4 + 4
