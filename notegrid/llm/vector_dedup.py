@@ -2,9 +2,9 @@
 
 Centres are fitted on a bounded sample; every vector then has a home cell. A pair over the threshold
 may lie across a border, so a vector also visits the cells of other centres it is close to the border
-of: cell c, unless (v . (home - c)) / |home - c| exceeds ``reach``. With reach = sin(acos(threshold))
-no pair can be missed; a smaller reach visits fewer cells and misses a pair only if both its vectors
-lie deeper than that on either side of a border. Vectors at home are compared with each other and
+of: cell c, unless its depth (v . (home - c)) / |home - c| exceeds ``reach``. A pair is missed only if
+either vector lies deeper than that on its side of the border, so they are more than 2 reach apart;
+with reach = sqrt((1 - threshold) / 2), half the distance at the threshold, no pair can be missed. Vectors at home are compared with each other and
 with visitors, in blocks of bounded size, so a full cell is many tasks. A task returns a number of
 links per vector and a forest of links, never the pairs. Equal vectors are one node with a count.
 
@@ -126,7 +126,7 @@ def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def link_vectors(nodes: DataFrame, width: int, threshold: float = 0.95, reach: float | None = None, per_cell: int = 512,
                  most_cells: int = 4096, sample: int = 20_000, block: int = 1024) -> DataFrame:
     """(a, b, links): links counted per node (b null), and forest edges (links 0). nodes: node, n, embedding."""
-    reach = math.sqrt(1 - threshold * threshold) if reach is None else reach
+    reach = math.sqrt((1 - threshold) / 2) if reach is None else reach
     total = nodes.count()
     share = min(1.0, sample / max(total, 1))
     held = (nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
