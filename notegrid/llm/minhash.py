@@ -7,7 +7,10 @@ and pairs are confirmed on full sets. Exact copies share a node from the start.
 
 Stars alone can miss a link between two members that both differ from their centre. So further rounds
 take other centres for buckets that still hold several components, and a last round pairs what lies
-outside the main component of its bucket with all of the bucket's other components; nothing is capped.
+outside the main component of its bucket with all of the bucket's other components, each pair in the
+first bucket it shares; nothing is capped. Before sets are fetched, pairs are held against a digest of
+four bits per bin: what is left out has fewer agreeing bins than a pair at the threshold has, less 4
+standard deviations, which is about as unlikely as sharing no bucket.
 
 Rows with null or empty text are linked with nothing; rows without a doc_id too, and they are kept
 with a null component. Repeated rows count as copies of one another.
@@ -16,6 +19,7 @@ with a null component. Repeated rows count as copies of one another.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,26 +72,57 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each bin, packed into eight 64-bit values."""
+    part = (mix(sig) >> np.uint64(60)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(part, axis=1)
+
+
 def set_key(shingles: np.ndarray) -> int:
     """64-bit name of a set: the same for equal sets."""
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) ^ np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
+DIGEST = [f"s{k}" for k in range(BINS // 16)]
+
+
 def _sketch(batches):
     for batch in batches:
-        sizes, nodes, keys = [], [], []
+        sizes, nodes, keys, digests = [], [], [], []
         for text in texts(batch.column("text")):
             s = pair_hashes(word_hashes(text))
             sizes.append(len(s))
-            nodes.append(set_key(s) if len(s) else None)
-            keys.append(bands(signature(s)).astype(np.int64).tobytes() if len(s) else None)
-        width = BINS // BAND
-        lists = [None if k is None else np.frombuffer(k, np.int64) for k in keys]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()),
-            "node": pa.array(nodes, pa.int64()),
-            "bands": pa.array([x if x is None or len(x) == width else x for x in lists], pa.list_(pa.int64()))})
+            if len(s):
+                sig = signature(s)
+                nodes.append(set_key(s))
+                keys.append(bands(sig).astype(np.int64))
+                digests.append(nibbles(sig).astype(np.int64))
+            else:
+                nodes.append(None)
+                keys.append(None)
+                digests.append(np.zeros(len(DIGEST), np.int64))
+        digest = np.stack(digests) if digests else np.zeros((0, len(DIGEST)), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+             *(pa.array(np.ascontiguousarray(digest[:, k])) for k in range(len(DIGEST)))], ["doc_id", "n_shingles", "node", "bands", *DIGEST])
+
+
+def _agreeing() -> Column:
+    """How many of the bins of node and centre agree, by their digests."""
+    apart = []
+    for d in DIGEST:
+        x = F.col(d).bitwiseXOR(F.col(f"c_{d}"))
+        any_ = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+        apart.append(F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111))))
+    return F.lit(BINS) - sum(apart[1:], apart[0])
+
+
+def _plausible(percent: int) -> Column:
+    """Enough agreeing bins for a pair at the threshold; small sets fill few bins, so they vary more."""
+    m = percent / 100 + (1 - percent / 100) / 16
+    drawn = F.least(F.lit(110.0), F.least("size", "c_size") * 0.7)
+    return _agreeing() >= BINS * (m - 4 * F.sqrt(F.lit(m * (1 - m)) / drawn))
 
 
 def _sets(batches):
@@ -100,20 +135,30 @@ def _sets(batches):
         yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
 
-def _linked(batches, percent: int):
-    for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        left, right = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        keep = []
-        for x, y in zip(left, right):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
-                keep.append(False)
-                continue
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            keep.append(100 * both >= percent * (len(u) + len(v) - both))
-        keep = np.array(keep, bool)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
+def _linked(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs of one cell whose full sets are similar enough."""
+    held = {n: np.frombuffer(x, np.uint64) for n, x in zip(sets["node"], sets["shingles"])}
+    keep = []
+    for u, v in zip(pairs["hub"], pairs["spoke"]):
+        x, y = held[u], held[v]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        keep.append(100 * both >= percent * (len(x) + len(y) - both))
+    return pairs.loc[keep, ["a", "b"]]
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, side: int = 256) -> DataFrame:
+    """Links among ``pairs`` (a, b, area, hub, spoke).
+
+    Pairs of an area share their nodes, so a set is sent once to each cell of about ``side`` hubs by
+    ``side`` spokes of an area, not once per pair.
+    """
+    wide = pairs.groupBy("area").agg(F.approx_count_distinct("hub").alias("hubs"), F.approx_count_distinct("spoke").alias("spokes"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / side)).cast("int")
+    cells = settled(pairs.join(wide, "area").select(
+        F.xxhash64("area", part("hub", "hubs"), part("spoke", "spokes")).alias("cell"), "a", "b", "hub", "spoke"))
+    needed = (cells.select(F.col("cell").alias("at"), F.explode(F.array("hub", "spoke")).alias("node")).distinct().join(sets, "node"))
+    return (cells.groupBy("cell").cogroup(needed.groupBy("at"))
+            .applyInPandas(lambda x, y: _linked(x, y, percent), "a long, b long"))
 
 
 def _member_filter(ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
@@ -141,11 +186,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 3) ->
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100."""
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", F.col("text")).mapInArrow(
-        _sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>"))
+        _sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, "
+                + ", ".join(f"{d} long" for d in DIGEST)))
     linkable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = stored(linkable.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("bands", "doc_id").alias("bands"),
-                                                F.min("n_shingles").alias("size")))
-    member = nodes.select(F.explode("bands").alias("bucket"), "node", "size")
+    nodes = stored(linkable.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"),
+                                                F.first("n_shingles").alias("size"), *(F.first(d).alias(d) for d in DIGEST)))
+    member = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     shared = (member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
     member = settled(member.join(shared, "bucket"))
     wanted = (member.select("node").distinct().join(nodes.select("node", "first_id"), "node")
@@ -156,7 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 3) ->
 
     links = spark.createDataFrame([], "a long, b long")
     tested = None
-    root = member.select("node").distinct().select("node", F.col("node").alias("root"))
+    known = settled(member.select("node").distinct().join(nodes.select("node", "size", "bands", *DIGEST), "node"))
+    root = known.select("node", F.col("node").alias("root"), "size", *DIGEST)
     for turn in range(star_rounds + 1):
         placed = member.join(root, "node")
         open_ = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
@@ -167,28 +214,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 3) ->
         if turn < star_rounds:
             order = _order(turn, turn > 0)
             centre = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("c"), F.col("root").alias("c_root"),
-                                                                 F.col("size").alias("c_size"))).alias("s"))
+                                                                 F.col("size").alias("c_size"), *(F.col(d).alias(f"c_{d}") for d in DIGEST))).alias("s"))
             found = placed.join(centre.select("bucket", "s.*"), "bucket").filter("root != c_root")
         else:
             crowd = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
             main = crowd.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+            placed = placed.join(known.select("node", "bands"), "node")
             outer = (placed.join(main, "bucket").filter("root != main")
-                     .select("bucket", F.col("main").alias("c_main"), F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size")))
+                     .select("bucket", F.col("main").alias("c_main"), F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"),
+                             F.col("bands").alias("c_bands"), *(F.col(d).alias(f"c_{d}") for d in DIGEST)))
             found = placed.join(outer, "bucket").filter("root != c_root AND (root = c_main OR node < c)")
-        found = found.filter(f"100 * least(size, c_size) >= {percent} * greatest(size, c_size)")
-        pairs = found.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        found = found.filter(f"100 * least(size, c_size) >= {percent} * greatest(size, c_size)").filter(_plausible(percent))
+        if turn == star_rounds:
+            found = found.filter("array_position(zip_with(bands, c_bands, (x, y) -> x = y), true) = band + 1")
+        pairs = (found.groupBy(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+                 .agg(F.min(F.struct(F.col("c" if turn < star_rounds else "root").alias("area"), F.col("c").alias("hub"), F.col("node").alias("spoke"))).alias("p"))
+                 .select("a", "b", "p.*"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settled(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        checked = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-                   .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
-        fresh = settled(checked.mapInArrow(lambda it: _linked(it, percent), "a long, b long"))
+        seen = pairs.select("a", "b")
+        tested = seen if tested is None else tested.unionByName(seen)
+        fresh = settled(_confirm(pairs, sets, percent))
         links = settled(links.unionByName(fresh))
         found_root = components(links)
-        root = settled(member.select("node").distinct().join(found_root, "node", "left")
-                       .select("node", F.coalesce("root", "node").alias("root")))
-    first = root.join(nodes.select("node", "first_id"), "node")
+        root = settled(known.join(found_root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *DIGEST))
+    first = root.select("node", "root").join(nodes.select("node", "first_id"), "node")
     first = settled(first.join(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
                     .select("node", "component_id"))
     single = nodes.select("node", "first_id").join(first, "node", "left").select(
