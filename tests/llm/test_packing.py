@@ -10,7 +10,8 @@ from notegrid.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", "Hello world", "it's don't WE'LL  two  spaces\n\n\tx  ", "é ü ñ ß Ærø 123 456abc", "<|endoftext|> x", "日本語 テスト", "a b c", " lead", "x\x1cy\x1fz",
-         "\x85q", "$$$ ### word!!! | pipe", "ab" * 3000, "word " * 5000, "😀 ok", "naïve\r\nline"]
+         "\x85q", "$$$ ### word!!! | pipe", "ab" * 3000, "word " * 5000, "😀 ok", "naïve\r\nline", "a   b", "a  b", "a    ", "x \n y", "x  \ny", " ", "  ", "   ", "\n word", "w \n\n\tx 's 't", "a \t b", "é  ü",
+         "end ", " \n", "a\u00a0 b", "\u0085 x"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -20,6 +21,16 @@ def test_ids_equal_the_library(text):
     assert encoder.encode(text) == want and encoder.encode(text) == want
 
 
+def test_ids_of_random_texts_equal_the_library():
+    rng = random.Random(8)
+    encoder = packing.Encoder(PATH)
+    assert encoder.fast is not None
+    for _ in range(1500):
+        text = "".join(rng.choice(["a", "B", "'s", "é", " ", " ", "\n", "\t", "1", ",", "!!", "\u00a0", "\x1c", "\x85"]) for _ in range(rng.randrange(14)))
+        want = np.asarray(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(text) == want, text
+
+
 def check(rows, capacity):
     held = defaultdict(list)
     for r in rows:
