@@ -182,7 +182,7 @@ def _order(salt: int, per_bucket: bool) -> Column:
     return F.xxhash64("node", F.lit(salt), F.col("bucket")) if per_bucket else F.xxhash64("node", F.lit(salt))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100."""
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", F.col("text")).mapInArrow(
