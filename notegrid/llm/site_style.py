@@ -3,17 +3,22 @@
 Pages of a host are merged into a tree of element paths. A path's presentation importance is the
 entropy of the child sequences it has over the host's pages; its content importance is one less the
 mean entropy of the text blocks below it over those pages: what stands on every page is spread evenly
-and counts nothing, what stands on one page counts fully. Branches with low importance are removed
-from each page, besides those whose tag, role or class says that they are menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts or styles. If a page marks its article, text
-comes from there only.
+and counts nothing, what stands on one page counts fully. All visible branches are in the tree.
+
+Branches with low importance are removed from each page where at least half of its text stays.
+
+Tags, roles and classes that speak of menus, headers, footers, sidebars, notices, adverts, forms or
+comments are prior weights: such a branch is dropped unless its text, weighed down by its prior,
+outweighs the text outside all such branches: over the host, by distinct text and importance, for any
+mark; on the single page for the weak marks that wrappers carry too. A marked article or main element
+weighs likewise: if it holds only a small part of the text that is kept, all of that text counts, and
+else what is in it. What a browser does not show (head, scripts, styles, hidden elements) is no text.
 
 Per page the tree is kept as counts (host, path, feature), added up by partial aggregation, so a host
 with a third of all pages is no task of its own. The table of low branches is broadcast if it is
 measured to be small and joined otherwise.
 
-A branch is removed for its importance only where enough pages of the host have it and most of the
-page's text stays; that keeps hosts of copies whole. Null and empty html give empty text. Rows may
+Null and empty html give empty text. Rows may
 repeat; a null url is a host of its own.
 """
 
@@ -28,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.llm.common import settled
 from notegrid.session import broadcast_if_small
 
 TOKEN = re.compile(
@@ -50,9 +56,13 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
           "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 P_BOUNDS = {"button", "caption", "object", "table", "td", "th", "template"}
 
-# What marks a branch as no part of the article.
-NOISE_TAGS = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "menu", "nav", "noscript", "object", "script",
-              "select", "style", "svg", "template", "textarea", "title"}
+# What is never shown, and what speaks against a branch; the weak marks stand on wrappers of main texts too.
+UNSEEN_TAGS = {"canvas", "head", "iframe", "noscript", "object", "script", "style", "svg", "template", "textarea", "title"}
+NOISE_TAGS = {"aside", "button", "dialog", "footer", "form", "menu", "nav", "select"}
+WEAK_TAGS = {"form", "header"}
+WEAK_ROLES = {"form"}
+WEAK_WORDS = {"alert", "copyright", "disclaimer", "header", "legal", "login", "masthead", "modal", "notice", "notification", "overlay",
+              "paywall", "promo", "promotion", "related", "share", "sharing", "social", "subscription", "topbar", "widget"}
 NOISE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation",
                "search", "toolbar"}
 NOISE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "banner", "breadcrumb",
@@ -63,7 +73,12 @@ NOISE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "subscription", "toolbar", "widget"}
 HEAD_WORDS = {"header", "masthead", "topbar"}
 MAIN_NOISE = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "recommended", "reply", "sponsored"}
-PRUNABLE = {"div", "section", "ul", "ol", "dl", "table", "figure", "aside", "center", "fieldset", "details", "header", "span"}
+# Weights of marked branches; the characters from which a page alone may overrule weak marks; the share of the
+# kept text from which a marked article is taken for all of it; the share of a group's heaviest branch that stands beside it.
+WEAK, STRONG = 0.25, 0.05
+LEAST_CHARS = 200
+MAIN_SHARE = 0.25
+BESIDE = 0.25
 
 DEPTH = 48  # deeper elements share the path of the 48th
 
@@ -72,7 +87,8 @@ class Page:
     """Elements as parallel lists and text blocks (element, text) in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.noise, self.main, self.depth = [-1], [""], [""], [False], [False], [0]
+        self.parent, self.tag, self.path, self.unseen, self.main, self.depth = [-1], [""], [""], [False], [False], [0]
+        self.region, self.prior = [0], [1.0]  # nearest marked element, product of the marks' weights down to here
         self.children: dict[int, list[str]] = defaultdict(list)
         self.blocks: list[tuple[int, str]] = []
         self._parse(source)
@@ -84,19 +100,27 @@ class Page:
         role = names.get("role", "").lower()
         article = tag in ("article", "main") or role == "main"
         inside = self.main[parent]
-        noise = self.noise[parent]
-        if not noise and tag not in ("html", "body"):
-            noise = (tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
-                     or "display:none" in names.get("style", "").replace(" ", "").lower()
-                     or bool(words & (MAIN_NOISE if article else NOISE_WORDS))
-                     or (not inside and not article and (tag == "header" or bool(words & HEAD_WORDS))))
+        unseen, weight = self.unseen[parent], 1.0
+        if tag not in ("html", "body"):
+            unseen = (unseen or tag in UNSEEN_TAGS or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
+                      or "display:none" in names.get("style", "").replace(" ", "").lower())
+            listed = words & (MAIN_NOISE if article else NOISE_WORDS)
+            top = not inside and not article
+            heads = words & HEAD_WORDS if top else set()
+            header = top and tag == "header"
+            if (tag in NOISE_TAGS - WEAK_TAGS or role in NOISE_ROLES - WEAK_ROLES or listed - (set() if article else WEAK_WORDS)):
+                weight = STRONG
+            elif tag in NOISE_TAGS or role in NOISE_ROLES or listed or heads or header:
+                weight = WEAK
         sign = f"{tag}.{'-'.join(sorted(words))}" if words else tag
         depth = self.depth[parent] + 1
         self.parent.append(parent)
         self.tag.append(tag)
         self.path.append(f"{self.path[parent]}>{sign}" if depth <= DEPTH else self.path[parent])
-        self.noise.append(noise)
-        self.main.append(inside or (article and not noise))
+        self.unseen.append(unseen)
+        self.main.append(inside or article)
+        self.region.append(len(self.tag) - 1 if weight < 1 else self.region[parent])
+        self.prior.append(self.prior[parent] * weight)
         self.depth.append(depth)
         kids = self.children[parent]
         if not kids or kids[-1] != sign:  # repeated siblings count once
@@ -166,7 +190,7 @@ class Page:
                 here = stack[-1][1]
                 if m[3]:
                     element = self._open(here, tag, m[3])
-                    if self.noise[element] and not self.noise[here]:
+                    if (self.unseen[element] and not self.unseen[here]) or self.region[element] == element:
                         flush()
                         here = element
                 stack.append((tag, here))
@@ -185,27 +209,53 @@ class Page:
         flush()
 
     def features(self) -> Counter:
-        """(path, kind, feature): child sequences of elements and hashes of text blocks."""
+        """(path, kind, feature): child sequences of elements and text blocks."""
         out: Counter = Counter()
         for e in range(1, len(self.tag)):
-            if not self.noise[e]:
+            if not self.unseen[e]:
                 out[self.path[e], 0, " ".join(self.children.get(e, ()))] += 1
         for e, text in self.blocks:
-            if not self.noise[e]:
+            if not self.unseen[e]:
                 out[self.path[e], 1, text] += 1
         return out
 
-    def text(self, low: frozenset[str] | set[str] = frozenset(), most_removed: float = 0.5) -> str:
-        kept = [(e, t) for e, t in self.blocks if not self.noise[e]]
+    def marks(self) -> dict[str, tuple[int, float]]:
+        """Per path the length of the path of its nearest marked element, 0 if there is none, and the prior weight."""
+        return {self.path[e]: (len(self.path[self.region[e]]), self.prior[e]) for e in range(1, len(self.tag)) if not self.unseen[e]}
+
+    def _lifted(self, blocks: list[tuple[int, str]], live: frozenset[str] | set[str]) -> set[int]:
+        """Marked elements whose text stays: those the host's tree speaks for, and weak ones that outweigh the rest of this page."""
+        held: Counter = Counter()
+        for e, text in blocks:
+            held[self.region[e]] += len(text)
+        lifted = {r for r in held if r and self.path[r] in live}
+        base = held[0] + sum(held[r] for r in lifted)
+        for prior in sorted({self.prior[r] for r in held if r and r not in lifted}, reverse=True):
+            if prior in (WEAK, WEAK * WEAK):
+                group = [r for r in held if r and r not in lifted and self.prior[r] == prior]
+                heaviest = max(held[r] for r in group)
+                group = [r for r in group if held[r] >= max(LEAST_CHARS, BESIDE * heaviest) and held[r] * prior > base]
+                lifted.update(group)
+                base += sum(held[r] for r in group)
+        for r in list(lifted):
+            while r:
+                lifted.add(r)
+                r = self.region[self.parent[r]]
+        return lifted
+
+    def text(self, low: frozenset[str] | set[str] = frozenset(), live: frozenset[str] | set[str] = frozenset()) -> str:
+        gone = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            gone[e] = gone[self.parent[e]] or self.path[e] in low
+        seen = [(e, t) for e, t in self.blocks if not self.unseen[e]]
+        blocks = [(e, t) for e, t in seen if not gone[e]]
+        if sum(len(t) for _, t in blocks) < 0.5 * sum(len(t) for _, t in seen):
+            blocks = seen
+        lifted = self._lifted(blocks, live) | {0}
+        kept = [(e, t) for e, t in blocks if self.region[e] in lifted]
         main = [(e, t) for e, t in kept if self.main[e]]
-        kept = main or kept
-        if low:
-            cut = [False] * len(self.tag)
-            for e in range(1, len(self.tag)):
-                cut[e] = cut[self.parent[e]] or (self.path[e] in low and self.tag[e] in PRUNABLE)
-            left = [(e, t) for e, t in kept if not cut[e]]
-            if sum(len(t) for _, t in left) >= (1 - most_removed) * sum(len(t) for _, t in kept):
-                kept = left
+        if sum(len(t) for _, t in main) >= MAIN_SHARE * sum(len(t) for _, t in kept):
+            kept = main or kept
         return " ".join(t for _, t in kept)
 
 
@@ -214,45 +264,75 @@ def host() -> Column:
 
 
 def low_branches(pages: DataFrame, threshold: float = 0.2, least_pages: int = 8, presentation: float = 0.1) -> DataFrame:
-    """(host, paths): branches of each host's tree whose importance is under ``threshold``."""
+    """(host, paths, live): branches of each host's tree whose importance is under ``threshold``, and marked ones that are content."""
     def count(batches):
         for batch in batches:
             seen: dict = {}
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for (path, kind, feature), n in Page(source or "").features().items():
+            on: dict = defaultdict(set)  # the least hashes of the pages that have a path; more than least_pages tell nothing new
+            marked: dict = {}
+            for page, host, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
+                tree = Page(source or "")
+                for (path, kind, feature), n in tree.features().items():
                     key = (host, path, kind, feature if kind == 0 else hash_text(feature))
-                    got = seen.setdefault(key, [0, 0.0])
+                    got = seen.setdefault(key, [0, 0.0, len(feature) if kind else 0])
                     got[0] += n
                     got[1] += n * math.log(n)
+                name = hash_text(str(page) if page is not None else source or "")
+                for path, mark in tree.marks().items():
+                    known = marked.setdefault((host, path), mark)
+                    marked[host, path] = (max(known[0], mark[0]), min(known[1], mark[1]))
+                    least = on[host, path]
+                    least.add(name)
+                    if len(least) > least_pages:
+                        least.remove(max(least))
+            for (host, path), names in on.items():
+                for name in names:
+                    seen[host, path, 2, name] = [1, 0.0, 0]
             keys = list(seen)
             for at in range(0, len(keys), 20_000):
                 part = keys[at:at + 20_000]
+                marks = [marked.get(k[:2], (0, 1.0)) for k in part]
                 yield pa.RecordBatch.from_pydict({
                     "host": pa.array([k[0] for k in part], pa.string()), "path": pa.array([k[1] for k in part], pa.string()),
                     "kind": pa.array([k[2] for k in part], pa.int32()), "feature": pa.array([str(k[3]) for k in part], pa.string()),
-                    "n": pa.array([seen[k][0] for k in part], pa.int64()), "nlogn": pa.array([seen[k][1] for k in part], pa.float64())})
+                    "n": pa.array([seen[k][0] for k in part], pa.int64()), "nlogn": pa.array([seen[k][1] for k in part], pa.float64()),
+                    "chars": pa.array([seen[k][2] for k in part], pa.int64()),
+                    "region": pa.array([m[0] for m in marks], pa.int32()), "prior": pa.array([m[1] for m in marks], pa.float64())})
 
-    rows = (pages.select(host().alias("host"), "html")
-            .mapInArrow(count, "host string, path string, kind int, feature string, n long, nlogn double"))
+    rows = (pages.select("page_id", host().alias("host"), "html")
+            .mapInArrow(count, "host string, path string, kind int, feature string, n long, nlogn double, chars long, region int, prior double"))
     # Spread of a feature over pages: log N less the mean log of its number on each page.
-    each = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("nlogn").alias("nlogn"))
+    each = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("nlogn").alias("nlogn"), F.max("chars").alias("chars"),
+                                                               F.max("region").alias("region"), F.min("prior").alias("prior"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
     spread = F.log("n") - F.col("nlogn") / F.col("n")
     node = each.groupBy("host", "path").agg(
-        F.sum(F.when(style, F.col("n"))).alias("m"), F.sum(F.when(style, F.col("n") * F.log("n"))).alias("m_log"),
+        F.coalesce(F.sum(F.when(style, F.col("n"))), F.lit(0)).alias("m"), F.sum(F.when(style, F.col("n") * F.log("n"))).alias("m_log"),
         F.coalesce(F.sum(F.when(content, spread)), F.lit(0.0)).alias("spread"),
-        F.sum(content.cast("int")).alias("blocks"))
-    node = node.filter("m > 1").withColumn("shape", (F.log("m") - F.col("m_log") / F.col("m")) / F.log("m"))
-    node = node.withColumn("spread", F.least(F.col("spread") / F.log("m"), F.col("blocks").cast("double")))
+        F.sum(content.cast("int")).alias("blocks"), F.sum("chars").alias("chars"), F.sum((F.col("kind") == 2).cast("int")).alias("pages"),
+        F.max("region").alias("region"), F.min("prior").alias("prior"))
+    many = F.col("m") > 1
+    node = node.withColumn("shape", F.when(many, (F.log("m") - F.col("m_log") / F.col("m")) / F.log("m")).otherwise(1.0))
+    node = settled(node.withColumn("spread", F.when(many, F.least(F.col("spread") / F.log("m"), F.col("blocks").cast("double"))).otherwise(0.0)))
+    # Text outside marked branches and in each of them, by importance.
+    own = F.when(F.col("blocks") > 0, F.col("chars") * (1 - F.col("spread") / F.col("blocks"))).otherwise(0.0)
+    regions = (node.withColumn("marked", F.substring("path", F.lit(1), F.col("region"))).groupBy("host", "marked")
+               .agg(F.sum(own).alias("weight"), F.sum("chars").alias("chars"), F.min("prior").alias("prior"), F.max("pages").alias("pages")))
+    plain = F.col("marked") == ""
+    hosts = settled(regions.groupBy("host").agg(F.sum("chars").alias("all_chars"), F.coalesce(F.sum(F.when(plain, F.col("weight"))), F.lit(0.0)).alias("base"),
+                                                F.max(F.when(~plain, F.col("weight"))).alias("heaviest")))
+    live = (regions.filter(~plain & (F.col("pages") >= least_pages)).join(hosts, "host")
+            .filter((F.col("weight") * F.col("prior") > F.col("base")) & (F.col("weight") >= BESIDE * F.col("heaviest")))
+            .groupBy("host").agg(F.sort_array(F.collect_set("marked")).alias("live")))
     # What a branch holds is the sum over the paths below it: each path counts for all its beginnings.
     parts = F.filter(F.split("path", ">"), lambda x: x != "")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit(">"), F.array_join(F.slice(parts, F.lit(1), k), ">")))
-    below = (node.filter("blocks > 0").select("host", F.explode(above).alias("path"), "spread", "blocks")
-             .groupBy("host", "path").agg(F.sum("spread").alias("spread"), F.sum("blocks").alias("blocks")))
+    below = (node.filter("blocks > 0 AND path != ''").select("host", F.explode(above).alias("path"), "spread", "blocks", F.col("chars").alias("held"))
+             .groupBy("host", "path").agg(F.sum("spread").alias("spread"), F.sum("blocks").alias("blocks"), F.sum("held").alias("held")))
     importance = presentation * F.col("shape") + (1 - presentation) * (1 - F.col("spread") / F.col("blocks"))
-    low = (node.select("host", "path", "m", "shape").join(below, ["host", "path"])
-           .filter((F.col("m") >= least_pages) & (importance < threshold)))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    low = (node.filter(many).select("host", "path", "m", "shape").join(below, ["host", "path"])
+           .filter((F.col("m") >= least_pages) & (importance < threshold)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths")))
+    return low.join(live, "host", "full")
 
 
 def hash_text(text: str) -> int:
@@ -263,16 +343,16 @@ def hash_text(text: str) -> int:
 def extract(pages: DataFrame, **tree) -> DataFrame:
     """page_id, text and n_chars of every page."""
     low = broadcast_if_small(low_branches(pages, **tree))
-    rows = pages.select("page_id", host().alias("host"), "html").join(low, "host", "left").select("page_id", "html", "paths")
+    rows = pages.select("page_id", host().alias("host"), "html").join(low, "host", "left").select("page_id", "html", "paths", "live")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def work(batches):
         known: dict[tuple, frozenset] = {}
         for batch in batches:
             out = []
-            for source, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
-                key = tuple(paths or ())
-                out.append(Page(source or "").text(known.setdefault(key, frozenset(key))))
+            for source, *lists in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "live"))):
+                low, live = (known.setdefault(key, frozenset(key)) for key in (tuple(x or ()) for x in lists))
+                out.append(Page(source or "").text(low, live))
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "text": pa.array(out, pa.string()),
                                               "n_chars": pa.array([len(t) for t in out], pa.int64())})
     return rows.mapInArrow(work, f"page_id {kind}, text string, n_chars long")

@@ -50,3 +50,20 @@ def test_branches_repeated_over_a_host_are_removed(spark):
     low = {r.host: r.paths for r in site_style.low_branches(df).collect()}
     assert any("strip" in p for p in low["a.example"]) and not any("body>div.body" in p for p in low["a.example"])
     assert site_style.extract(df.limit(0)).count() == 0
+
+
+def of(spark, pages):
+    return {r.page_id: r.text for r in site_style.extract(spark.createDataFrame([(*p, None, None) for p in pages], PAGE)).collect()}
+
+
+def test_marks_are_weighed_not_obeyed(spark):
+    story = [f"Story {i} tells of place {i * 7} and what was seen there on day {i * 3}. " * 8 for i in range(12)]
+    pages = [(i, "http://teaser.example/", f"<body><article class='card'>See {i}</article><div><p>{s}</p></div></body>") for i, s in enumerate(story)]
+    pages += [(100 + i, "http://form.example/", f"<body><form><div><p>{s}</p></div><aside>side</aside></form></body>") for i, s in enumerate(story)]
+    pages += [(200 + i, "http://nav.example/", f"<body><nav>Home</nav><div class='sidebar'><p>{s}</p></div></body>") for i, s in enumerate(story)]
+    pages += [(300, "http://one.example/", f"<body><nav>Home</nav><div class='widget'><p>{story[0]}</p></div></body>")]
+    got = of(spark, pages)
+    for i, s in enumerate(story):
+        assert got[i].endswith(s.strip()) and got[100 + i] == s.strip() and got[200 + i] == s.strip()
+    assert got[300] == story[0].strip()
+    assert text(f"<div>{story[0]}</div><section class='comments'>{story[1]}</section>") == story[0].strip()
