@@ -5,7 +5,9 @@ entropy of the child sequences it has over the host's pages; its content importa
 mean entropy of the text blocks below it over those pages: what stands on every page is spread evenly
 and counts nothing, what stands on one page counts fully. All visible branches are in the tree.
 
-Branches with low importance are removed from each page where at least half of its text stays.
+Branches with low importance are removed from each page, one by one and whatever share of the page
+they are. A low branch that holds most of the host's distinct text stays whole, which keeps hosts of
+copies; so does a branch on too few pages.
 
 Tags, roles and classes that speak of menus, headers, footers, sidebars, notices, adverts, forms or
 comments are prior weights: such a branch is dropped unless its text, weighed down by its prior,
@@ -246,11 +248,8 @@ class Page:
     def text(self, low: frozenset[str] | set[str] = frozenset(), live: frozenset[str] | set[str] = frozenset()) -> str:
         gone = [False] * len(self.tag)
         for e in range(1, len(self.tag)):
-            gone[e] = gone[self.parent[e]] or self.path[e] in low
-        seen = [(e, t) for e, t in self.blocks if not self.unseen[e]]
-        blocks = [(e, t) for e, t in seen if not gone[e]]
-        if sum(len(t) for _, t in blocks) < 0.5 * sum(len(t) for _, t in seen):
-            blocks = seen
+            gone[e] = gone[self.parent[e]] or self.unseen[e] or self.path[e] in low
+        blocks = [(e, t) for e, t in self.blocks if not gone[e]]
         lifted = self._lifted(blocks, live) | {0}
         kept = [(e, t) for e, t in blocks if self.region[e] in lifted]
         main = [(e, t) for e, t in kept if self.main[e]]
@@ -263,8 +262,13 @@ def host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/]*://([^/?#]*)", 1))
 
 
-def low_branches(pages: DataFrame, threshold: float = 0.2, least_pages: int = 8, presentation: float = 0.1) -> DataFrame:
-    """(host, paths, live): branches of each host's tree whose importance is under ``threshold``, and marked ones that are content."""
+def low_branches(pages: DataFrame, threshold: float = 0.2, least_pages: int = 8, presentation: float = 0.1,
+                 most_distinct: float = 0.5) -> DataFrame:
+    """(host, paths, live): branches of each host's tree whose importance is under ``threshold``, and marked ones that are content.
+
+    Only branches on ``least_pages`` distinct pages are judged. A low branch with ``most_distinct`` of
+    the host's distinct text, or inside such a one, is not listed.
+    """
     def count(batches):
         for batch in batches:
             seen: dict = {}
@@ -330,8 +334,11 @@ def low_branches(pages: DataFrame, threshold: float = 0.2, least_pages: int = 8,
     below = (node.filter("blocks > 0 AND path != ''").select("host", F.explode(above).alias("path"), "spread", "blocks", F.col("chars").alias("held"))
              .groupBy("host", "path").agg(F.sum("spread").alias("spread"), F.sum("blocks").alias("blocks"), F.sum("held").alias("held")))
     importance = presentation * F.col("shape") + (1 - presentation) * (1 - F.col("spread") / F.col("blocks"))
-    low = (node.filter(many).select("host", "path", "m", "shape").join(below, ["host", "path"])
-           .filter((F.col("m") >= least_pages) & (importance < threshold)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths")))
+    low = (node.filter(many).select("host", "path", "pages", "shape").join(below, ["host", "path"])
+           .filter((F.col("pages") >= least_pages) & (importance < threshold)).join(hosts, "host")
+           .groupBy("host").agg(F.collect_set("path").alias("all"), F.collect_set(F.when(F.col("held") >= most_distinct * F.col("all_chars"), F.col("path"))).alias("safe")))
+    paths = F.filter("all", lambda p: ~F.exists("safe", lambda s: (p == s) | F.startswith(p, F.concat(s, F.lit(">")))))
+    low = low.select("host", F.sort_array(paths).alias("paths"))
     return low.join(live, "host", "full")
 
 

@@ -67,3 +67,19 @@ def test_marks_are_weighed_not_obeyed(spark):
         assert got[i].endswith(s.strip()) and got[100 + i] == s.strip() and got[200 + i] == s.strip()
     assert got[300] == story[0].strip()
     assert text(f"<div>{story[0]}</div><section class='comments'>{story[1]}</section>") == story[0].strip()
+
+
+def test_low_branches_are_judged_one_by_one(spark):
+    terms = "<div class='terms'><p>These terms bind all readers of this site. " + "Nothing here may be copied, told or sold. " * 4 + "</p></div>"
+    copy = "<div class='body'><h1>Same head</h1><p>" + "The same long story. " * 20 + "</p></div>"
+    pages = [(i, "http://short.example/", f"<body><div class='body'><p>Short story number {i} of the host</p></div>{terms}</body>") for i in range(20)]
+    pages += [(100 + i, "http://copies.example/", f"<body>{copy}<div class='count'>Visit {i}</div></body>") for i in range(20)]
+    strip = "<div class='strip'>Call us</div>"
+    pages += [(200 + i, "http://few.example/", f"<body><div><p>Text {i} is here</p></div>{strip * 4}</body>") for i in range(3)]
+    pages += [(300, "http://again.example/", f"<body><div><p>Text is here</p></div>{strip}</body>")] * 12
+    got = of(spark, pages)
+    for i in range(20):
+        assert got[i] == f"Short story number {i} of the host"
+        assert got[100 + i] == "Same head " + ("The same long story. " * 20).strip() + f" Visit {i}"
+    low = {r.host: r.paths for r in site_style.low_branches(spark.createDataFrame([(*p, None, None) for p in pages], PAGE)).collect()}
+    assert any("terms" in p for p in low["short.example"]) and "few.example" not in low and "again.example" not in low
