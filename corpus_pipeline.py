@@ -31,8 +31,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group of near copies: the smallest doc_id's, once. Rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """One row of each group of near copies by five-word shingles: the smallest doc_id's, once. Rows without doc_id stay."""
+    kept = minhash.near_duplicates(docs, words=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 

@@ -1,6 +1,6 @@
 """Near-duplicate texts: one-permutation hashing with optimal densification, banded buckets, star edges.
 
-A text's set holds the hashes of its distinct two-word shingles. One hash function deals the set into
+A text's set holds the hashes of its distinct shingles of some words. One hash function deals the set into
 bins and keeps the least value of each; an empty bin copies a full one found by a hashed walk. Bands
 of bins give buckets. Within a bucket members are paired with a centre only, never with each other,
 and pairs are confirmed on full sets. Exact copies share a node from the start.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from notegrid.llm.common import settled, stored
 from notegrid.llm.graph import components
-from notegrid.llm.text_arrays import mix, pair_hashes, texts, word_hashes
+from notegrid.llm.text_arrays import mix, shingle_hashes, texts, word_hashes
 
 BINS = 128
 BAND = 4
@@ -87,25 +87,27 @@ def set_key(shingles: np.ndarray) -> int:
 DIGEST = [f"s{k}" for k in range(BINS // 16)]
 
 
-def _sketch(batches):
-    for batch in batches:
-        sizes, nodes, keys, digests = [], [], [], []
-        for text in texts(batch.column("text")):
-            s = pair_hashes(word_hashes(text))
-            sizes.append(len(s))
-            if len(s):
-                sig = signature(s)
-                nodes.append(set_key(s))
-                keys.append(bands(sig).astype(np.int64))
-                digests.append(nibbles(sig).astype(np.int64))
-            else:
-                nodes.append(None)
-                keys.append(None)
-                digests.append(np.zeros(len(DIGEST), np.int64))
-        digest = np.stack(digests) if digests else np.zeros((0, len(DIGEST)), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-             *(pa.array(np.ascontiguousarray(digest[:, k])) for k in range(len(DIGEST)))], ["doc_id", "n_shingles", "node", "bands", *DIGEST])
+def _sketch(words: int):
+    def sketch(batches):
+        for batch in batches:
+            sizes, nodes, keys, digests = [], [], [], []
+            for text in texts(batch.column("text")):
+                s = shingle_hashes(word_hashes(text), words)
+                sizes.append(len(s))
+                if len(s):
+                    sig = signature(s)
+                    nodes.append(set_key(s))
+                    keys.append(bands(sig).astype(np.int64))
+                    digests.append(nibbles(sig).astype(np.int64))
+                else:
+                    nodes.append(None)
+                    keys.append(None)
+                    digests.append(np.zeros(len(DIGEST), np.int64))
+            digest = np.stack(digests) if digests else np.zeros((0, len(DIGEST)), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                 *(pa.array(np.ascontiguousarray(digest[:, k])) for k in range(len(DIGEST)))], ["doc_id", "n_shingles", "node", "bands", *DIGEST])
+    return sketch
 
 
 def _agreeing() -> Column:
@@ -125,14 +127,16 @@ def _plausible(percent: int) -> Column:
     return _agreeing() >= BINS * (m - 4 * F.sqrt(F.lit(m * (1 - m)) / drawn))
 
 
-def _sets(batches):
-    for batch in batches:
-        nodes, sets = [], []
-        for text in texts(batch.column("text")):
-            s = pair_hashes(word_hashes(text))
-            nodes.append(set_key(s) if len(s) else None)
-            sets.append(s.tobytes())
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(sets, pa.binary())})
+def _sets(words: int):
+    def sets_of(batches):
+        for batch in batches:
+            nodes, sets = [], []
+            for text in texts(batch.column("text")):
+                s = shingle_hashes(word_hashes(text), words)
+                nodes.append(set_key(s) if len(s) else None)
+                sets.append(s.tobytes())
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(sets, pa.binary())})
+    return sets_of
 
 
 def _linked(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -182,11 +186,11 @@ def _order(salt: int, per_bucket: bool) -> Column:
     return F.xxhash64("node", F.lit(salt), F.col("bucket")) if per_bucket else F.xxhash64("node", F.lit(salt))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100."""
+def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, words: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100 of ``words``-word shingles."""
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", F.col("text")).mapInArrow(
-        _sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, "
+        _sketch(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, "
                 + ", ".join(f"{d} long" for d in DIGEST)))
     linkable = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(linkable.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"),
@@ -196,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2) ->
     member = settled(member.join(shared, "bucket"))
     wanted = (member.select("node").distinct().join(nodes.select("node", "first_id"), "node")
               .select(F.col("first_id").alias("doc_id")))
-    sets = (_participants(docs, settled(wanted)).mapInArrow(_sets, "node long, shingles binary")
+    sets = (_participants(docs, settled(wanted)).mapInArrow(_sets(words), "node long, shingles binary")
             .groupBy("node").agg(F.first("shingles").alias("shingles")))
     sets = stored(sets)
 

@@ -44,7 +44,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"), percent=80)
+    return minhash.near_duplicates(table(spark, folder, "documents"), percent=80, words=2)
 
 
 @query

@@ -77,8 +77,18 @@ def word_hashes(text: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes of ``n``-word shingles; a text of fewer words is its own shingle."""
+    k = min(n, len(words))
+    if not k:
+        return words
+    last = len(words) - k + 1
+    h = words[:last]
+    for j in range(1, k):
+        h = mix(h * np.uint64(3) + mix(words[j:last + j] ^ np.uint64(0xA0761D6478BD642F)))
+    return np.unique(h if k == n else mix(h + np.uint64(0x51ED270B)))
+
+
 def pair_hashes(words: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of two-word shingles; one word alone is its own shingle."""
-    if len(words) < 2:
-        return mix(words + np.uint64(0x51ED270B)) if len(words) else words
-    return np.unique(mix(words[:-1] * np.uint64(3) + mix(words[1:] ^ np.uint64(0xA0761D6478BD642F))))
+    return shingle_hashes(words, 2)

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from notegrid.llm import minhash
 from notegrid.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,3 +52,14 @@ def test_stages_in_turn(spark, tmp_path):
 def test_registered():
     names = {n.split("_")[0] for n in QUERIES}
     assert names == {f"op{k}" for k in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+
+
+def test_near_copies_share_five_word_shingles(spark):
+    words = [f"w{k}" for k in range(100)]
+    apart = [f"x{k}" if k in (8, 28, 48, 68, 88) else w for k, w in enumerate(words)]  # 0.82 on pairs, 0.6 on five words
+    near = [*words[:50], "x", *words[51:]]
+    rows = [(1, " ".join(words)), (2, " ".join(apart)), (3, " ".join(near)), (4, "a b c"), (5, "a b d"), (6, "A b c")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 2, 4, 5]
+    low = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()}
+    assert low == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 4}
