@@ -2,7 +2,8 @@
 
 Text meets names by equality: every body becomes word runs of just the lengths that names have,
 starting at words that names start with, and the runs hash-join an index with one row per name. Work is linear in the text and
-does not grow with the number of names. Names shared by many notes are counted in the index,
+does not grow with the number of names. Names without an ASCII word character are looked for in what
+stands between words, at the character pairs and in the lengths such names have. Names shared by many notes are counted in the index,
 never listed, so a popular alias costs one row.
 """
 
@@ -47,12 +48,13 @@ GRAMS = ("array<struct<start int, end int, line int, cold boolean, text string,
 FIRST_WORDS, FIRST_BYTES = 200_000, 8 << 20
 
 
-def gram_finder(lengths: list[int], firsts=None):
+def gram_finder(lengths: list[int], firsts=None, wordless: list[int] = (), starts=None):
     """Arrow-batched helper: the word runs of the masked text that could be a name.
 
     Per run: offsets, line, the text up to its neighbours, and whether a capital there carries no
     signal. ``firsts`` is a broadcast set of the words names begin with; without it every word
-    may begin one.
+    may begin one. ``wordless`` are the lengths of names without a word character, ``starts`` a
+    broadcast set of the lower-cased character pairs they begin with.
     """
     import re
     word, marker = re.compile(r"[A-Za-z0-9_']+"), re.compile(LINE_MARKER)
@@ -85,8 +87,26 @@ def gram_finder(lengths: list[int], firsts=None):
                 end = spans[i + n - 1][1]
                 after = spans[i + n][0] if i + n < len(spans) else len(masked)
                 out.append((s, end, line, quiet, masked[s:end], before, masked[end:after]))
+        if wordless:
+            out.extend(between(body, masked, spans))
         return out
 
+    def between(body: str, masked: str, spans: list):
+        pairs, line, seen, last = None if starts is None else starts.value, 1, 0, len(masked)
+        edges = [0, *(x for span in spans for x in span), last]
+        for left, right in zip(edges[::2], edges[1::2]):
+            end = right - (right < last)  # no word character may stand next to the name
+            for s in range(left + (left > 0), end - wordless[0] + 1):
+                if masked[s] == " " or (pairs is not None and masked[s].lower() + masked[s + 1].lower() not in pairs):
+                    continue
+                line += masked.count("\n", seen, s)
+                seen = s
+                quiet = masked[s].isupper() and cold(body, masked.rfind("\n", 0, s) + 1, s)
+                for n in wordless:
+                    if s + n > end:
+                        break
+                    yield s, s + n, line, quiet, masked[s:s + n], "", ""
+
     @F.pandas_udf(GRAMS)
     def grams(body: pd.Series, masked: pd.Series) -> pd.Series:
         wanted = None if firsts is None else firsts.value
@@ -105,8 +125,9 @@ def _first_words(known: DataFrame):
 
 
 def _core(c: Column) -> Column:
-    """Name without non-word edges, which are checked apart."""
-    return F.regexp_extract(c, r"([A-Za-z0-9_'](?:[\s\S]*[A-Za-z0-9_'])?)", 1)
+    """Name without non-word edges, which are checked apart; all of a name without word characters."""
+    core = F.regexp_extract(c, r"([A-Za-z0-9_'](?:[\s\S]*[A-Za-z0-9_'])?)", 1)
+    return F.when(core == "", c).otherwise(core)
 
 
 def surfaces(names: DataFrame, aliases: DataFrame | None = None,
@@ -162,7 +183,7 @@ def surface_index(known: DataFrame) -> DataFrame:
 
 def _ngrams(notes: DataFrame, known: DataFrame) -> DataFrame:
     """(path, start, end, line, cold, text, before, after, core_key) of possible names."""
-    find = gram_finder(_lengths(known), _first_words(known))
+    find = gram_finder(_lengths(known), _first_words(known), *_wordless(known))
     rows = spread(notes.select("path", "body")).select(
         "path", find(F.col("body"), prose_mask(F.col("body"))).alias("grams"))
     return rows.select("path", F.explode("grams").alias("g")).select(
@@ -175,6 +196,17 @@ def _lengths(known: DataFrame) -> list[int]:
     return sorted(r[0] for r in known.select(n.alias("n")).distinct().collect() if r[0] > 0)
 
 
+def _wordless(known: DataFrame):
+    """Lengths of the names without word characters, and the character pairs they begin with, when few by measure."""
+    rows = known.filter(~F.col("surface").rlike(r"[A-Za-z0-9_']"))
+    lengths = sorted(r[0] for r in rows.select(F.explode(F.array(F.length("surface"), F.length("key"))).alias("n")).distinct().collect())
+    if not lengths:
+        return [], None
+    pair = F.concat(F.lower(F.substring("surface", 1, 1)), F.lower(F.substring("surface", 2, 1)))
+    pairs = [r[0] for r in rows.select(pair).distinct().limit(FIRST_WORDS + 1).collect()]
+    return lengths, known.sparkSession.sparkContext.broadcast(set(pairs)) if len(pairs) <= FIRST_WORDS else None
+
+
 def mentions(notes: DataFrame, known: DataFrame) -> DataFrame:
     """Exact and ambiguous mentions.
 

@@ -82,3 +82,14 @@ def test_frequent_terms(spark):
     notes = bodies(spark, text, text)
     got = {r["term"]: (r["mentions"], r["notes"]) for r in M.frequent_terms(notes, M.surfaces(names(spark, "Other"))).collect()}
     assert got == {"Blue Whale": (4, 2), "Zorblax": (4, 2)}
+
+
+def test_names_without_ascii_letters_are_found(spark):
+    known = M.surfaces(names(spark, "Москва", "Новый Город", "東京都", "Ann", "Zoë"))
+    body = "видел Москва и новый город.\nтам Ann 我住在東京都。 x東京都 Москва1 Zoë"
+    notes = bodies(spark, body, "- Москва here, xМосква")
+    got = [(r["path"], r["line"], r["start"], r["text"], r["canonical"]) for r in M.mentions(notes, known).orderBy("path", "start").collect()]
+    want = [(1, "Москва", "Москва"), (1, "новый город", "Новый Город"), (2, "Ann", "Ann"), (2, "東京都", "東京都"), (2, "Zoë", "Zoë")]
+    assert got == [("F/N0", line, body.index(text), text, name) for line, text, name in want]
+    linked = M.apply_mention_links(notes, M.mentions(notes, known)).first()["body"]
+    assert "[[Новый Город|новый город]]" in linked and "我住在[[東京都]]。 x東京都" in linked
