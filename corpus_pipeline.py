@@ -31,9 +31,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group of near copies by five-word shingles: the smallest doc_id's, once. Rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs, words=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies by five-word shingles: the smallest doc_id's, once. Rows without doc_id stay.
+
+    Rows that share a doc_id but not their text are judged each by its own group.
+    """
+    kept = (minhash.near_duplicates(docs, words=5, nodes_too=True).filter("kept AND doc_id IS NOT NULL")
+            .groupBy("doc_id", "root").agg(F.coalesce(F.min("node"), F.lit(0)).alias("set")).select("doc_id", "set"))
+    named = minhash.with_node(docs.filter("doc_id IS NOT NULL").select(*COLUMNS), 5).withColumn("set", F.coalesce("node", F.lit(0)))
+    named = named.join(kept, ["doc_id", "set"], "left_semi").dropDuplicates(["doc_id", "set"])
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notegrid.llm.common import settled, stored
 from notegrid.llm.graph import components
@@ -139,6 +140,16 @@ def _sets(words: int):
     return sets_of
 
 
+def with_node(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the name of each text's shingle set as ``node``, null for texts without words."""
+    def named(batches):
+        for batch in batches:
+            sets = (shingle_hashes(word_hashes(text), words) for text in texts(batch.column("text")))
+            node = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "node"])
+    return docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("node", T.LongType())]))
+
+
 def _linked(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
     """The pairs of one cell whose full sets are similar enough."""
     held = {n: np.frombuffer(x, np.uint64) for n, x in zip(sets["node"], sets["shingles"])}
@@ -186,8 +197,12 @@ def _order(salt: int, per_bucket: bool) -> Column:
     return F.xxhash64("node", F.lit(salt), F.col("bucket")) if per_bucket else F.xxhash64("node", F.lit(salt))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, words: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100 of ``words``-word shingles."""
+def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, words: int = 2,
+                    nodes_too: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100 of ``words``-word shingles.
+
+    With ``nodes_too`` also node, the name of the row's set, and root, the name of its component: rows of one id may be in two.
+    """
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", F.col("text")).mapInArrow(
         _sketch(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, "
@@ -245,10 +260,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, wo
         root = settled(known.join(found_root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *DIGEST))
     first = root.select("node", "root").join(nodes.select("node", "first_id"), "node")
     first = settled(first.join(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
-                    .select("node", "component_id"))
+                    .select("node", "root", "component_id"))
     single = nodes.select("node", "first_id").join(first, "node", "left").select(
-        "node", F.coalesce("component_id", "first_id").alias("component_id"))
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    extra = ["node", "root"] if nodes_too else []
     out = rows.select("doc_id", "n_shingles", "node").join(single, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *extra)

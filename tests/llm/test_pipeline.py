@@ -63,3 +63,10 @@ def test_near_copies_share_five_word_shingles(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 2, 4, 5]
     low = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()}
     assert low == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 4}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    rows = [(1, "a b c d e f g"), (7, "a b c d e f g"), (7, "h i j k l m n"), (8, "o p q r s t u"), (8, "v w x y z a b"), (8, "O p q r s t u"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == [(1, rows[0][1]), (7, rows[2][1]), (8, rows[3][1]), (8, rows[4][1]), (9, "")]
