@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrid.llm import ann, chat, minhash, mixing, packing, quality, site_style, toxicity, vector_dedup, warc
-from notegrid.llm.common import in_fold, table
+from notegrid.llm import ann, chat, minhash, mixing, packing, prefix_trie, quality, runs, site_style, token_counts, toxicity, vector_dedup, warc
+from notegrid.llm.common import WORD_BREAK, in_fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,94 @@ low AS (SELECT v, min(w) AS w FROM reach GROUP BY v)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(w, doc_id)) AS component_id,
   doc_id = least(doc_id, coalesce(w, doc_id)) AS kept
 FROM sets LEFT JOIN low ON low.v = sets.doc_id"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a short ASCII text, bit by bit."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), "
+            f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: {step})))")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), family=20, taken=prefix_trie.crc32_mod(4))
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, c - c % 20 AS base, {crc32_sql("c::VARCHAR")} % 4 AS h FROM own),
+turns AS (
+  SELECT c.c, 0 AS part, o.k, o.role, o.text FROM convs c JOIN own o ON o.c = c.base AND o.k <= c.h
+  UNION ALL SELECT c.c, 1, o.k, o.role, o.text FROM convs c JOIN own o ON o.c = c.c AND o.k > c.h),
+placed AS (
+  SELECT c, row_number() OVER w AS depth, sha256(role || chr(0) || text) AS turn_key,
+    len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM turns WINDOW w AS (PARTITION BY c ORDER BY part, k)),
+paths AS (
+  SELECT c, depth, words, string_agg(turn_key, ',') OVER (PARTITION BY c ORDER BY depth) AS path,
+    coalesce(string_agg(turn_key, ',') OVER (PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up
+  FROM placed UNION ALL SELECT c, 0, 0, '', NULL FROM convs),
+ends AS (SELECT c, max(depth) AS depth FROM paths GROUP BY c),
+nodes AS (
+  SELECT path, any_value(up) AS up, p.depth, min(p.c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (e.depth = p.depth), '')) AS ends_sha256
+  FROM paths p JOIN ends e USING (c) GROUP BY path, p.depth),
+kids AS (SELECT up AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+below AS (
+  SELECT a.path, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (b.path NOT IN (SELECT path FROM kids)) AS leaves
+  FROM nodes a JOIN nodes b ON a.path = '' OR b.path = a.path OR starts_with(b.path, a.path || ',') GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+  b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes u ON u.path = n.up AND n.depth > 0"""
+
+
+@query
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", (h % 10 == 0).alias("planted"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("planted"), F.array_remove(F.split("text", WORD_BREAK + "+"), ""))
+    docs = docs.withColumn("words", words).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.expr("CAST(g % nullif(greatest(n, 0), 0) AS INT)"))
+    docs = docs.withColumn("p", F.expr("CAST(1 + floor((n - a) / (3 + g % 8)) AS INT)"))
+    again = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)")
+    text = F.when(F.col("planted") & (F.col("n") > 0), F.array_join(F.concat(F.expr("slice(words, 1, a)"), again), " ")).otherwise(F.col("text"))
+    return runs.periodic_runs(docs.select("doc_id", text.alias("text"))).drop("runs")
+
+
+ORACLES["op13_periodic_runs"] = rf"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+sized AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM split),
+placed AS (SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN g % n END AS a, g FROM sized),
+fixed AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1]
+    ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM placed),
+long AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM fixed),
+grams AS (
+  SELECT doc_id, n, i, hash(word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d) AS gram FROM long
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(word, 3) OVER d IS NOT NULL),
+-- Four words equal to those q later; a run of length L gives L - q - 3 of them in a row.
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q + 3 AS len FROM islands GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM stretches WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    arg_min(row(s, len, q), row(-len, s, q)) AS top FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM long ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top[1]::BIGINT AS start, top[2]::BIGINT AS length, top[3]::BIGINT AS period,
+  (1000 * top[2] // top[3])::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM fixed f LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
