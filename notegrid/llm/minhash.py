@@ -5,12 +5,13 @@ bins and keeps the least value of each; an empty bin copies a full one found by
 of bins give buckets. Within a bucket members are paired with a centre only, never with each other,
 and pairs are confirmed on full sets. Exact copies share a node from the start.
 
-Stars alone can miss a link between two members that both differ from their centre. So further rounds
-take other centres for buckets that still hold several components, and a last round pairs what lies
-outside the main component of its bucket with all of the bucket's other components, each pair in the
-first bucket it shares; nothing is capped. Before sets are fetched, pairs are held against a digest of
-four bits per bin: what is left out has fewer agreeing bins than a pair at the threshold has, less 4
-standard deviations, which is about as unlikely as sharing no bucket.
+Stars alone can miss a link between two members that both differ from their centre. So buckets that
+still hold several components are closed afterwards: what lies outside the main component of a bucket
+meets that component and the other outsiders, block against block inside a task. No row is made per
+pair: a block pair gives the links that join components, and each pair of different components that
+share a bucket is tested on full sets until one link is found; nothing is capped. Before sets are
+compared, pairs are held against a digest of four bits per bin: what is left out has fewer agreeing bins
+than a pair at the threshold has, less 4 standard deviations, about as unlikely as sharing no bucket.
 
 Rows with null or empty text are linked with nothing; rows without a doc_id too, and they are kept
 with a null component. Repeated rows count as copies of one another.
@@ -197,7 +198,82 @@ def _order(salt: int, per_bucket: bool) -> Column:
     return F.xxhash64("node", F.lit(salt), F.col("bucket")) if per_bucket else F.xxhash64("node", F.lit(salt))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, words: int = 2,
+def _least_agreeing(percent: int, drawn) -> np.ndarray:
+    """The bound of ``_plausible`` for the sizes of the smaller sets."""
+    m = percent / 100 + (1 - percent / 100) / 16
+    return BINS * (m - 4 * np.sqrt(m * (1 - m) / np.minimum(110.0, drawn * 0.7)))
+
+
+def _joining(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (of roots) between side 0 and side 1, or within side 0 where there is no other, that join components."""
+    group = group.sort_values("node")
+    side = group["side"].to_numpy()
+    node, root, size = (group[c].to_numpy() for c in ("node", "root", "size"))
+    digest = group[DIGEST].to_numpy().view(np.uint64)
+    band = np.stack(group["bands"].to_list())
+    held = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not group["cross"].iloc[0]
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+    out = []
+    for k, i in enumerate(one):
+        other = one[k + 1:] if within else two
+        fit = other[(root[other] != root[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+        x = digest[fit] ^ digest[i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        agree = BINS - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+        near = agree >= _least_agreeing(percent, np.minimum(size[fit], size[i]))
+        fit, agree = fit[near], agree[near]
+        shared = (band[fit] == band[i]).any(1)
+        fit, agree = fit[shared], agree[shared]
+        for j in fit[np.argsort(-agree, kind="stable")]:
+            a, b = top(root[i]), top(root[j])
+            if a == b:
+                continue
+            both = len(np.intersect1d(held[i], held[j], assume_unique=True))
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                up[max(a, b)] = min(a, b)
+                out.append((root[i], root[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _closing(placed: DataFrame, known: DataFrame, sets: DataFrame, percent: int, side: int = 1024, side_bytes: int = 32 << 20,
+             salts: int = 8) -> DataFrame:
+    """Links (a, b) of roots that join the components of each open bucket. placed: bucket, node, root.
+
+    The area of a component holds its members in the buckets where it is the largest one, and all others
+    of those buckets. An area of one block is one cell; of a larger one, every block of outsiders meets every
+    block of outsiders and of members.
+    """
+    crowd = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = crowd.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("area"))
+    inside = placed.join(main, "bucket").select("area", "node", (F.col("root") == F.col("area")).alias("inner")).distinct()
+    inside = settled(inside.join(known.select("node", F.col("size").alias("weight")), "node"))
+    outer = ~F.col("inner")
+    part = lambda c, w: F.ceil(F.greatest(F.sum(c.cast("long")) / side, F.sum(F.when(c, w).otherwise(0)) * 8 / side_bytes)).cast("int")
+    wide = inside.groupBy("area").agg(F.count("*").alias("all"), F.sum("weight").alias("heavy"),
+                                      part(outer, F.col("weight")).alias("ob"), part(F.col("inner"), F.col("weight")).alias("ib"))
+    wide = wide.withColumn("whole", (F.col("all") <= side) & (F.col("heavy") * 8 <= side_bytes))
+    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(salts)).cast("int").alias("salt")
+    placed_in = inside.select("area", "node", "inner", salt).join(wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["area", "salt"])
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("inner"), F.greatest("ib", F.lit(1))).otherwise(F.greatest("ob", F.lit(1)))).cast("int")
+    cell = "named_struct('i', {i}, 'j', {j}, 'side', {side}, 'cross', {cross})"
+    cells = F.when(F.col("whole"), F.expr("array(" + cell.format(i="-1", j="-1", side="0", cross="false") + ")")).when(
+        F.col("inner"), F.expr("transform(sequence(0, ob - 1), o -> " + cell.format(i="o", j="ob + k", side="1", cross="true") + ")")).otherwise(F.expr(
+            "concat(transform(sequence(0, ob - 1), o -> " + cell.format(i="least(o, k)", j="greatest(o, k)", side="int(k > o)", cross="k != o") + "), "
+            "transform(sequence(0, ib - 1), o -> " + cell.format(i="k", j="ob + o", side="0", cross="true") + "))"))
+    sent = placed_in.withColumn("k", own).select("node", "area", F.explode(cells).alias("c")).select("node", "area", "c.*")
+    full = sent.join(known.select("node", "root", "size", "bands", *DIGEST), "node").join(sets, "node")
+    return full.groupBy("area", "i", "j").applyInPandas(lambda g: _joining(g, percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 1, words: int = 2,
                     nodes_too: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; links at Jaccard >= percent / 100 of ``words``-word shingles.
 
@@ -212,53 +288,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = 2, wo
                                                 F.first("n_shingles").alias("size"), *(F.first(d).alias(d) for d in DIGEST)))
     member = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     shared = (member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
-    member = settled(member.join(shared, "bucket"))
+    member = settled(member.join(shared, "bucket").select("bucket", "node"))
     wanted = (member.select("node").distinct().join(nodes.select("node", "first_id"), "node")
               .select(F.col("first_id").alias("doc_id")))
     sets = (_participants(docs, settled(wanted)).mapInArrow(_sets(words), "node long, shingles binary")
             .groupBy("node").agg(F.first("shingles").alias("shingles")))
     sets = stored(sets)
 
-    links = spark.createDataFrame([], "a long, b long")
-    tested = None
     known = settled(member.select("node").distinct().join(nodes.select("node", "size", "bands", *DIGEST), "node"))
-    root = known.select("node", F.col("node").alias("root"), "size", *DIGEST)
-    for turn in range(star_rounds + 1):
+    root = known.select("node", F.col("node").alias("root"))
+
+    def joined(edges):  # edges of roots
+        new = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        return settled(root.join(new, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+    def still_open():
         placed = member.join(root, "node")
         open_ = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
                  .select("bucket"))
-        placed = settled(placed.join(open_, "bucket"))
+        return settled(placed.join(open_, "bucket"))
+
+    for turn in range(star_rounds):
+        placed = still_open()
         if placed.isEmpty():
             break
-        if turn < star_rounds:
-            order = _order(turn, turn > 0)
-            centre = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("c"), F.col("root").alias("c_root"),
-                                                                 F.col("size").alias("c_size"), *(F.col(d).alias(f"c_{d}") for d in DIGEST))).alias("s"))
-            found = placed.join(centre.select("bucket", "s.*"), "bucket").filter("root != c_root")
-        else:
-            crowd = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-            main = crowd.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            placed = placed.join(known.select("node", "bands"), "node")
-            outer = (placed.join(main, "bucket").filter("root != main")
-                     .select("bucket", F.col("main").alias("c_main"), F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"),
-                             F.col("bands").alias("c_bands"), *(F.col(d).alias(f"c_{d}") for d in DIGEST)))
-            found = placed.join(outer, "bucket").filter("root != c_root AND (root = c_main OR node < c)")
+        placed = placed.join(known.drop("bands"), "node")
+        order = _order(turn, turn > 0)
+        centre = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("c"), F.col("root").alias("c_root"),
+                                                             F.col("size").alias("c_size"), *(F.col(d).alias(f"c_{d}") for d in DIGEST))).alias("s"))
+        found = placed.join(centre.select("bucket", "s.*"), "bucket").filter("root != c_root")
         found = found.filter(f"100 * least(size, c_size) >= {percent} * greatest(size, c_size)").filter(_plausible(percent))
-        if turn == star_rounds:
-            found = found.filter("array_position(zip_with(bands, c_bands, (x, y) -> x = y), true) = band + 1")
         pairs = (found.groupBy(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-                 .agg(F.min(F.struct(F.col("c" if turn < star_rounds else "root").alias("area"), F.col("c").alias("hub"), F.col("node").alias("spoke"))).alias("p"))
-                 .select("a", "b", "p.*"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settled(pairs)
-        seen = pairs.select("a", "b")
-        tested = seen if tested is None else tested.unionByName(seen)
-        fresh = settled(_confirm(pairs, sets, percent))
-        links = settled(links.unionByName(fresh))
-        found_root = components(links)
-        root = settled(known.join(found_root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *DIGEST))
-    first = root.select("node", "root").join(nodes.select("node", "first_id"), "node")
+                 .agg(F.min(F.struct(F.col("c").alias("area"), F.col("c").alias("hub"), F.col("node").alias("spoke"), "root", "c_root")).alias("p"))
+                 .select(F.col("p.root").alias("a"), F.col("p.c_root").alias("b"), "p.area", "p.hub", "p.spoke"))
+        root = joined(settled(_confirm(settled(pairs), sets, percent)))
+    placed = still_open()
+    if not placed.isEmpty():
+        whole = settled(known.join(root, "node"))
+        root = joined(settled(_closing(placed, whole, sets, percent)))
+    first = root.join(nodes.select("node", "first_id"), "node")
     first = settled(first.join(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
                     .select("node", "root", "component_id"))
     single = nodes.select("node", "first_id").join(first, "node", "left").select(
