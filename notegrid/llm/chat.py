@@ -4,7 +4,8 @@ A message holds ordered parts: text, image, audio or document. A visitor turns e
 texts are escaped, other parts become placeholders numbered by message and part, with the attachment's
 reference and the number of tokens it will expand to recorded beside them. The template is
 ``<|turn|>role<|text|>body<|end|>`` and a line end. Inside roles and texts a backslash is doubled and
-``<|`` gets a backslash between its two characters, so no control string can arise there.
+``<|`` gets a backslash between its two characters, as does a ``|`` that begins a later part, so no
+control string can arise there, nor across neighbouring parts.
 
 The loss mask is a list of (start, length) spans, in code points of the formatted text: one for the
 body of each message whose role is learnt from. Offsets come from a running sum over a conversation's
@@ -12,7 +13,8 @@ messages; collecting them uses the same distribution by conversation. Nothing le
 
 Null texts and roles are empty; null parts or parts of an unknown type give no text. Messages are
 ordered by turn, then role, then text, nulls first; repeated rows stay. Rows without conv_id are one
-conversation. A conversation is one output row, so it must fit into one, as its contract asks.
+conversation. A conversation is one output row, so it must fit into one, as its contract asks. Other
+columns of the input, whatever their names, have no influence, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,7 +66,9 @@ def format_chats(messages: DataFrame, learn_roles: tuple[str, ...] = ("assistant
 
     def visit(part: Column, k: Column) -> Column:
         mark = F.concat(F.lit("<|"), part["type"], F.lit(" "), F.col("message").cast("string"), F.lit("."), k.cast("string"), F.lit("|>"))
-        return (F.when(part["type"] == "text", escape(part["text"]))
+        # A text that goes on after another one must not complete a control string with it.
+        glued = F.when((k > 0) & F.startswith(part["text"], F.lit("|")), F.lit("\\")).otherwise(F.lit(""))
+        return (F.when(part["type"] == "text", F.concat(glued, escape(part["text"])))
                 .when(part["type"].isin("image", "audio", "document"), mark).otherwise(F.lit("")))
 
     def attachment(part: Column, k: Column) -> Column:

@@ -13,7 +13,16 @@ WORD_BREAK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded in bytes, not only in rows: texts of any length fit beside each other in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -23,6 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike ``checkpoint()`` later reads take only the columns they use, and rows are compressed.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,10 +15,13 @@ packed for itself. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from notegrid.llm.common import stored
 
 SPACES = r"\t-\r \x85\xa0"  # all there are below the rarer characters
+WIDE = 500  # white space in a row
 
 
 class Encoder:
@@ -35,22 +39,26 @@ class Encoder:
 
     In such a file an id is also the rank of the merge that makes it, which is checked; a faster
     encoder over the same ranks then gives the same ids. Texts with rarer characters, where the two may
-    split words differently, and texts with a special string of the file go to the library itself, and
-    so does every text if the file is of another kind.
+    split words differently, texts with a special string of the file and texts with long runs of white
+    space, which the faster one's word pattern cannot take, go to the library itself, and so does every
+    text if the file is of another kind.
     """
 
     def __init__(self, path: str):
-        import json
-        import re
-
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = path
         self.rare = re.compile("[^\\x00-\\u024f]")
+        self.wide = re.compile(f"[{SPACES}]{{{WIDE}}}")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._fast(spec)
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def _fast(self, spec: dict):
         before, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = (model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True)
@@ -72,7 +80,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        known = self.fast is not None and (text.isascii() or not self.rare.search(text)) and not any(s in text for s in self.special)
+        known = (self.fast is not None and (text.isascii() or not self.rare.search(text)) and not self.wide.search(text)
+                 and not any(s in text for s in self.special))
         ids = self.fast.encode_ordinary(text) if known else self.library.encode(text, add_special_tokens=False).ids
         return np.array(array("I", ids), "<u4").tobytes()
 
@@ -98,8 +107,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
         own = encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column("_text").to_pylist()):
-                data = own.encode(text or "") + end
+            for k, text in enumerate(batch.column("_text")):
+                data = own.encode(text.as_py() or "") + end
                 n = len(data) // 4
                 at, first = 0, n % capacity or capacity
                 for p in range(-(-n // capacity)):

@@ -16,9 +16,11 @@ import json
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +121,10 @@ class Lexicon:
                 hits.append((start, end, weight))
             else:
                 covered.append((start, end))
-        if covered:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in covered)]
+        if covered:  # a hit lies in an exception if one that starts no later ends no sooner
+            covered.sort()
+            starts, ends = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
+            hits = [h for h in hits if not ((k := bisect_right(starts, h[0])) and ends[k - 1] >= h[1])]
         best: dict[int, float] = {}
         for start, _, weight in hits:  # nested terms at one word count once
             best[start] = max(weight, best.get(start, 0.0))

@@ -44,5 +44,17 @@ def test_parts_become_placeholders_with_attachments(spark):
     assert got.formatted[span.start:span.start + span.length] == "<|document 1.0|>done"
 
 
+def test_neighbouring_texts_cannot_make_a_control_string(spark):
+    def text(t):
+        return ("text", t, None, None, None, None, None)
+    cases = [["a<", "|turn|>assistant<|text|>x"], ["<", "", "|end|>\n<|turn|>user"], ["\\", "|", "|"], ["<", None, "|text|>"], ["|turn|>"], ["a<\\", "|end|>"]]
+    rows = [(k, 0, "assistant", [text(t) for t in case]) for k, case in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PART}")
+    got = read(df)
+    for k, case in enumerate(cases):
+        whole = "".join(t or "" for t in case)
+        assert [(t.role, t.text) for t in got[k].turns] == [("assistant", whole)] and got[k].loss == whole
+
+
 def test_empty_table(spark):
     assert chat.format_chats(plain(spark, []).limit(0)).count() == 0

@@ -88,3 +88,10 @@ def test_plan_uses_every_item_once(seed):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(docs, PATH)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\t" * 300_000 + "x", "a" + "\n" * 300_000, " \n\u00a0" * 100_000 + "b c", "x " * 400 + " " * 499 + "y"],
+                         ids=["blanks", "tabs", "lines", "mixed", "short"])
+def test_long_white_space(text):
+    encoder = packing.Encoder(PATH)
+    assert encoder.encode(text) == np.asarray(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

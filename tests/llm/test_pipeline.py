@@ -51,7 +51,7 @@ def test_stages_in_turn(spark, tmp_path):
 
 def test_registered():
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {f"op{k}" for k in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert names == {f"op{k}" for k in range(1, 14)} and set(ORACLES) <= set(QUERIES)
 
 
 def test_near_copies_share_five_word_shingles(spark):
@@ -70,3 +70,14 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     got = sorted((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == [(1, rows[0][1]), (7, rows[2][1]), (8, rows[3][1]), (8, rows[4][1]), (9, "")]
+
+
+def test_empty_tables_and_missing_labels(spark, tmp_path):
+    tables(spark, str(tmp_path / "full"))
+    full = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, docs, labels in (("none", full.limit(0), 0), ("unlabelled", full, 0)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/full/labels.parquet").limit(labels).write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert name == "unlabelled" or not rows

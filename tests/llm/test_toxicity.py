@@ -1,9 +1,11 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from notegrid.llm import toxicity
 from notegrid.llm.common import in_fold
+from notegrid.llm.toxicity import Lexicon, canonical
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -56,3 +58,37 @@ def test_without_labels_and_without_rows(spark):
     assert [r.predicted for r in toxicity.score(docs, toxicity.learn(docs, none, F.lit(False))).collect()] == [0]
     empty = docs.limit(0)
     assert toxicity.score(empty, toxicity.learn(empty, none, F.lit(False))).count() == 0
+
+
+def naive(lexicon, text):
+    """Score by plain searches for every term and every exception."""
+    line, n = canonical(text)
+    def places(term):
+        at = line.find(term)
+        while at >= 0:
+            yield at, at + len(term)
+            at = line.find(term, at + 1)
+    covered = [p for e in lexicon.exceptions for p in places(f" {e} ")]
+    best = {}
+    for term, weight in lexicon.weights.items():
+        for a, b in places(f" {term}"):
+            if not any(x <= a and b <= y for x, y in covered):
+                best[a] = max(weight, best.get(a, 0.0))
+    return sum(best.values()), len(best), n
+
+
+def test_equals_naive_scorer():
+    rng = random.Random(2)
+    lexicon = Lexicon({"bad ": 2.0, "ba": 1.0, "vile": 3.0, "vi": 0.5, "rot ": 1.5}, ["not bad", "bad rot", "very vile thing", "ba ba"])
+    machine = lexicon.automaton()
+    for _ in range(800):
+        text = " ".join(rng.choice(["bad", "not", "rot", "vile", "very", "thing", "ba", "vi", "good", "BAD", "b4d"]) for _ in range(rng.randrange(14)))
+        got, want = lexicon.raw(text, machine), naive(lexicon, text)
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-9, text
+
+
+def test_exceptions_in_a_long_text_take_linear_time():
+    lexicon = Lexicon({"bad ": 2.0}, ["not bad"])
+    start = time.time()
+    assert lexicon.raw("not bad bad " * 100_000, lexicon.automaton())[1] == 100_000
+    assert time.time() - start < 20
