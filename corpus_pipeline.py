@@ -43,9 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The mix of the sources at weights 5, 2, 1: a row per copy, in shards, n_chars of the text taken."""
+    """The mix of the sources at weights 5, 2, 1: a row per copy, shard after shard in mixed order, n_chars of the text taken."""
     mixed = mixing.mixed_rows(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
-    return (mixed.sortWithinPartitions("_shard", "_order").withColumn("n_chars", F.length("text").cast("long"))
+    order = ["_shard", "_order", F.xxhash64("doc_id", "text")]  # ranges of a shard are tasks of their own
+    return (mixed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n_chars", F.length("text").cast("long"))
             .select(*COLUMNS))
 
 
