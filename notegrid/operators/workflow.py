@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 
 from notegrid.functions.dates import add_offset, partial_date
 from notegrid.operators.naming import free_names
+from notegrid.session import settle
 
 
-def previous_values(log: DataFrame, key: str, time: str, tie: str, value: str,
-                    bucket: str = "day") -> DataFrame:
-    """Adds ``before``: the value the same key had just before.
+def previous_values(log: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
+    """Adds ``before``: the value the same key had just before, null first.
 
-    A key may own a large share of the log, so its history is cut at calendar boundaries: inside
-    a (key, bucket) a window finds the predecessor; the first row of a bucket takes the last value
-    of the key's previous bucket from a summary with one row per (key, bucket).
+    A segmented scan: the log is range-partitioned by key and time, so a key that owns a large share
+    of it lies in many pieces, whatever stretch of time it falls into. Inside a piece a window finds
+    the predecessor; the first row of a key in a piece takes the last value of the key's piece
+    before, from a table of one row per key and piece.
     """
-    rows = log.withColumn("bucket_", F.date_trunc(bucket, time))
-    inner = W.partitionBy(key, "bucket_").orderBy(time, tie)
-    rows = rows.withColumn("n_", F.row_number().over(inner)).withColumn(
-        "in_", F.lag(value).over(inner))
-    last = rows.groupBy(key, "bucket_").agg(F.max_by(value, F.struct(time, tie)).alias("last_"))
-    chain = last.withColumn("carry_", F.lag("last_").over(W.partitionBy(key).orderBy("bucket_"))) \
-        .select(key, "bucket_", "carry_").withColumn("n_", F.lit(1))
-    joined = rows.join(chain, [key, "bucket_", "n_"], "left")
+    order = [F.col(key), F.col(time), F.col(tie)]
+    rows = settle(log.repartitionByRange(*order).withColumn("piece_", F.spark_partition_id()))
+    inner = W.partitionBy("piece_", key).orderBy(time, tie)
+    rows = rows.withColumn("n_", F.row_number().over(inner)).withColumn("in_", F.lag(value).over(inner))
+    last = rows.groupBy(key, "piece_").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(time, tie)).alias("last_"))
+    chain = last.withColumn("carry_", F.lag("last_").over(W.partitionBy(key).orderBy("piece_"))) \
+        .filter("carry_ IS NOT NULL").select(F.col(key).alias("key_"), "piece_", F.col("carry_.v").alias("carry_"), F.lit(1).alias("n_"))
+    joined = rows.join(chain, rows[key].eqNullSafe(chain["key_"]) & (rows["piece_"] == chain["piece_"]) & (rows["n_"] == chain["n_"]), "left") \
+        .select(*[rows[c] for c in log.columns], rows["n_"], rows["in_"], "carry_")
     before = F.when(F.col("n_") == 1, F.col("carry_")).otherwise(F.col("in_"))
-    return joined.withColumn("before", before).drop("bucket_", "n_", "in_", "carry_")
+    return joined.withColumn("before", before).drop("n_", "in_", "carry_")
 
 
 def transitions(log: DataFrame, key: str, time: str, tie: str, value: str, entered: str) -> DataFrame:

@@ -15,7 +15,7 @@ from notegrid.session import checkpoint_dir
 from notegrid.sources import notes as N
 from notegrid.sources import sinks as K
 from notegrid.sources.tables import ASOF, SCHEMA, header, quoted
-from notegrid.streaming.changes import stream_transitions
+from notegrid.streaming.changes import closed, stream_transitions
 from notegrid.types import compile_types
 
 
@@ -197,8 +197,8 @@ def _(t):
     SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
     WHERE event_type='error' AND before IS DISTINCT FROM 'error'""")
 def _(t):
-    """The change log read as a stream to its end; entries come back from the per-batch output."""
+    """The change log read as a stream and closed behind its end; entries come back from the per-batch output."""
     log = t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     base = f"{checkpoint_dir(t.spark)}/transitions-{uuid.uuid4().hex}"
-    stream_transitions(log, base, "user_id", "ts", "event_id", "event_type", "error").awaitTermination()
+    stream_transitions(closed(log, base, "user_id", "ts", "2999-01-01"), base, "user_id", "ts", "event_id", "event_type", "error").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("event_id", "user_id")

@@ -63,13 +63,13 @@ def _(t):
     return Q.link_issues(resolved, ["ambiguous-link-target"]).select("path", "value")
 
 
-@probe("fix_stale_link", twin("customer_n", "nation_n", body="""
+@probe("fix_stale_link", twin("customer_n", "index_n", body="""
     SELECT c.path AS src_path, 'parent' AS field, '[['||target||']]' AS raw, '[['||min(n.name)||']]' AS new_raw FROM c
-    JOIN nation_n n ON levenshtein(lower(target), lower(n.name)) BETWEEN 1 AND 2
+    JOIN (SELECT DISTINCT name FROM index_n) n ON levenshtein(lower(target), lower(n.name)) BETWEEN 1 AND 2
     WHERE c.k%11=0 OR (c.k%13<>1 AND c.k%17<>2 AND c.k%19=3) GROUP BY 1,2,3 HAVING count(*)=1""", **BENT))
 def _(t):
     stale = _bent(t).filter("resolution = 'none'")
-    close = M.close_pairs(stale.select(F.col("target").alias("query")), t.nation.select("name"), 2)
+    close = M.close_pairs(stale.select(F.col("target").alias("query")), t.index_rows.select("name"), 2)
     return X.fix_stale_link(stale, close)
 
 

@@ -124,22 +124,22 @@ def _(t):
     return T.broken_body_file_links(t.written, files)
 
 
-@probe("body_link_suggestions", twin("nation_n", body="""
-    SELECT q.query, n.name, levenshtein(lower(q.query), lower(n.name)) AS distance FROM (SELECT DISTINCT 'NATOIN_'||k%25 AS query FROM w) q
-    JOIN nation_n n ON levenshtein(lower(q.query), lower(n.name)) BETWEEN 1 AND 2
+@probe("body_link_suggestions", twin("index_n", body="""
+    SELECT q.query, n.name, levenshtein(lower(q.query), lower(n.name)) AS distance FROM (SELECT DISTINCT 'NATOIN_'||k%25 AS query FROM w
+      UNION SELECT 'Part '||k%2500 FROM w, parts WHERE k%2500 > last_part) q
+    JOIN (SELECT DISTINCT name FROM index_n) n ON levenshtein(lower(q.query), lower(n.name)) BETWEEN 1 AND 2
     QUALIFY row_number() OVER (PARTITION BY q.query ORDER BY distance, n.name) <= 3""", **W))
 def _(t):
-    broken = T.body_wikilinks(t.written).filter("target LIKE 'NATOIN%'").select(F.col("target").alias("query"))
-    close = M.close_matches(broken, t.nation.select("name"), 2, 3)
+    broken = T.broken_body_wikilinks(t.written, R.build_targets(t.index_rows, t.aliases)).select(F.col("target").alias("query"))
+    close = M.close_matches(broken, t.index_rows.select("name"), 2, 3)
     return close.select("query", "name", F.col("distance").cast("bigint").alias("distance"))
 
 
-@probe("close_matches", twin("supplier_n", body="""
-    SELECT a.name AS query, b.name, levenshtein(lower(a.name), lower(b.name)) AS distance FROM supplier_n a JOIN supplier_n b
+@probe("close_matches", twin("supplier_n", "index_n", body="""
+    SELECT a.name AS query, b.name, levenshtein(lower(a.name), lower(b.name)) AS distance FROM supplier_n a JOIN (SELECT DISTINCT name FROM index_n) b
     ON levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2"""))
 def _(t):
-    names = t.supplier.select("name")
-    return M.close_matches(names.withColumnRenamed("name", "query"), names, 2).select(
+    return M.close_matches(t.supplier.select(F.col("name").alias("query")), t.index_rows.select("name"), 2).select(
         "query", "name", F.col("distance").cast("bigint").alias("distance"))
 
 

@@ -1,28 +1,85 @@
 """Workflow rules over an append-only change log as a stream.
 
-Each micro-batch is judged with the batch operators, which split the history of a busy key, and a
-state table with the last value per key carries over. Outputs and state are written per batch id,
-so a batch that runs again replaces its own files and nothing else.
+``transition_stream`` keeps, per key, the rows that event time has not passed yet and the last value before
+them, in Spark's keyed state store. A batch reads and writes the state of the keys it touches, and of those
+whose timers fire, not of all keys. Rows wait until the watermark has passed their time and are then judged
+in the order of their time, so a row that comes late, but within ``delay``, is judged by the value
+before its time, and the rows after it by its own. Later ones are left out by the watermark, as usual.
+
+``judge_batch`` does the same for one batch against a table of last values, without waiting.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from notegrid.operators.workflow import previous_values
 from notegrid.types import TypeSchema
 
 
-def _folder(base: str, kind: str, batch: int) -> str:
-    return f"{base.rstrip('/')}/{kind}/batch={batch}"
-
-
-def _state(spark: SparkSession, base: str, batch: int) -> DataFrame | None:
-    if batch == 0:
-        return None
-    return spark.read.parquet(_folder(base, "state", batch - 1))
+# Keyed state with timers needs this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Entered(StatefulProcessor):
+    """Holds rows back until event time has passed them, then tells which enter the wanted value."""
+
+    def __init__(self, columns: list[str], kinds: list[str], entered):
+        self.columns, self.kinds, self.entered = columns, kinds, entered
+
+    def init(self, handle) -> None:
+        _, tie, value = self.kinds
+        self.handle = handle
+        self.last = handle.getValueState("last", f"value {value}")
+        self.waiting = handle.getMapState("waiting", f"micros long, tie {tie}", f"value {value}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        _, time, tie, value = self.columns
+        for part in rows:
+            micros = part[time].astype("datetime64[us]").astype("int64")
+            for at, order, now in zip(micros, part[tie], part[value]):
+                self.waiting.updateValue((int(at), order.item() if hasattr(order, "item") else order), (None if pd.isna(now) else now,))
+            for milli in {int(at) // 1000 + 1 for at in micros}:
+                self.handle.registerTimer(milli)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted(k for k in self.waiting.keys() if k[0] < passed)
+        if not due:
+            return
+        before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for place in due:
+            now = self.waiting.getValue(place)[0]
+            if now == self.entered and before != self.entered:
+                out.append((key[0], pd.Timestamp(place[0], unit="us"), place[1], now, before))
+            before = now
+            self.waiting.removeKey(place)
+        self.last.update((before,))
+        if out:
+            yield pd.DataFrame(out, columns=[*self.columns, "before"])
+
+    def close(self) -> None:
+        pass
+
+
+def transition_stream(log: DataFrame, key: str, time: str, tie: str, value: str, entered: str, delay: str = "10 minutes") -> DataFrame:
+    """Streaming rows (key, time, tie, value, before) at which the watched field enters a value.
+
+    ``tie`` tells rows of one key and time apart and orders them. Rows without key or time are left out.
+    """
+    log.sparkSession.conf.set(*STORE)
+    columns = [key, time, tie, value]
+    kinds = [log.schema[c].dataType.simpleString() for c in columns]
+    schema = T.StructType([*(log.schema[c] for c in columns), T.StructField("before", log.schema[value].dataType)])
+    rows = log.select(*columns).filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
+    return rows.groupBy(key).transformWithStateInPandas(Entered(columns, kinds[1:], entered), outputStructType=schema,
+                                                        outputMode="Append", timeMode="EventTime")
 
 
 def judge_batch(log: DataFrame, state: DataFrame | None, key: str, time: str, tie: str, value: str,
@@ -49,22 +106,31 @@ def judge_batch(log: DataFrame, state: DataFrame | None, key: str, time: str, ti
         key, F.col("s.t").alias("last_time"), F.col("s.v").alias("last_value"))
 
 
-def stream_transitions(log: DataFrame, base: str, key: str, time: str, tie: str, value: str, entered: str,
+def stream_transitions(log: DataFrame, base: str, key: str, time: str, tie: str, value: str, entered: str, delay: str = "10 minutes",
                        on_entries=None, trigger: dict | None = None) -> StreamingQuery:
     """Run the transition rule over a streaming log; entries land in ``<base>/out/batch=N``.
 
-    ``on_entries(entries, batch)`` may derive effects or successors from the same rows.
+    A batch that runs again replaces its own files. ``on_entries(entries, batch)`` may derive effects or
+    successors from the same rows.
     """
-    def step(batch_df: DataFrame, batch: int) -> None:
-        spark = batch_df.sparkSession
-        entries, state = judge_batch(batch_df, _state(spark, base, batch), key, time, tie, value, entered)
-        state.write.mode("overwrite").parquet(_folder(base, "state", batch))
-        entries.write.mode("overwrite").parquet(_folder(base, "out", batch))
+    def step(entries: DataFrame, batch: int) -> None:
+        out = f"{base.rstrip('/')}/out/batch={batch}"
+        entries.write.mode("overwrite").parquet(out)
         if on_entries is not None:
-            on_entries(spark.read.parquet(_folder(base, "out", batch)), batch)
+            on_entries(entries.sparkSession.read.schema(entries.schema).parquet(out), batch)
+
+    return transition_stream(log, key, time, tie, value, entered, delay).writeStream.foreachBatch(step).outputMode("append") \
+        .option("checkpointLocation", f"{base.rstrip('/')}/progress").trigger(**(trigger or {"availableNow": True})).start()
+
 
-    return log.writeStream.foreachBatch(step).option("checkpointLocation", f"{base.rstrip('/')}/progress") \
-        .trigger(**(trigger or {"availableNow": True})).start()
+def closed(log: DataFrame, base: str, key: str, time: str, at: str) -> DataFrame:
+    """``log`` followed by one row of time ``at`` and no other use, so that event time passes all rows before it."""
+    folder = f"{base.rstrip('/')}/closing"
+    spark = log.sparkSession
+    end = spark.range(1).select(*[F.lit(at).cast(f.dataType).alias(f.name) if f.name == time else
+                                  F.lit(0 if f.name == key else None).cast(f.dataType).alias(f.name) for f in log.schema.fields])
+    end.write.mode("overwrite").parquet(folder)
+    return log.unionByName(spark.readStream.schema(log.schema).parquet(folder))
 
 
 def stream_notes(spark: SparkSession, root: str, schema: TypeSchema) -> DataFrame:

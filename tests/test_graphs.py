@@ -87,6 +87,27 @@ def test_previous_values_across_quiet_days(spark):
     assert {r["id"] for r in Wf.transitions(log, "key", "t", "id", "v", "b").collect()} == {2, 5}
 
 
+def test_previous_values_of_a_busy_key_in_one_day(spark):
+    """A third of the log is one key within one day; it lies in many pieces and comes back in order."""
+    import random
+    rng = random.Random(3)
+    rows = [(k, "hot" if k % 3 == 0 else rng.choice(["a", "b", None]), f"2024-01-01 {rng.randrange(24):02d}:{rng.randrange(60):02d}:00",
+             rng.choice(["x", "y", None])) for k in range(900)]
+    log = spark.createDataFrame(rows, "id int, key string, t string, v string").withColumn("t", F.to_timestamp("t"))
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["before"] for r in Wf.previous_values(log, "key", "t", "id", "v").collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    want, last = {}, {}
+    for k, key, t, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[k], last[key] = last.get(key), v
+    assert got == want
+
+
 def test_free_names_fill_gaps_in_order(spark):
     from notegrid.operators.naming import free_names
     notes = spark.createDataFrame([("Plan",), ("Plan 2",), ("Plan 4",), ("Solo 3",)], "name string")

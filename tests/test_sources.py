@@ -1,3 +1,5 @@
+import datetime
+
 import json
 import uuid
 
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notegrid.sources import notes as N
 from notegrid.sources import sinks as K
-from notegrid.streaming.changes import judge_batch, stream_notes
+from notegrid.streaming.changes import judge_batch, stream_notes, stream_transitions
 from notegrid.types import compile_types
 
 SCHEMA = compile_types({"types": {"idea": {"output_dir": "Ideas", "fields": {"b": {"kind": "text"}, "a": {"kind": "text"}}}}})
@@ -70,6 +72,33 @@ def test_stream_batches_carry_state(spark):
     assert {r["k"]: r["last_value"] for r in after.collect()} == {"k": "e", "z": "e", "n": "e"}
 
 
+def test_stream_waits_and_judges_late_rows_in_their_place(spark, tmp_path):
+    kind = "id long, k string, t timestamp, v string, more int"
+    at = lambda m: datetime.datetime(2024, 1, 1, m // 60, m % 60)
+    seen = {}
+
+    def batch(rows):
+        spark.createDataFrame([(*r, 1) for r in rows], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        q = stream_transitions(log, str(tmp_path / "run"), "k", "t", "id", "v", "e", "30 minutes",
+                               on_entries=lambda rows, n: seen.__setitem__(n, [tuple(r) for r in rows.collect()]))
+        q.awaitTermination()
+        return q
+
+    batch([(1, "a", at(1), "e"), (2, "a", at(20), "e"), (3, "b", at(5), "x")] + [(100 + k, f"k{k}", at(2), "x") for k in range(40)])
+    assert not [r for rows in seen.values() for r in rows]
+    batch([(4, "a", at(10), "x"), (5, "b", at(15), "e"), (6, "b", at(15), "e"), (7, "a", at(25), None)])  # 4 is late and makes 2 an entry
+    last = batch([(8, "b", at(300), "x"), (9, None, at(300), "x")])
+    rows = sorted((r for rows in seen.values() for r in rows), key=lambda r: r[2])
+    assert rows == [("a", at(1), 1, "e", None), ("a", at(20), 2, "e", "x"), ("b", at(15), 5, "e", "x")]
+    batch([(10, "a", at(310), "e"), (11, "a", at(3), "e")])  # 11 is later than the delay
+    last = batch([(12, "z", at(900), "e")])
+    rows = sorted((r for rows in seen.values() for r in rows), key=lambda r: r[2])
+    assert rows[3:] == [("a", at(310), 10, "e", None)]
+    state = [p["stateOperators"][0]["numRowsUpdated"] for p in last.recentProgress if p["stateOperators"]]
+    assert sum(state) < 20  # of more than forty keys
+
+
 def test_notes_stream(spark, tmp_path):
     write(tmp_path / "v", {"Ideas/a.md": "---\ntype: idea\n---\nx"})
     q = stream_notes(spark, str(tmp_path / "v"), SCHEMA).select("path", "type").writeStream.format("memory") \
