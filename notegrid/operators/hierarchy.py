@@ -190,31 +190,62 @@ def children_index(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_children"))
 
 
+def _sum_before(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of the same key that come earlier.
+
+    A segmented scan over range pieces, so a key may own a large share of all rows.
+    """
+    from pyspark.sql import Window as W
+    put = settle(rows.repartitionByRange(key, *order).withColumn("piece_", F.spark_partition_id()))
+    inner = W.partitionBy("piece_", key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    put = put.withColumn("near_", F.sum(value).over(inner))
+    past = W.partitionBy(key).orderBy("piece_").rowsBetween(W.unboundedPreceding, -1)
+    pieces = put.groupBy(key, "piece_").agg(F.sum(value).alias("all_")).withColumn("far_", F.sum("all_").over(past))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return put.join(pieces.select(key, "piece_", "far_"), [key, "piece_"]).withColumn(
+        "before", zero("near_") + zero("far_")).drop("piece_", "near_", "far_")
+
+
 def tree_rows(notes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Forest of the selected rows in reading order: path, name, root, depth, ord.
 
-    Roots are rows whose parent is not selected. ``ord`` is the list of names from the root, so
-    sorting by it gives the printed order. One join per level, over the shrinking frontier.
+    Roots are rows whose parent is not selected; rows on or below a ring of parents have none and are
+    left out. ``ord`` numbers the rows from 1 as they are printed, siblings by name, then path. The
+    number of a row is the sum, over its way from the root, of the sizes of the subtrees printed before
+    it at each step. Sizes and sums come from pointer doubling: about log2(depth) rounds of
+    partial sums and N:1 joins, at any depth, and no list in a row.
     """
-    chosen = notes.select("path", "name")
-    inside = edges.join(chosen.select(F.col("path").alias("child")), "child", "left_semi") \
-        .join(chosen.select(F.col("path").alias("parent")), "parent", "left_semi") \
-        .select("child", "parent")
-    inside = settle(inside.join(chosen.select(F.col("path").alias("child"), "name"), "child"))
-    roots = chosen.join(inside, F.col("path") == F.col("child"), "left_anti")
-    level = settle(roots.select("path", "name", F.col("path").alias("root"),
-                                F.lit(0).alias("depth"), F.array("name").alias("ord")))
-    out, depth = level, 0
-    while not level.isEmpty():
-        depth += 1
-        if max_depth is not None and depth >= max_depth:
-            break
-        level = settle(level.select(F.col("path").alias("parent"), "root", "ord").join(
-            inside, "parent").select(
-            F.col("child").alias("path"), "name", "root", F.lit(depth).alias("depth"),
-            F.concat("ord", F.array("name")).alias("ord")))
-        out = out.unionByName(level)
-    return out
+    chosen = settle(notes.select("path", "name"))
+    inside = settle(edges.select("child", "parent").distinct()
+                    .join(chosen.select(F.col("path").alias("child")), "child", "left_semi")
+                    .join(chosen.select(F.col("path").alias("parent")), "parent", "left_semi"))
+    shape = settle(forest(inside))
+    rings = shape.filter("cycle IS NOT NULL").select("root").distinct()
+    shape = shape.join(rings, "root", "left_anti") if not rings.isEmpty() else shape
+    lost = inside.select(F.col("child").alias("path")).join(shape.select(F.col("node").alias("path")), "path", "left_anti")
+    rows = chosen.join(lost, "path", "left_anti").join(shape.select(F.col("node").alias("path"), "root", "depth"), "path", "left") \
+        .join(inside.select(F.col("child").alias("path"), "parent"), "path", "left")
+    rows = rows.select("path", "name", F.coalesce("root", "path").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), "parent")
+    if max_depth is not None:
+        rows = rows.filter(F.col("depth") < max_depth)
+    rows = settle(rows)
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    rounds = int(deepest).bit_length()
+
+    sizes = rows.select("path", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"))
+    for _ in range(rounds):  # ``up`` is 1, 2, 4, ... steps above; size counts all rows fewer steps below
+        below = sizes.filter("up IS NOT NULL").groupBy(F.col("up").alias("path")).agg(F.sum("size").alias("more"))
+        ahead = sizes.select(F.col("path").alias("up"), F.col("up").alias("far"))
+        sizes = settle(sizes.join(below, "path", "left").join(ahead, "up", "left").select(
+            "path", F.col("far").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    step = _sum_before(rows.join(sizes.select("path", "size"), "path").withColumn("under", F.coalesce("parent", F.lit(""))),
+                       "under", ["name", "path"], "size")
+    walk = settle(step.select("path", F.col("parent").alias("up"), (F.col("before") + 1).alias("ord")))
+    for _ in range(rounds):
+        ahead = walk.select(F.col("path").alias("up"), F.col("up").alias("far"), F.col("ord").alias("more"))
+        walk = settle(walk.join(ahead, "up", "left").select(
+            "path", F.col("far").alias("up"), (F.col("ord") + F.coalesce("more", F.lit(0))).alias("ord")))
+    return rows.join(walk.select("path", "ord"), "path").select("path", "name", "root", F.col("depth").cast("int").alias("depth"), "ord")
 
 
 def directory_rows(notes: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -264,15 +264,15 @@ def _(t):
 
 
 @probe("tree_rows", twin(*NS, body="""
-    SELECT 'Places/'||r_name AS path, 'Places/'||r_name AS root, 0 AS depth, r_name AS ord FROM region UNION ALL
-    SELECT path, 'Places/'||trim(parent,'[]'), 1, trim(parent,'[]')||' > '||name FROM nation_n UNION ALL
-    SELECT c.path, 'Places/'||trim(n.parent,'[]'), 2, trim(n.parent,'[]')||' > '||n.name||' > '||c.name
-    FROM (SELECT path, name, parent_path FROM customer_n UNION ALL SELECT path, name, parent_path FROM supplier_n) c
-      JOIN nation_n n ON n.path=c.parent_path"""))
+    SELECT path, root, depth, row_number() OVER (ORDER BY names, path) AS ord FROM (
+      SELECT 'Places/'||r_name AS path, 'Places/'||r_name AS root, 0 AS depth, [r_name] AS names FROM region UNION ALL
+      SELECT path, 'Places/'||trim(parent,'[]'), 1, [trim(parent,'[]'), name] FROM nation_n UNION ALL
+      SELECT c.path, 'Places/'||trim(n.parent,'[]'), 2, [trim(n.parent,'[]'), n.name, c.name]
+      FROM (SELECT path, name, parent_path FROM customer_n UNION ALL SELECT path, name, parent_path FROM supplier_n) c
+        JOIN nation_n n ON n.path=c.parent_path)"""))
 def _(t):
     notes = t.frames("region", "nation", "customer", "supplier")
-    return H.tree_rows(notes, _place_edges(t)).select(
-        "path", "root", "depth", F.array_join("ord", " > ").alias("ord"))
+    return H.tree_rows(notes, _place_edges(t)).select("path", "root", "depth", "ord")
 
 
 @probe("directory_rows", twin("index_n", body="""

@@ -75,9 +75,10 @@ def transition_stream(log: DataFrame, key: str, time: str, tie: str, value: str,
     """
     log.sparkSession.conf.set(*STORE)
     columns = [key, time, tie, value]
+    log = log.select(key, F.col(time).cast("timestamp").alias(time), tie, value)  # event time has a zone
     kinds = [log.schema[c].dataType.simpleString() for c in columns]
-    schema = T.StructType([*(log.schema[c] for c in columns), T.StructField("before", log.schema[value].dataType)])
-    rows = log.select(*columns).filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
+    schema = T.StructType([*log.schema.fields, T.StructField("before", log.schema[value].dataType)])
+    rows = log.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
     return rows.groupBy(key).transformWithStateInPandas(Entered(columns, kinds[1:], entered), outputStructType=schema,
                                                         outputMode="Append", timeMode="EventTime")
 

@@ -141,3 +141,39 @@ def test_rings_are_above_what_hangs_below_them(spark):
     assert got == {(x, y) for y, seen in above.items() for x in seen}
     pairs = {(r["path"], r["ancestor"]): r["depth"] for r in H.closure(edges).collect()}
     assert pairs[("a", "a")] == 3 and pairs[("e", "c")] == 3 and pairs[("e", "b")] == 2 and ("e", "e") not in pairs and len(pairs) == 9 + 3 + 4 + 4
+
+
+def test_tree_rows_number_a_forest_in_reading_order(spark):
+    import random
+    rng = random.Random(11)
+    names = {f"p{k}": rng.choice(["a", "b", "c", f"n{k}"]) for k in range(400)}
+    parent = {}
+    for k in range(1, 400):
+        if k < 60:
+            parent[f"p{k}"] = f"p{k - 1}"  # a long chain
+        elif k < 200:
+            parent[f"p{k}"] = "p7"  # a busy parent
+        elif k < 330:
+            parent[f"p{k}"] = f"p{rng.randrange(k)}"
+        elif k < 340:
+            parent[f"p{k}"] = f"p{330 + (k - 329) % 10}"  # a ring, and a row below it
+    parent["p340"], parent["p341"], parent["p342"] = "p335", "p340", "elsewhere"
+    children, order = {}, []
+    for c, p in parent.items():
+        children.setdefault(p, []).append(c)
+
+    def visit(node, root, depth):
+        order.append((node, names[node], root, depth, len(order) + 1))
+        for c in sorted(children.get(node, []), key=lambda x: (names[x], x)):
+            visit(c, root, depth + 1)
+    for r in sorted((p for p in names if parent.get(p) not in names), key=lambda x: (names[x], x)):
+        visit(r, r, 0)
+    assert 300 < len(order) < 400
+    notes = spark.createDataFrame(list(names.items()), "path string, name string")
+    edges = spark.createDataFrame(list(parent.items()), "child string, parent string")
+    got = H.tree_rows(notes, edges)
+    assert got.columns == ["path", "name", "root", "depth", "ord"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[4]) == order
+    top = sorted(map(tuple, H.tree_rows(notes, edges, max_depth=2).collect()), key=lambda r: r[4])
+    assert [r[:4] for r in top] == [r[:4] for r in order if r[3] < 2] and [r[4] for r in top] == list(range(1, len(top) + 1))
+    assert H.tree_rows(notes.limit(0), edges).collect() == []
