@@ -200,5 +200,5 @@ def _(t):
     """The change log read as a stream and closed behind its end; entries come back from the per-batch output."""
     log = t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     base = f"{checkpoint_dir(t.spark)}/transitions-{uuid.uuid4().hex}"
-    stream_transitions(closed(log, base, "user_id", "ts", "2999-01-01"), base, "user_id", "ts", "event_id", "event_type", "error").awaitTermination()
+    stream_transitions(closed(log, base, "user_id", "ts", "event_id", "2200-01-01"), base, "user_id", "ts", "event_id", "event_type", "error").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("event_id", "user_id")

@@ -37,12 +37,16 @@ class Entered(StatefulProcessor):
         self.last = handle.getValueState("last", f"value {value}")
         self.waiting = handle.getMapState("waiting", f"micros long, tie {tie}", f"value {value}")
 
+    def plain(self, value):
+        """Whole numbers beside a null come as floats."""
+        return int(value) if self.kinds[2] in ("tinyint", "smallint", "int", "bigint") else value
+
     def handleInputRows(self, key, rows, timerValues):
         _, time, tie, value = self.columns
         for part in rows:
             micros = part[time].astype("datetime64[us]").astype("int64")
             for at, order, now in zip(micros, part[tie], part[value]):
-                self.waiting.updateValue((int(at), order.item() if hasattr(order, "item") else order), (None if pd.isna(now) else now,))
+                self.waiting.updateValue((int(at), order.item() if hasattr(order, "item") else order), (None if pd.isna(now) else self.plain(now),))
             for milli in {int(at) // 1000 + 1 for at in micros}:
                 self.handle.registerTimer(milli)
         return iter(())
@@ -71,14 +75,16 @@ class Entered(StatefulProcessor):
 def transition_stream(log: DataFrame, key: str, time: str, tie: str, value: str, entered: str, delay: str = "10 minutes") -> DataFrame:
     """Streaming rows (key, time, tie, value, before) at which the watched field enters a value.
 
-    ``tie`` tells rows of one key and time apart and orders them. Rows without key or time are left out.
+    ``tie`` tells rows of one key and time apart and orders them. Rows without one of
+    the three are left out. Times lie
+    before the year 2262, as pandas asks.
     """
     log.sparkSession.conf.set(*STORE)
     columns = [key, time, tie, value]
     log = log.select(key, F.col(time).cast("timestamp").alias(time), tie, value)  # event time has a zone
     kinds = [log.schema[c].dataType.simpleString() for c in columns]
     schema = T.StructType([*log.schema.fields, T.StructField("before", log.schema[value].dataType)])
-    rows = log.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
+    rows = log.filter(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(tie).isNotNull()).withWatermark(time, delay)
     return rows.groupBy(key).transformWithStateInPandas(Entered(columns, kinds[1:], entered), outputStructType=schema,
                                                         outputMode="Append", timeMode="EventTime")
 
@@ -124,12 +130,13 @@ def stream_transitions(log: DataFrame, base: str, key: str, time: str, tie: str,
         .option("checkpointLocation", f"{base.rstrip('/')}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def closed(log: DataFrame, base: str, key: str, time: str, at: str) -> DataFrame:
+def closed(log: DataFrame, base: str, key: str, time: str, tie: str, at: str) -> DataFrame:
     """``log`` followed by one row of time ``at`` and no other use, so that event time passes all rows before it."""
     folder = f"{base.rstrip('/')}/closing"
     spark = log.sparkSession
+    needed = (key, tie)
     end = spark.range(1).select(*[F.lit(at).cast(f.dataType).alias(f.name) if f.name == time else
-                                  F.lit(0 if f.name == key else None).cast(f.dataType).alias(f.name) for f in log.schema.fields])
+                                  F.lit("0" if f.name in needed else None).cast(f.dataType).alias(f.name) for f in log.schema.fields])
     end.write.mode("overwrite").parquet(folder)
     return log.unionByName(spark.readStream.schema(log.schema).parquet(folder))
 
