@@ -390,19 +390,46 @@ def _deletions(c: Column, k: int) -> Column:
     return F.array_distinct(F.concat(*out))
 
 
-def close_pairs(queries: DataFrame, names: DataFrame, k: int = FUZZY_CAP) -> DataFrame:
+DELETIONS_TO = 24  # characters; beyond, deletions are many and pieces are telling
+
+
+def _shared_pieces(q: DataFrame, n: DataFrame, k: int) -> DataFrame:
+    """(query, name, ql, nl) that share a piece: of k + 1 equal pieces of a name, k edits leave one whole,
+    and move it by k places at most. k + 1 keys for a name, some dozens for a query of any length."""
+    def piece(length: Column) -> tuple[Column, Column]:
+        first = F.floor(F.col("i") * length / (k + 1)).cast("int")
+        return first, F.floor((F.col("i") + 1) * length / (k + 1)).cast("int") - first
+
+    first, size = piece(F.col("len"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(k)))
+    right = n.withColumn("len", F.length("nl")).withColumn("i", parts).select(
+        "name", "nl", "len", "i", F.xxhash64(F.substring(F.col("nl"), first + 1, size)).alias("v"))
+    left = q.withColumn("len", F.explode(F.sequence(F.length("ql") - k, F.length("ql") + k))).filter("len > 0") \
+        .withColumn("i", parts).withColumn("at", F.explode(F.sequence(first - k, first + k)))
+    left = left.filter((F.col("at") >= 0) & (F.col("at") + size <= F.length("ql"))).select(
+        "query", "ql", "len", "i", F.xxhash64(F.substring(F.col("ql"), F.col("at") + 1, size)).alias("v")).distinct()
+    return left.join(right, ["len", "i", "v"]).select("query", "name", "ql", "nl")
+
+
+def close_pairs(queries: DataFrame, names: DataFrame, k: int = FUZZY_CAP, deletions_to: int = DELETIONS_TO) -> DataFrame:
     """(query, name, distance) with 1..k edits, ignoring case; both sides are distinct texts.
 
     Two texts within k edits share a text that is left after deleting at most k characters from
-    each, so an equality join on those finds every pair, and the edit distance confirms it.
+    each: very telling, but some length ** k keys. So only texts up to ``deletions_to`` characters use
+    them; if either is longer, equal pieces at nearly the same place are the keys. Either is an equality
+    join that finds every pair, and the edit distance confirms it.
     """
     q = queries.select("query").distinct().select("query", F.lower("query").alias("ql"))
     n = names.select("name").distinct().select("name", F.lower("name").alias("nl"))
     hashed = lambda c: F.transform(_deletions(c, k), lambda v: F.xxhash64(v))
-    left = q.select("query", "ql", F.explode(hashed(F.col("ql"))).alias("v"))
-    right = n.select("name", "nl", F.explode(hashed(F.col("nl"))).alias("v"))
-    pairs = left.join(right, "v").filter(
-        F.abs(F.length("ql") - F.length("nl")) <= k).select("query", "name", "ql", "nl").distinct()
+    left = q.filter(F.length("ql") <= deletions_to).select("query", "ql", F.explode(hashed(F.col("ql"))).alias("v"))
+    right = n.filter(F.length("nl") <= deletions_to).select("name", "nl", F.explode(hashed(F.col("nl"))).alias("v"))
+    short = left.join(right, "v").filter(
+        F.abs(F.length("ql") - F.length("nl")) <= k).select("query", "name", "ql", "nl")
+    edge = deletions_to - k
+    long = _shared_pieces(q.filter(F.length("ql") > edge), n.filter(F.length("nl") > edge), k).filter(
+        F.greatest(F.length("ql"), F.length("nl")) > deletions_to)
+    pairs = short.unionByName(long).distinct()
     d = F.levenshtein("ql", "nl", k)
     return pairs.withColumn("distance", d).filter("distance > 0").select("query", "name", "distance")
 

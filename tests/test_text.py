@@ -93,3 +93,31 @@ def test_names_without_ascii_letters_are_found(spark):
     assert got == [("F/N0", line, body.index(text), text, name) for line, text, name in want]
     linked = M.apply_mention_links(notes, M.mentions(notes, known)).first()["body"]
     assert "[[Новый Город|новый город]]" in linked and "我住在[[東京都]]。 x東京都" in linked
+
+
+def test_close_pairs_of_any_length_equal_brute_force(spark):
+    import random
+    rng = random.Random(8)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def bent(text):
+        out = list(text)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(out) + 1)
+            out[at:at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        return "".join(out)
+    names = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 16))) for _ in range(60)} | {
+        "".join(rng.choice("abcde ") for _ in range(rng.choice([22, 23, 24, 25, 26, 27, 40, 200]))) for _ in range(60)}
+    queries = {bent(x) for x in names} | {"", "A"}
+    queries_df, names_df = (spark.createDataFrame([(x,) for x in sorted(v)], f"{c} string") for v, c in ((queries, "query"), (names, "name")))
+    want = {(a, b): d for a in queries for b in names if abs(len(a) - len(b)) <= 2 and 0 < (d := edits(a.lower(), b.lower())) <= 2}
+    for split in (24, 6):
+        got = {(r["query"], r["name"]): r["distance"] for r in M.close_pairs(queries_df, names_df, 2, split).collect()}
+        assert got == want
