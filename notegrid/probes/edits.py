@@ -155,10 +155,10 @@ def _(t):
     return V.migrate(_notes(t), [V.migrate_remove("tags")])
 
 
-@probe("migrate_rename", twin(body=_row("rename-field", "priority", Q_PRIO, Q_PRIO, "true", "'urgency'"), **O))
+@probe("migrate_rename", twin(body=_row("rename-field", "priority", Q_PRIO, Q_PRIO, "true", "'urgency'") + " UNION ALL "
+                              + _row("rename-field", "status", Q_STATUS, Q_STATUS, "tags IS NULL", "'tags'", seq=1), **O))
 def _(t):
-    return V.migrate(_notes(t), [V.migrate_rename("priority", "urgency"), V.migrate_rename("status", "tags")]) \
-        .filter("field = 'priority'")
+    return V.migrate(_notes(t), [V.migrate_rename("priority", "urgency"), V.migrate_rename("status", "tags")])
 
 
 @probe("migrate_options", twin(body=_row("clear-invalid-options", "status", Q_STATUS, "NULL", "status='P'") + " UNION ALL "
@@ -222,10 +222,10 @@ for _name in FIXES:
 
 
 @probe("repair", twin(body="""
-    SELECT path, field, count(*) AS n FROM (""" + " UNION ALL ".join(
-    f"SELECT path, field FROM ({q})" + (" WHERE field <> 'rush'" if n == "fix_scalar" else "") for n, q in FIXES.items()) + ") GROUP BY 1,2", **D))
+    """ + " UNION ALL BY NAME ".join(
+    f"SELECT * FROM ({q})" + (" WHERE field <> 'rush'" if n == "fix_scalar" else "") for n, q in FIXES.items()), **D))
 def _(t):
-    return X.repair_fields(t.drifted, t.schema).groupBy("path", "field").agg(F.count(F.lit(1)).alias("n"))
+    return X.repair_fields(t.drifted, t.schema).drop("seq", "operation")
 
 
 @probe("repair_then_audit", twin(body="""
