@@ -153,11 +153,10 @@ def _(t):
 
 
 @probe("fix_structure", twin("document_n", body="""
-    SELECT path, CASE WHEN k%11=5 THEN body WHEN k%7=3 THEN NULL ELSE '---'||chr(10)||'type: document'||chr(10)||'lang: '||lang||CASE WHEN k%5=1 THEN '  ' ELSE '' END||chr(10)||'note: |'||chr(10)||'  kept   '||chr(10)||'end: 1'||chr(10)||'---'||chr(10)||
+    SELECT path, CASE WHEN k%11=5 THEN body ELSE '---'||chr(10)||'type: document'||chr(10)||'lang: '||lang||CASE WHEN k%5=1 THEN '  ' ELSE '' END||chr(10)||CASE WHEN k%7=3 THEN 'lang: xx'||chr(10) ELSE '' END||'note: |'||chr(10)||'  kept   '||chr(10)||'end: 1'||chr(10)||'---'||chr(10)||
       CASE WHEN k%11=4 THEN 'intro'||chr(10) ELSE '' END||body END AS raw FROM document_n"""))
 def _(t):
-    fixed = _raw(t).select("path", N.fix_structure(F.col("raw")).alias("raw"))
-    return fixed.withColumn("raw", F.when(~F.col("raw").contains("\nlang: xx\n"), F.col("raw")))
+    return _raw(t).select("path", N.fix_structure(F.col("raw")).alias("raw"))
 
 
 @probe("fork_rows", twin("document_n", body="""

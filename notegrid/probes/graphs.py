@@ -312,13 +312,12 @@ def _(t):
     return H.parent_cycles(_ring_edges(t))
 
 
-@probe("closure_cyclic", """
-    WITH RECURSIVE e AS (""" + RINGS + """), walk AS (
+@probe("closure_cyclic", twin("customer_n", "supplier_n", body="SELECT path, ancestor, min(depth) AS depth FROM walk GROUP BY 1,2",
+    e=RINGS + " UNION ALL SELECT path, parent_path FROM customer_n UNION ALL SELECT path, parent_path FROM supplier_n", walk="""
       SELECT child AS path, parent AS ancestor, 1 AS depth, [parent] AS trail FROM e UNION ALL
-      SELECT path, e.parent, depth+1, trail||[e.parent] FROM walk JOIN e ON e.child=ancestor WHERE NOT list_contains(trail, e.parent))
-    SELECT path, ancestor, min(depth) AS depth FROM walk GROUP BY 1,2""")
+      SELECT path, e.parent, depth+1, trail||[e.parent] FROM walk JOIN e ON e.child=ancestor WHERE NOT list_contains(trail, e.parent)"""))
 def _(t):
-    return H.closure(_ring_edges(t).filter("child LIKE 'Places/%'"))
+    return H.closure(_ring_edges(t))
 
 
 @probe("would_cycle", twin("customer_n", body="""
