@@ -11,9 +11,10 @@ Queries are dealt in blocks to all vector blocks, so every vector is indexed and
 each cell of that grid is one task of bounded size and returns its best ``k`` per query, and the best
 of these are ranked. With ``verify`` = 1 the search is exact.
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part, neither do
-those of another width than the commonest. Candidates with the query's vec_id are its own row. Rows
-without a vec_id are no queries and no candidates. Ties go to the smaller vec_id.
+Vectors that are null, empty, zero or hold null or non-finite components take no part. A query meets
+the vectors of its own width; each width has blocks of its own. Candidates with the query's vec_id are
+its own row; of query rows that share a vec_id the smallest vector asks. Rows without a vec_id are no
+queries and no candidates. Ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrid.llm.common import stored
-from notegrid.llm.vectors import common_width, matrix, usable
+from notegrid.llm.vectors import matrix, usable, width_counts
 
 
 class Index:
@@ -92,12 +93,12 @@ class Index:
         return out
 
 
-def _search(group: pd.DataFrame, k: int, how: dict, width: int) -> pd.DataFrame:
+def _search(group: pd.DataFrame, k: int, how: dict) -> pd.DataFrame:
     x, q = group[~group["is_query"]].sort_values("vec_id"), group[group["is_query"]]
     names = ["query_id", "vec_id", "score"]
     if not len(x) or not len(q):
         return pd.DataFrame({n: np.zeros(0, np.int64 if n != "score" else float) for n in names})
-    ids = x["vec_id"].to_numpy()
+    ids, width = x["vec_id"].to_numpy(), int(group["width"].iloc[0])
     index = Index(matrix(x["embedding"], width), how["projections"], how["seed"])
     qid = q["vec_id"].to_numpy()
     own = [np.arange(np.searchsorted(ids, i), np.searchsorted(ids, i, side="right")) for i in qid]
@@ -112,21 +113,25 @@ def _search(group: pd.DataFrame, k: int, how: dict, width: int) -> pd.DataFrame:
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, block: int = 8192, query_block: int = 512, projections: int = 64,
             share: float = 0.6, verify: float = 0.1, least: float = 12.0, cover: float = 0.46, growth: float = 1.06, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best rows found for each query row."""
-    slim = rows.select("vec_id", "embedding").filter("vec_id IS NOT NULL")
-    width = common_width(usable(slim))
-    good = stored(usable(slim).filter(F.size("embedding") == width))
-    asked = good.filter(is_query).dropDuplicates(["vec_id"])
-    n, n_queries = good.count(), asked.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
+    good = stored(usable(rows.select("vec_id", "embedding").filter("vec_id IS NOT NULL"))
+                  .withColumn("asks", F.coalesce(is_query, F.lit(False))))
+    width = F.size("embedding").alias("width")
+    asked = good.filter("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries_of = width_counts(asked)
+    sizes = [(w, -(-n // block), -(-queries_of[w] // query_block)) for w, n in width_counts(good).items() if w in queries_of]
+    cells = sum(b * q for _, b, q in sizes)
+    grid = F.broadcast(rows.sparkSession.createDataFrame(sizes, "width int, blocks int, query_blocks int"))  # a row per width
     key = F.xxhash64("vec_id", "embedding")
-    vectors = good.select("vec_id", "embedding", F.pmod(key, F.lit(blocks)).cast("int").alias("block"),
-                          F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), F.lit(False).alias("is_query"))
-    queries = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-                           F.pmod(key, F.lit(query_blocks)).cast("int").alias("query_block"), F.lit(True).alias("is_query"))
+    vectors = good.select("vec_id", "embedding", width).join(grid, "width").select(
+        "width", "vec_id", "embedding", F.pmod(key, F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("query_block"), F.lit(False).alias("is_query"))
+    queries = asked.select("vec_id", "embedding", width).join(grid, "width").select(
+        "width", "vec_id", "embedding", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"),
+        F.pmod(key, F.col("query_blocks")).cast("int").alias("query_block"), F.lit(True).alias("is_query"))
     how = {"projections": projections, "share": share, "verify": verify, "least": least, "cover": cover, "growth": growth, "seed": seed}
-    cells = blocks * query_blocks
-    found = (vectors.unionByName(queries).repartition(max(cells, 1), "block", "query_block").groupBy("block", "query_block")
-             .applyInPandas(lambda g: _search(g, k, how, width), "query_id long, vec_id long, score double"))
+    found = (vectors.unionByName(queries).repartition(max(cells, 1), "width", "block", "query_block")
+             .groupBy("width", "block", "query_block")
+             .applyInPandas(lambda g: _search(g, k, how), "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

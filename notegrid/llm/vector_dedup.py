@@ -8,8 +8,8 @@ with reach = sqrt((1 - threshold) / 2), half the distance at the threshold, no p
 with visitors, in blocks of bounded size, so a full cell is many tasks. A task returns a number of
 links per vector and a forest of links, never the pairs. Equal vectors are one node with a count.
 
-Vectors that are null, empty, zero, or hold null or non-finite components, or whose width is not the
-commonest, link with nothing. Rows with a null vec_id take part; their component is the smallest id
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, vectors
+of different widths not with each other: each width has centres and cells of its own. Rows with a null vec_id take part; their component is the smallest id
 there is. Repeated rows are links of one another.
 """
 
@@ -20,12 +20,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegrid.llm.common import settled, stored
 from notegrid.llm.graph import components
-from notegrid.llm.vectors import common_width, matrix, usable
+from notegrid.llm.vectors import matrix, usable, width_counts
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,28 +49,33 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 0)
     return centres
 
 
-def _assign(nodes: DataFrame, centres: np.ndarray, reach: float, width: int) -> DataFrame:
-    """(node, n, vector, home, cell): a row for the home cell and one for each cell visited."""
-    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # cells x width numbers, both bounded
+def _assign(nodes: DataFrame, centres: dict[int, tuple[int, np.ndarray]], reach: float) -> DataFrame:
+    """(node, n, vector, home, cells): the home cell and all cells visited. ``centres``: width -> (first cell, centres)."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # at most most_cells rows, and one per width
 
     def work(batches):
-        c = shared.value
-        apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12))
+        apart = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = _unit(matrix(part.column("embedding").to_pylist(), width))
-                close = x @ c.T
-                home = close.argmax(1)
-                depth = (close[np.arange(len(x)), home][:, None] - close) / apart[home]
-                inside = depth <= reach
-                inside[np.arange(len(x)), home] = True
-                row, cell = np.nonzero(inside)
-                ends = np.searchsorted(row, np.arange(len(x) + 1))
-                cells = [cell[ends[i]:ends[i + 1]] for i in range(len(x))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("n"), pa.array([v.tobytes() for v in x], pa.binary()),
-                     pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], ["node", "n", "v", "home", "cells"])
+                piece = batch.slice(at, 2048)
+                widths = pc.list_value_length(piece.column("embedding"))
+                for width in pc.unique(widths).to_pylist():
+                    part = piece.filter(pc.equal(widths, width))
+                    first, c = shared.value[width]
+                    if width not in apart:
+                        apart[width] = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12))
+                    x = _unit(matrix(part.column("embedding").to_pylist(), width))
+                    close = x @ c.T
+                    home = close.argmax(1)
+                    depth = (close[np.arange(len(x)), home][:, None] - close) / apart[width][home]
+                    inside = depth <= reach
+                    inside[np.arange(len(x)), home] = True
+                    row, cell = np.nonzero(inside)
+                    ends = np.searchsorted(row, np.arange(len(x) + 1))
+                    cells = [first + cell[ends[i]:ends[i + 1]] for i in range(len(x))]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("node"), part.column("n"), pa.array([v.tobytes() for v in x], pa.binary()),
+                         pa.array((first + home).astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], ["node", "n", "v", "home", "cells"])
     return nodes.select("node", "n", "embedding").mapInArrow(work, "node long, n long, v binary, home int, cells array<int>")
 
 
@@ -123,24 +129,27 @@ def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def link_vectors(nodes: DataFrame, width: int, threshold: float = 0.95, reach: float | None = None, per_cell: int = 512,
+def link_vectors(nodes: DataFrame, threshold: float = 0.95, reach: float | None = None, per_cell: int = 512,
                  most_cells: int = 4096, sample: int = 20_000, block: int = 1024) -> DataFrame:
     """(a, b, links): links counted per node (b null), and forest edges (links 0). nodes: node, n, embedding."""
     reach = math.sqrt((1 - threshold) / 2) if reach is None else reach
-    total = nodes.count()
+    counts = width_counts(nodes)
+    total = sum(counts.values())
     share = min(1.0, sample / max(total, 1))
     held = (nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
             .select("node", "embedding").limit(2 * sample).toPandas().sort_values("node"))
-    if not len(held):
-        held = nodes.select("node", "embedding").limit(1).toPandas()
-    cells = max(1, min(most_cells, total // per_cell, len(held)))
-    centres = fit_centres(matrix(held["embedding"], width), cells)
-    placed = stored(_assign(nodes, centres, reach, width))
+    held_of = dict(list(held["embedding"].groupby(held["embedding"].map(len)))) if len(held) else {}
+    centres, first = {}, 0
+    for width, n in counts.items():
+        x = matrix(held_of[width], width) if width in held_of else np.eye(1, width)  # too rare for the sample: one cell
+        centres[width] = first, fit_centres(x, max(1, min(most_cells * n // total, n // per_cell, len(x))))
+        first += len(centres[width][1])
+    placed = stored(_assign(nodes, centres, reach))
     each = placed.select("home", F.explode("cells").alias("cell"), "node", "n", "v", "cells")
     at_home = F.col("home") == F.col("cell")
     size = each.groupBy("cell").agg(F.sum(at_home.cast("int")).alias("h"), F.sum((~at_home).cast("int")).alias("r"))
     size = size.select(F.col("cell").alias("c"), F.expr(f"int(ceil(h / {block}))").alias("hb"), F.expr(f"int(ceil(r / {block}))").alias("rb"))
-    # One row per cell, most_cells at most.
+    # One row per cell: most_cells at most, and one per width.
     each = each.join(F.broadcast(settled(size)), F.expr("cell = c")).filter("hb > 0")
     own = F.pmod(F.xxhash64("node", F.lit(9)), F.when(at_home, F.col("hb")).otherwise(F.greatest("rb", F.lit(1)))).cast("int")
     each = each.withColumn("k", own)
@@ -155,15 +164,11 @@ def link_vectors(nodes: DataFrame, width: int, threshold: float = 0.95, reach: f
 
 def near_vectors(rows: DataFrame, threshold: float = 0.95, **how) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    width = common_width(usable(rows))
     key = F.xxhash64("embedding")
-    good = usable(rows.select("vec_id", "embedding")).filter(F.size("embedding") == width)
+    good = usable(rows.select("vec_id", "embedding"))
     nodes = stored(good.groupBy(key.alias("node")).agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"),
                                                        F.min("vec_id").alias("first")))
-    found = stored(link_vectors(nodes, width, threshold, **how)) if width else None
-    if found is None:
-        none = F.lit(0).cast("long")
-        return rows.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = stored(link_vectors(nodes, threshold, **how))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
     placed = nodes.select("node", "n", "first").join(counts, "node", "left").join(roots, "node", "left")
@@ -173,7 +178,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, **how) -> DataFrame:
     placed = placed.join(lowest, "root").select("node", "n_links", "component_id")
     keyed = rows.select("vec_id", "embedding").withColumn("node", key)
     v = F.col("embedding")
-    fit = (v.isNotNull() & (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    fit = (v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
            & F.exists(v, lambda x: x != 0))
     out = keyed.select("vec_id", F.when(F.coalesce(fit, F.lit(False)), F.col("node")).alias("node")).join(placed, "node", "left")
     component = F.coalesce("component_id", "vec_id")

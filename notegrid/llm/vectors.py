@@ -14,11 +14,10 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.filter(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
-def common_width(rows: DataFrame, vector: str = "embedding") -> int:
-    """The most frequent number of components; other vectors cannot be compared with these."""
-    top = (rows.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n"))
-           .orderBy(F.desc("n"), "d").limit(1).collect())
-    return top[0].d if top else 0
+def width_counts(rows: DataFrame, vector: str = "embedding") -> dict[int, int]:
+    """Number of vectors per number of components. d different widths need about d * d / 2 components
+    of data, so this table stays small; vectors are compared only with those of their own width."""
+    return {r.d: r.n for r in rows.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()}
 
 
 def matrix(lists, width: int) -> np.ndarray:

@@ -55,6 +55,38 @@ def test_near_vectors_of_no_rows_and_of_none_usable(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_every_width_are_compared_with_their_own(spark):
+    rng = np.random.default_rng(3)
+    vectors, widths = [], (8, 3, 2, 1)
+    for d in widths:
+        base = rng.normal(size=(20, d))
+        vectors += [*base, *(base[:10] * 3), *(base + rng.normal(size=(20, d)) * 0.05)]
+    vectors = [np.asarray(v, np.float32).tolist() for v in vectors] + [[1.0, 0.0], [1.0, 0.0, 0.0]]
+    df = table(spark, vectors)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(df, 0.95, per_cell=4, block=16).collect()}
+    assert len(got) == len(vectors)
+    for d in widths:
+        own = [(i, v) for i, v in enumerate(vectors) if len(v) == d]
+        x = np.array([v for _, v in own], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        linked = x @ x.T >= 0.95
+        for k, (i, _) in enumerate(own):
+            assert got[i][0] == linked[k].sum() - 1, (d, i)
+            assert all(got[j][1] == got[i][1] for j, _ in (own[m] for m in np.flatnonzero(linked[k])))
+    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, 5, block=16, verify=1.0).collect()
+    for i in range(0, len(vectors), 20):
+        q = np.array(vectors[i], np.float64)
+        want = sorted((-(np.array(v, np.float64) @ q), j) for j, v in enumerate(vectors) if len(v) == len(q) and j != i)[:5]
+        found = [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i]
+        assert [j for j, _ in found] == [j for _, j in want] and np.allclose([s for _, s in found], [-s for s, _ in want])
+
+
+def test_the_smallest_of_query_rows_with_one_id_asks(spark):
+    df = table(spark, [[2.0, 0.0]]).unionByName(table(spark, [[1.0, 5.0], [3.0, 1.0]]))
+    got = [(r.query_id, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()]
+    assert got == [(0, 1, 8.0)]
+
+
 def best(rows, k):
     good = [(i, np.array(v, np.float64)) for i, v in rows if v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
