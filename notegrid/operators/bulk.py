@@ -176,15 +176,3 @@ def relink(links: DataFrame, moves: DataFrame, notes: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.regexp_extract("raw", r"^(\[.+\]\()", 1), target, F.lit(".md)")))
     out = links.join(done, "resolved_path").withColumn("new_raw", new_raw)
     return out.filter("raw <> new_raw").select("src_path", "field", "raw", "new_raw")
-
-
-def relink_bodies(notes: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """(path, body) with rewritten links; each note's rewrites are folded inside its row."""
-    per_note = rewrites.groupBy(F.col("src_path").alias("path")).agg(
-        F.collect_set(F.struct("raw", "new_raw")).alias("edits"))
-    # Two passes over marks that no text holds, so what one edit has written is no input of another.
-    mark = lambda k: F.concat(F.lit("\u0000"), k.cast("string"), F.lit("\u0000"))
-    numbered = F.transform("edits", lambda e, k: F.struct(e["raw"].alias("raw"), e["new_raw"].alias("new_raw"), mark(k).alias("mark")))
-    return notes.join(per_note.select("path", numbered.alias("edits")), "path").select("path", F.aggregate(
-        "edits", F.aggregate("edits", F.replace("body", F.lit("\u0000"), F.lit("")), lambda text, e: F.replace(text, e["raw"], e["mark"])),
-        lambda text, e: F.replace(text, e["mark"], e["new_raw"])).alias("body"))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from notegrid.functions.values import natural_key
 
 
+def by_locale(c: Column) -> Column:
+    """Names in the order of their language: letters before accents before case."""
+    return F.collate(c, "UNICODE")
+
+
+def loosely(c: Column) -> Column:
+    """Texts that differ only in accents or case are equal; digit runs count as numbers."""
+    return F.collate(natural_key(c), "UNICODE_CI_AI")
+
+
 def sort_keys(df: DataFrame, field: str, desc: bool = False) -> list[Column]:
     """Missing values last in both directions, then the value, then the name."""
     kind = df.schema[field].dataType.simpleString()
@@ -16,12 +26,12 @@ def sort_keys(df: DataFrame, field: str, desc: bool = False) -> list[Column]:
         c = F.array_join(c.cast("array<string>"), ", ")
         kind = "string"
     missing = c.isNull() | (c == "") if kind == "string" else c.isNull()
-    key = natural_key(c) if kind == "string" else c
-    return [missing.asc(), key.desc() if desc else key.asc(), F.col("name").asc()]
+    key = F.when(~missing, loosely(c) if kind == "string" else c)  # all missing values are alike
+    return [missing.asc(), key.desc() if desc else key.asc(), by_locale(F.col("name")).asc(), F.col("name").asc()]
 
 
 def sort_rows(df: DataFrame, field: str | None = None, desc: bool = False) -> DataFrame:
-    return df.orderBy("name") if field is None else df.orderBy(*sort_keys(df, field, desc))
+    return df.orderBy(by_locale(F.col("name")), "name") if field is None else df.orderBy(*sort_keys(df, field, desc))
 
 
 def limit_rows(df: DataFrame, n: int, field: str | None = None, desc: bool = False) -> DataFrame:

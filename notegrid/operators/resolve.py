@@ -199,16 +199,6 @@ def backlinks(resolved: DataFrame) -> DataFrame:
         F.sum("n").alias("n_links"), F.count(F.lit(1)).alias("n_sources"))
 
 
-def body_backlinks(notes: DataFrame) -> DataFrame:
-    """(src_path, raw, line) for every wikilink in a body."""
-    lines = notes.select(F.col("path").alias("src_path"), F.col("type").alias("src_type"),
-                         F.posexplode(F.split("body", r"\r?\n")).alias("i", "text")) \
-        .filter(F.contains("text", F.lit("[[")))
-    return lines.select("src_path", "src_type", (F.col("i") + 1).alias("line"),
-                        F.explode(F.regexp_extract_all("text", F.lit(r"(\[\[[^\[\]\n]+\]\])"),
-                                                       F.lit(1))).alias("raw"))
-
-
 def typed_backlinks(resolved: DataFrame) -> DataFrame:
     """Relation fields pointing at a note, by referring type and field."""
     return resolved.filter(F.col("resolved_path").isNotNull()).groupBy(

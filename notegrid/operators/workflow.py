@@ -140,14 +140,18 @@ def retention_actions(due: DataFrame, action: str, references: DataFrame | None
 def delete_plan(selected: DataFrame, links: DataFrame, guard: DataFrame) -> DataFrame:
     """Selected rows with how many other notes link to them and their lineage block.
 
-    Link text is compared ignoring case with the name and the path of each row.
+    Link text is compared ignoring case with the name and the path of each row. Sources are counted
+    per text and joined as counts, so links to a name that many rows share multiply nothing; only
+    links that spell a path are looked at one by one, for sources that also use the name.
     """
-    keys = selected.select("path", F.explode(F.array_distinct(F.array(
-        F.lower("name"), F.lower("path")))).alias("key"))
     text = F.lower(F.regexp_extract("raw", r"^\[\[([^|#\]]+)", 1))
-    hits = links.withColumn("key", text).join(keys, "key").filter(
-        F.col("src_path") != F.col("path")).groupBy("path", "src_path").agg(F.count(F.lit(1)).alias("n"))
-    counts = hits.groupBy("path").agg(F.count(F.lit(1)).alias("n_sources"))
-    return selected.select("path").join(counts, "path", "left").join(
-        guard.select("path", "block"), "path", "left").select(
-        "path", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "block")
+    used = links.select("src_path", text.alias("key")).filter("key <> ''").distinct()
+    rows = selected.select("path", F.lower("name").alias("by_name"), F.lower("path").alias("by_path"))
+    per_key = used.groupBy(F.col("key").alias("by_name")).agg(F.count(F.lit(1)).alias("n_name"))
+    itself = used.select(F.col("src_path").alias("path"), F.col("key").alias("by_name"), F.lit(1).alias("itself"))
+    named = used.select("src_path", F.col("key").alias("by_name"))
+    spelt = rows.filter("by_name <> by_path").join(used, F.col("by_path") == F.col("key")).filter("src_path <> path") \
+        .join(named, ["src_path", "by_name"], "left_anti").groupBy("path").agg(F.count(F.lit(1)).alias("n_path"))
+    n = F.coalesce("n_name", F.lit(0)) - F.coalesce("itself", F.lit(0)) + F.coalesce("n_path", F.lit(0))
+    return rows.join(per_key, "by_name", "left").join(itself, ["path", "by_name"], "left").join(spelt, "path", "left") \
+        .join(guard.select("path", "block"), "path", "left").select("path", n.cast("bigint").alias("n_sources"), "block")

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from notegrid.operators import bulk as B
 from notegrid.operators import mentions as M
+from notegrid.operators import positions as L
 from notegrid.operators import resolve as R
 from notegrid.operators import search as T
 from notegrid.probes.registry import probe, twin
@@ -124,6 +126,50 @@ def _(t):
     return T.broken_body_file_links(t.written, files)
 
 
+# A last line with whole paths, an end of a path, a link in code and a Markdown link, by key arithmetic.
+LAST = {"l": """SELECT *, n0+11 AS last, '[[Docs/src1/Doc '||(k+1)||'#h]]' AS whole, '[[src2/Doc '||(k+2)||'|d]]' AS ending, '[m](Doc%20'||(k+3)||'.md)' AS mark FROM w""",
+        "d": "SELECT 'Docs/'||source||'/Doc '||doc_id AS path, doc_id, source FROM documents"}
+
+
+def _linked(t):
+    k = lambda n: (F.col("k") + n).cast("string")
+    return t.written.withColumn("body", F.concat(
+        "body", F.lit("\n[[Docs/src1/Doc "), k(1), F.lit("#h]] [[src2/Doc "), k(2), F.lit("|d]] `[[Part 3]]` [m](Doc%20"), k(3), F.lit(".md)")))
+
+
+@probe("backlink_rows", twin("part_n", body="""
+    SELECT path, 1 AS n_notes, src_path, line, in_code, form, raw, true AS placed FROM (
+      SELECT p.path, b.* EXCLUDE (part) FROM part_n p JOIN (
+        SELECT path AS src_path, n0+2 AS line, false AS in_code, 'wikilink' AS form, '[[Part 2]]' AS raw, 2 AS part FROM l UNION ALL
+        SELECT path, n0+10, false, 'wikilink', '[[Part '||k%2500||'|it]]', k%2500 FROM l UNION ALL
+        SELECT path, last, true, 'wikilink', '[[Part 3]]', 3 FROM l) b ON p.k=b.part UNION ALL
+      SELECT d.path, l.path, last, false, 'wikilink', whole FROM l JOIN d ON doc_id=k+1 AND d.source='src1' UNION ALL
+      SELECT d.path, l.path, last, false, 'wikilink', ending FROM l JOIN d ON doc_id=k+2 AND d.source='src2' UNION ALL
+      SELECT d.path, l.path, last, false, 'markdown', mark FROM l JOIN d ON doc_id=k+3 AND d.source=l.source)""", **W, **LAST))
+def _(t):
+    notes = _linked(t)
+    found = L.backlink_rows(L.body_links(notes), t.index_rows)
+    placed = F.expr("substring(body, int(start) + 1, int(length)) = raw").alias("placed")
+    return found.join(notes.select(F.col("path").alias("src_path"), "body"), "src_path").select(
+        "path", "n_notes", "src_path", "line", "in_code", "form", "raw", placed)
+
+
+@probe("relink_bodies", twin(body="""
+    SELECT l.path, true AS same_before, '[['||CASE WHEN a.doc_id IS NULL THEN 'Docs/src1/Doc '||(k+1) WHEN a.doc_id%5=0 THEN 'Archive/Doc '||a.doc_id ELSE 'Doc '||a.doc_id END||'#h]] '
+      ||'[['||CASE WHEN b.doc_id IS NULL THEN 'src2/Doc '||(k+2) WHEN b.doc_id%5=0 THEN 'Archive/Doc '||b.doc_id ELSE 'Doc '||b.doc_id END||'|d]] `[[Part 3]]` '||mark AS last
+    FROM l LEFT JOIN d a ON a.doc_id=k+1 AND a.source='src1' LEFT JOIN d b ON b.doc_id=k+2 AND b.source='src2'
+    WHERE a.doc_id IS NOT NULL OR b.doc_id IS NOT NULL""", **W, **LAST))
+def _(t):
+    notes = _linked(t)
+    twins = t.document.filter("k % 5 = 0").select(F.concat(F.lit("Other/"), "name").alias("path"), "name")  # names two notes share
+    index = t.index_rows.select("path", "name").union(twins)
+    moves = B.bulk_move(index, t.document.filter("folder IN ('Docs/src1', 'Docs/src2')"), "Archive")
+    done = L.rewrite_bodies(notes, L.body_rewrites(L.body_links(notes), moves, index))
+    before = t.written.select("path", F.col("body").alias("old"))
+    return done.join(before, "path").select("path", F.startswith("body", "old").alias("same_before"),
+                                            F.expr("substring(body, length(old) + 2)").alias("last"))
+
+
 @probe("body_link_suggestions", twin("index_n", body="""
     SELECT q.query, n.name, levenshtein(lower(q.query), lower(n.name)) AS distance FROM (SELECT DISTINCT 'NATOIN_'||k%25 AS query FROM w
       UNION SELECT 'Part '||k%2500 FROM w, parts WHERE k%2500 > last_part) q

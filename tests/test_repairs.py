@@ -69,12 +69,6 @@ def test_words_that_only_look_like_numbers_stay_text(text):
     assert B.literal(text) == text
 
 
-def test_rewrites_do_not_feed_one_another(spark):
-    notes = spark.createDataFrame([("n", "[[A]] then [[B]] then [[A]]")], "path string, body string")
-    edits = spark.createDataFrame([("n", "f", "[[A]]", "[[B]]"), ("n", "f", "[[B]]", "[[C]]")], "src_path string, field string, raw string, new_raw string")
-    assert [r["body"] for r in B.relink_bodies(notes, edits).collect()] == ["[[B]] then [[C]] then [[B]]"]
-
-
 def test_mentions_keep_the_text_as_written(spark):
     names = spark.createDataFrame([("F/Émile Zola", "Émile Zola"), ("F/¡Hola!", "¡Hola!")], "path string, name string")
     notes = spark.createDataFrame([("F/x", "x", "F", "note", "Read Émile Zola today.")], "path string, name string, folder string, type string, body string")
