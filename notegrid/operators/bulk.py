@@ -144,20 +144,23 @@ def backup_rows(notes: DataFrame, changes: DataFrame, operation: str) -> DataFra
 
 # ---------------------------------------------------------------- moves
 
-def bulk_move(notes: DataFrame, selected: DataFrame, folder: str) -> DataFrame:
-    """(path, new_path, error): a taken or doubly claimed destination is skipped with an error."""
-    target = F.concat(F.lit(folder + "/"), "name")
-    asked = selected.select("path", "name", target.alias("new_path")).filter("path <> new_path")
+def destinations(asked: DataFrame, notes: DataFrame) -> DataFrame:
+    """``asked`` (path, new_path, ...) with an error where the place is taken or, but for the first path, claimed twice."""
     claims = asked.groupBy("new_path").agg(F.count(F.lit(1)).alias("claims"),
                                            F.min("path").alias("first_path"))
     existing = notes.select(F.col("path").alias("new_path")).distinct().withColumn("taken", F.lit(True))
     return asked.join(claims, "new_path").join(existing, "new_path", "left").select(
-        "path", "name", "new_path",
-        F.when(F.col("taken"), "destination exists")
+        *asked.columns, F.when(F.col("taken"), "destination exists")
         .when((F.col("claims") > 1) & (F.col("path") != F.col("first_path")), "destination claimed twice")
         .alias("error"))
 
 
+def bulk_move(notes: DataFrame, selected: DataFrame, folder: str) -> DataFrame:
+    """(path, name, new_path, error): a taken or doubly claimed destination is skipped with an error."""
+    target = F.concat(F.lit(folder + "/"), "name")
+    return destinations(selected.select("path", "name", target.alias("new_path")).filter("path <> new_path"), notes)
+
+
 def relink(links: DataFrame, moves: DataFrame, notes: DataFrame) -> DataFrame:
     """(src_path, field, raw, new_raw): links to moved notes rewritten, keeping heading and text.
 

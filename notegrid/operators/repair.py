@@ -6,6 +6,8 @@ They are row-local, so planning every repair of a corpus is one scan.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from notegrid.functions import links as L
 from notegrid.functions.values import coerce_boolean, coerce_number, safe_name
 from notegrid.operators import headers as E
 from notegrid.operators import rules as Q
+from notegrid.operators.bulk import destinations
 from notegrid.operators.fields import shape_of
 from notegrid.operators.naming import side_by_side
 from notegrid.types import TypeSchema
@@ -155,10 +158,14 @@ def repair_fields(notes: DataFrame, schema: TypeSchema, only: list[str] | None =
 
 
 def fix_adopt(notes: DataFrame, schema: TypeSchema) -> DataFrame:
-    """Typeless notes in a type's folder get that type and its fixed and default values."""
-    rows = [(t, f, v) for t, fields in schema.fields.items() for f, v in [
-        ("type", t), *[(f, d.get("value", d.get("default"))) for f, d in fields.items()]]
-        if isinstance(v, str) and not v.startswith("$")]
+    """Typeless notes in a type's folder get that type, its fixed values, and the defaults of required
+    fields, of whatever kind; values that depend on the day (``$...``) are left to whoever writes."""
+    def given(d: dict):
+        return d.get("value", d.get("default") if d.get("required") else None)
+
+    rows = [(t, f, json.dumps(v, ensure_ascii=False, default=str)) for t, fields in schema.fields.items() for f, v in [
+        ("type", t), *[(f, given(d)) for f, d in fields.items()]]
+        if v is not None and not (isinstance(v, str) and v.startswith("$"))]
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         rows, "directory_type string, field string, value string"))
     keys = F.map_keys(E.held(F.col("fm")))
@@ -166,7 +173,7 @@ def fix_adopt(notes: DataFrame, schema: TypeSchema) -> DataFrame:
         "path", "directory_type", keys.alias("keys"))
     return lost.join(dim, "directory_type").filter(~F.array_contains("keys", F.col("field"))).select(
         "path", F.lit(0).alias("seq"), F.lit("fix_adopt").alias("operation"), "field",
-        F.lit(None).cast("string").alias("old"), TEXT(F.col("value")).alias("new"),
+        F.lit(None).cast("string").alias("old"), F.col("value").alias("new"),
         F.lit(None).cast("string").alias("new_field"))
 
 
@@ -177,13 +184,16 @@ def fix_stale_link(stale: DataFrame, close: DataFrame) -> DataFrame:
     """
     single = close.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")) \
         .filter("n = 1")
-    return stale.join(single, F.col("target") == F.col("query")).select(
-        "src_path", "field", "raw",
-        F.replace("raw", F.col("target"), F.col("name")).alias("new_raw"))
+    # Only the target changes: heading and display text may spell the same name.
+    opened = F.greatest(F.instr("raw", "[["), F.when(L.is_markdown_link(F.col("raw")), F.instr("raw", "](")).otherwise(0), F.lit(1))
+    at = F.expr("locate(target, raw, opened)")
+    return stale.join(single, F.col("target") == F.col("query")).withColumn("opened", opened).withColumn("at", at).select(
+        "src_path", "field", "raw", F.expr("substring(raw, 1, at - 1) || name || substring(raw, at + length(target))").alias("new_raw"))
 
 
-def fix_location(notes: DataFrame, schema: TypeSchema) -> DataFrame:
-    """(path, new_path): misplaced notes go to their type's folder, unless they sit with their owner."""
+def fix_location(notes: DataFrame, schema: TypeSchema, existing: DataFrame | None = None) -> DataFrame:
+    """(path, new_path, error): misplaced notes go to their type's folder, unless they sit with their
+    owner. Places taken by a note of ``existing`` (default ``notes``) or claimed twice are errors."""
     dim = F.broadcast(notes.sparkSession.createDataFrame(
         list(schema.output_dir.items()), "type string, output_dir string"))
     rows = notes.join(dim, "type")
@@ -191,14 +201,15 @@ def fix_location(notes: DataFrame, schema: TypeSchema) -> DataFrame:
         rows = rows.join(Q.well_owned(notes, schema).select("path"), "path", "left_anti")
     out = rows.filter(
         (F.col("folder") != F.col("output_dir")) & ~F.startswith("folder", F.concat("output_dir", F.lit("/"))))
-    return out.select("path", F.concat("output_dir", F.lit("/"), "name").alias("new_path"))
+    out = out.select("path", F.concat("output_dir", F.lit("/"), "name").alias("new_path"))
+    return destinations(out, notes if existing is None else existing)
 
 
-def fix_name(notes: DataFrame) -> DataFrame:
-    """(path, new_path): names that are not portable get their portable form."""
+def fix_name(notes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(path, new_path, error): names that are not portable get their portable form, errors as in ``fix_location``."""
     safe = safe_name(F.col("name"))
-    return notes.filter(safe != F.col("name")).select(
-        "path", F.concat("folder", F.lit("/"), safe).alias("new_path"))
+    out = notes.filter(safe != F.col("name")).select("path", F.concat("folder", F.lit("/"), safe).alias("new_path"))
+    return destinations(out, notes if existing is None else existing)
 
 
 def fix_sections(notes: DataFrame, sections: dict[str, list[tuple[int, str]]]) -> DataFrame:
@@ -215,12 +226,11 @@ def fix_sections(notes: DataFrame, sections: dict[str, list[tuple[int, str]]]) -
 
 
 def fix_whitespace(raw: Column) -> Column:
-    """Header lines without trailing blanks; the body and block scalars stay as they are."""
+    """Header lines without trailing blanks; the body and block scalars, whose lines are indented, stay as they are."""
     head = F.regexp_extract(raw, r"\A(---\n[\s\S]*?\n---\n?)", 1)
     rest = F.substring(raw, F.length(head) + 1, F.length(raw))
-    scalar = r"(?m)^[ \t]*[^\s:]+:[ \t]*[|>]"
     clean = F.regexp_replace(head, r"(?m)^([^\s:#][^:\n]*:[ \t]*\S.*?)[ \t]+$", "$1")
-    return F.when((head == "") | head.rlike(scalar), raw).otherwise(F.concat(clean, rest))
+    return F.when(head == "", raw).otherwise(F.concat(clean, rest))
 
 
 def fix_summary(issues: DataFrame, changes: DataFrame, after: DataFrame) -> DataFrame:

@@ -248,14 +248,18 @@ def _(t):
     return X.fix_adopt(t.drifted, t.schema).select("path", "field", "new")
 
 
-@probe("fix_location", twin(body="SELECT path, 'Orders/'||name AS new_path FROM t WHERE folder='Misc'", **D))
+@probe("fix_location", twin(body="""
+    SELECT path, 'Orders/'||name AS new_path, CASE WHEN k%2=0 THEN 'destination exists' END AS error FROM t WHERE folder='Misc'""", **D))
 def _(t):
-    return X.fix_location(t.drifted, t.schema)
+    taken = t.drifted.filter("k % 2 = 0").select(F.concat(F.lit("Orders/"), "name").alias("path"))
+    return X.fix_location(t.drifted, t.schema, t.drifted.select("path").union(taken))
 
 
-@probe("fix_name", twin(body="SELECT path, folder||'/Order '||k AS new_path FROM d WHERE k%137=29", **D))
+@probe("fix_name", twin(body="""
+    SELECT path, folder||'/Order '||k AS new_path, CASE WHEN k%3=0 THEN 'destination exists' END AS error FROM d WHERE k%137=29""", **D))
 def _(t):
-    return X.fix_name(t.drifted)
+    taken = t.drifted.filter("k % 3 = 0").select(F.concat("folder", F.lit("/Order "), "k").alias("path"))
+    return X.fix_name(t.drifted, t.drifted.select("path").union(taken))
 
 
 @probe("fix_sections", twin(body="""

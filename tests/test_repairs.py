@@ -86,3 +86,40 @@ def test_long_digit_runs_sort_by_value(spark):
     runs = ["n9", "n10", "n" + "9" * 99, "n1" + "0" * 99, "n1" + "0" * 120, "n2" + "0" * 120]
     df = spark.createDataFrame([(r,) for r in reversed(runs)], "t string")
     assert [r["t"] for r in df.orderBy(natural_key(F.col("t"))).collect()] == runs
+
+
+def test_moves_in_repairs_do_not_collide(spark):
+    rows = [("A/x:", "x:", "A", "t"), ("A/x", "x", "A", "t"), ("A/y:", "y:", "A", "t"), ("A/y?", "y?", "A", "t"), ("B/z", "z", "B", "t")]
+    notes = spark.createDataFrame(rows, "path string, name string, folder string, type string")
+    named = {r["path"]: r["error"] for r in X.fix_name(notes).collect()}
+    assert named["A/x:"] == "destination exists" and set(named) == {"A/x:", "A/y:", "A/y?"}
+    schema = compile_types({"types": {"t": {"output_dir": "C"}}})
+    placed = {r["path"]: (r["new_path"], r["error"]) for r in X.fix_location(notes, schema, notes.select(
+        F.regexp_replace("path", "^B/", "C/").alias("path"))).collect()}
+    assert placed["B/z"] == ("C/z", "destination exists") and placed["A/x"] == ("C/x", None)
+
+
+def test_only_the_target_of_a_stale_link_changes(spark):
+    stale = spark.createDataFrame([("s", "f", raw, "Jon") for raw in ["[[Jon#Jon|Jon said]]", "[Jon](Jon.md)", '"[[ Jon ]]"', "Jon"]],
+                                  "src_path string, field string, raw string, target string")
+    close = spark.createDataFrame([("Jon", "John", 1)], "query string, name string, distance int")
+    assert sorted(r["new_raw"] for r in X.fix_stale_link(stale, close).collect()) == sorted(
+        ["[[John#Jon|Jon said]]", "[Jon](John.md)", '"[[ John ]]"', "John"])
+
+
+def test_adoption_fills_values_of_every_kind(spark, notes_of):
+    schema = compile_types({"types": {"t": {"output_dir": "T", "fields": {
+        "n": {"kind": "number", "required": True, "default": 3}, "b": {"kind": "boolean", "value": False},
+        "l": {"kind": "list", "required": True, "default": ["a", 1]}, "free": {"kind": "text", "default": "no"},
+        "day": {"kind": "date", "value": "$TODAY"}, "q": {"kind": "text", "value": 'say "é"'}}}}})
+    notes = spark.createDataFrame([("T/a", None, "T", "t")], "path string, type string, folder string, directory_type string") \
+        .withColumn("fm", F.parse_json(F.lit('{"n": 1}')))
+    assert {r["field"]: r["new"] for r in X.fix_adopt(notes, schema).collect()} == {
+        "type": '"t"', "b": "false", "l": '["a", 1]', "q": '"say \\"é\\""'}
+
+
+def test_blanks_go_beside_block_scalars(spark):
+    raw = "---\ntype: t  \nnote: |  \n  kept  \n\n  too\t\nlast: x\t\n---\nbody  \n"
+    df = spark.createDataFrame([(raw,)], "raw string")
+    assert df.select(X.fix_whitespace(F.col("raw")).alias("r")).first()["r"] == \
+        "---\ntype: t\nnote: |\n  kept  \n\n  too\t\nlast: x\n---\nbody  \n"
