@@ -34,6 +34,36 @@ def suggest_key(value: Column, known: Column) -> Column:
     return F.coalesce(F.get(same, 0), near)
 
 
+def bare_key(key: Column) -> Column:
+    """A field name without case and without blanks, dashes and underscores."""
+    return F.regexp_replace(F.lower(key), r"[\s\-_]+", "")
+
+
+def singular_plural(a: Column, b: Column) -> Column:
+    """One bare name is the other with an s; neither is empty."""
+    return (a != "") & (b != "") & ((a == F.concat(b, F.lit("s"))) | (b == F.concat(a, F.lit("s"))))
+
+
+def similar_keys(key: Column, fits, fields: Column, limit: int = 3) -> Column:
+    """Names among ``fields`` (array of struct with name) that an unknown key may stand for.
+
+    Bare names may differ by a fifth of the shorter one, at least by one edit. Same bare name comes
+    first, then singular or plural, then the rest; then fields the value ``fits``, fewer edits, the name.
+    """
+    own = bare_key(key)
+
+    def judged(f: Column) -> Column:
+        name = bare_key(f["name"])
+        kind = F.when(name == own, 0).when(singular_plural(own, name), 1).otherwise(2)
+        return F.struct(kind.alias("kind"), (~fits(f)).alias("misfit"), F.levenshtein(own, name).alias("edits"),
+                        f["name"].alias("name"), F.least(F.length(own), F.length(name)).alias("shorter"))
+
+    open_to = F.filter(fields, lambda f: (f["name"] != "type") & ~F.endswith(f["name"], F.lit("-type")) & (bare_key(f["name"]) != ""))
+    near = F.filter(F.transform(open_to, judged), lambda j: j["edits"] <= F.greatest(F.lit(1), F.floor(j["shorter"] / 5)))
+    ranked = F.slice(F.array_sort(near), 1, limit)
+    return F.when(own != "", F.transform(ranked, lambda j: j["name"])).otherwise(F.array().cast("array<string>"))
+
+
 def similarity(query: Column, candidate: Column) -> Column:
     """1 when equal, else 1 - distance / longer length, at least 0.6 when one holds the other."""
     a, b = F.lower(F.trim(query)), F.lower(F.trim(candidate))

@@ -117,16 +117,14 @@ def fix_enum_case() -> Column:
 
 
 def fix_key() -> Column:
-    """Declared key a misspelt one should become: same letters, number, or same words."""
+    """Declared key a misspelt one should become: same letters, number, or, if the value fits, same words."""
     same = F.filter("names", lambda n: F.lower(n) == F.lower("key"))
     plural = F.concat("key", F.lit("s"))
     single = F.expr("substring(key, 1, length(key) - 1)")
-    words = lambda x: F.regexp_replace(F.lower(x), r"[\s\-_]+", "")
-    alike = F.filter("names", lambda n: words(n) == words(F.col("key")))
     target = F.when(F.size(same) == 1, F.get(same, 0)) \
         .when(F.array_contains("names", plural), plural) \
         .when(F.endswith("key", F.lit("s")) & F.array_contains("names", single), single) \
-        .when(F.size(alike) == 1, F.get(alike, 0))
+        .otherwise(Q.key_target())
     open_target = ~Q._conflict(target)
     return F.when(~F.array_contains("names", F.col("key")) & ~F.col("key").isin(Q.NATIVE_FIELDS)
                   & target.isNotNull() & open_target, target)

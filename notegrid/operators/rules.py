@@ -81,13 +81,22 @@ def field_context(notes: DataFrame, schema: TypeSchema) -> DataFrame:
         F.col("type").alias("d_type"), F.col("field").alias("key"), "kind", "required", "multiple",
         "default", "default_json", "options", "source_types", "granularity", "alias", "derived_expr"))
     names = F.broadcast(spark.createDataFrame(
-        [(t, list(f)) for t, f in schema.fields.items()], "n_type string, names array<string>"))
+        [(t, list(f), [(n, _wanted_shape(d)) for n, d in f.items()]) for t, f in schema.fields.items()],
+        "n_type string, names array<string>, wants array<struct<name string, shape string>>"))
     return rows.join(names, F.col("type") == F.col("n_type")).join(
         fields.withColumnRenamed("key", "d_key"),
         (F.col("type") == F.col("d_type")) & (F.col("key") == F.col("d_key")), "left") \
         .drop("n_type", "d_key").withColumn("declared", F.col("d_type").isNotNull()).drop("d_type")
 
 
+def _wanted_shape(field: dict) -> str | None:
+    """Shape a value of the field has in a header; None where several will do."""
+    kind = field.get("kind")
+    if kind is None or field.get("multiple"):
+        return None
+    return kind if kind in ("list", "boolean", "number") else "string"
+
+
 def blank_value(v: Column) -> Column:
     s = F.schema_of_variant(v)
     return v.isNull() | (s == "VOID") | ((s == "STRING") & (F.trim(v.try_cast("string")) == "")) \
@@ -190,12 +199,30 @@ def invalid_option() -> Column:
     return F.concat(scalar, listed)
 
 
+def _fits_field(field: Column) -> Column:
+    """The value could stand under the field: it is blank or has the shape the field wants."""
+    return _blank() | field["shape"].isNull() | (field["shape"] == _c("shape"))
+
+
+def key_target() -> Column:
+    """The one declared field an unknown key surely stands for: same bare name, else singular or
+    plural of one; null if the note already holds something there or the value has another shape."""
+    own = X.bare_key(_c("key"))
+    same = F.filter("wants", lambda f: X.bare_key(f["name"]) == own)
+    near = F.filter("wants", lambda f: X.singular_plural(own, X.bare_key(f["name"])))
+    field = F.when(own == "", F.lit(None)).when(F.size(same) == 1, F.get(same, 0)).when(F.size(near) == 1, F.get(near, 0))
+    taken = F.exists("held", lambda h: (h["k"] == field["name"]) & ~h["blank"])
+    return F.when(~taken & _fits_field(field), field["name"])
+
+
 def unknown_field(allowed: list[str] | None = None, strict: bool = False) -> Column:
+    """``expected`` lists the declared fields most like the key; repairable where it surely stands for one."""
     known = NATIVE_FIELDS + BUILTIN_FIELDS + list(allowed or [])
+    alike = X.similar_keys(_c("key"), _fits_field, F.col("wants"))
     return one(~_c("declared") & ~_c("key").isin(known),
                issue("unknown-field", "error" if strict else "warning", field=_c("key"),
-                     value=F.coalesce(_c("s"), F.to_json("v")),
-                     suggestion=X.suggest_key(_c("key"), _c("names"))))
+                     value=F.coalesce(_c("s"), F.to_json("v")), expected=F.when(F.size(alike) > 0, F.array_join(alike, ", ")),
+                     suggestion=X.suggest_key(_c("key"), _c("names")), fix=key_target().isNotNull()))
 
 
 def _conflict(other: Column) -> Column:

@@ -38,9 +38,9 @@ SQL = {
         CASE WHEN k%31=7 THEN day END AS suggestion, k%31=7 AS auto_fixable FROM t WHERE ordered<>day""",
     "invalid-option": """SELECT path, 'status' AS field, status AS value, NULL::INT AS list_index, 'O, F, P' AS expected,
         CASE WHEN status='X' THEN 'O' ELSE upper(status) END AS suggestion, false AS auto_fixable FROM t WHERE status NOT IN ('O','F','P','')""",
-    "unknown-field": """SELECT path, 'Priority' AS field, cased AS value, NULL::INT AS list_index, NULL AS expected, 'priority' AS suggestion, false AS auto_fixable FROM t WHERE cased IS NOT NULL
-        UNION ALL SELECT path, 'tag', 'q', NULL, NULL, 'tags', false FROM t WHERE k%89=20
-        UNION ALL SELECT path, 'totl', '5', NULL, NULL, 'total', false FROM t WHERE k%97=21""",
+    "unknown-field": """SELECT path, 'Priority' AS field, cased AS value, NULL::INT AS list_index, 'priority' AS expected, 'priority' AS suggestion, coalesce(priority,'')='' AS auto_fixable FROM t WHERE cased IS NOT NULL
+        UNION ALL SELECT path, 'tag', 'q', NULL, 'tags', 'tags', false FROM t WHERE k%89=20
+        UNION ALL SELECT path, 'totl', '5', NULL, 'total', 'total', false FROM t WHERE k%97=21""",
     "frontmatter-key-casing": """SELECT path, 'Priority' AS field, cased AS value, NULL::INT AS list_index, 'priority' AS expected, NULL AS suggestion,
         coalesce(priority,'')='' AS auto_fixable FROM t WHERE cased IS NOT NULL""",
     "singular-plural-mismatch": """SELECT path, 'tag' AS field, 'q' AS value, NULL::INT AS list_index, 'tags' AS expected, NULL AS suggestion, tags IS NULL AS auto_fixable FROM t WHERE k%89=20""",

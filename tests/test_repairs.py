@@ -123,3 +123,19 @@ def test_blanks_go_beside_block_scalars(spark):
     df = spark.createDataFrame([(raw,)], "raw string")
     assert df.select(X.fix_whitespace(F.col("raw")).alias("r")).first()["r"] == \
         "---\ntype: t\nnote: |\n  kept  \n\n  too\t\nlast: x\n---\nbody  \n"
+
+
+def test_unknown_fields_are_ranked_by_kind_shape_and_edits(spark, notes_of):
+    schema = compile_types({"types": {"t": {"output_dir": "T", "fields": {
+        "due-date": {"kind": "date"}, "count": {"kind": "number"}, "counts": {"kind": "list"}, "member": {"kind": "text"},
+        "members": {"kind": "relation", "source": ["t"], "multiple": True}, "status-type": {"kind": "text"}}}}})
+    notes = notes_of({"T/a": {"type": "t", "Due Date": "2024-01-01", "coun": 3, "membr": "x", "Count_s": 5, "zzz": 1, "--": 1},
+                      "T/b": {"type": "t", "Due Date": "x", "due-date": "y", "due_dat": "z"},
+                      "T/c": {"type": "t", "due_date": 7}})
+    got = {(r["path"], r["field"]): (r["expected"], r["auto_fixable"]) for r in Q.field_issues(notes, schema, ["unknown-field"]).collect()}
+    assert got == {
+        ("T/a", "Due Date"): ("due-date", True), ("T/a", "coun"): ("count", False), ("T/a", "membr"): ("member", False),
+        ("T/a", "Count_s"): ("counts, count", False), ("T/a", "zzz"): (None, False), ("T/a", "--"): (None, False),
+        ("T/b", "Due Date"): ("due-date", False), ("T/b", "due_dat"): ("due-date", False), ("T/c", "due_date"): ("due-date", False)}
+    moved = {(r["path"], r["field"]): r["new_field"] for r in X.repair_fields(notes, schema, ["fix_key"]).collect()}
+    assert moved == {("T/a", "Due Date"): "due-date"}
