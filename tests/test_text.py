@@ -121,3 +121,21 @@ def test_close_pairs_of_any_length_equal_brute_force(spark):
     for split in (24, 6):
         got = {(r["query"], r["name"]): r["distance"] for r in M.close_pairs(queries_df, names_df, 2, split).collect()}
         assert got == want
+
+
+def test_words_are_counted_in_their_row_and_names_damped_by_counts(spark):
+    rows = [("a", "The the cat [[x/Dog.md|Big dog]] `the`"), ("b", "the The THE"), ("b", "cat the"), ("c", None), ("Words/Cat", "cat Cat cat")]
+    notes = spark.createDataFrame(rows, "path string, body string").repartition(3)
+    forms = M.word_forms(notes, first=True)
+    got = {(r.word, r.form, r.path): r.n for r in forms.collect()}
+    assert got == {("the", "The", "a"): 1, ("the", "the", "a"): 1, ("cat", "cat", "a"): 1, ("dog", "Dog", "a"): 1, ("big", "Big", "a"): 1,
+                   ("dog", "dog", "a"): 1, ("the", "the", "b"): 2, ("the", "The", "b"): 1, ("the", "THE", "b"): 1, ("cat", "cat", "b"): 1,
+                   ("cat", "cat", "Words/Cat"): 2, ("cat", "Cat", "Words/Cat"): 1}
+    assert forms.filter("first").count() == len({(w, p) for w, _, p in got})
+    names = spark.createDataFrame([("Words/Cat", "Cat"), ("Words/The", "The"), ("Words/None", "None"), ("Words/Two", "Two words")], "path string, name string")
+    for given in (forms, M.word_forms(notes)):
+        assert sorted(tuple(r) for r in M.common_names(names, given, min_notes=2).collect()) == [("Words/Cat", "Cat"), ("Words/The", "The")]
+        assert M.common_names(names, given, min_notes=3).count() == 0
+    # One row per note: no exchange of words.
+    alone = notes.filter("path <> 'b'")
+    assert "Exchange hashpartitioning" not in M.word_forms(alone)._jdf.queryExecution().executedPlan().toString()
