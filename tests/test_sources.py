@@ -105,3 +105,47 @@ def test_notes_stream(spark, tmp_path):
         .queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("SELECT * FROM seen").collect()] == [("Ideas/a", "idea")]
+
+
+def test_stream_makes_one_state_call_and_timer_per_key_and_batch():
+    import pandas as pd
+
+    from notegrid.streaming.changes import Entered
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.calls, self.timers = [], 0, []
+
+        def appendList(self, rows):
+            self.calls, self.rows = self.calls + 1, self.rows + rows
+
+        def put(self, rows):
+            self.calls, self.rows = self.calls + 1, rows
+
+        update = put
+        get = lambda self: iter(self.rows)
+        exists = lambda self: bool(self.rows)
+        clear = lambda self: self.rows.clear()
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Handle(Kept):
+        def getListState(self, *_):
+            return self
+
+        def getValueState(self, *_):
+            state = Kept()
+            state.get = lambda: state.rows
+            return state
+
+    handle, judge = Handle(), Entered(["k", "t", "id", "v"], ["timestamp", "bigint", "string"], "e")
+    judge.init(handle)
+    rows = pd.DataFrame({"t": pd.to_datetime(range(1000, 0, -1), unit="s"), "id": range(1000), "v": ["e", "x"] * 500})
+    list(judge.handleInputRows(("k",), iter([rows]), None))
+    assert (handle.calls, handle.timers) == (1, [1001])
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 500_500
+
+    found = list(judge.handleExpiredTimer(("k",), Now(), None))[0]
+    assert len(found) == 250 and handle.timers == [1001, 501_001] and len(handle.rows) == 500
+    assert list(judge.handleExpiredTimer(("k",), Now(), None)) == []
