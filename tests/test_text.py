@@ -139,3 +139,17 @@ def test_words_are_counted_in_their_row_and_names_damped_by_counts(spark):
     # One row per note: no exchange of words.
     alone = notes.filter("path <> 'b'")
     assert "Exchange hashpartitioning" not in M.word_forms(alone)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_close_pairs_make_keys_only_for_near_texts_and_broadcast_none(spark, monkeypatch):
+    made, settle = [], M.settle
+    monkeypatch.setattr(M, "settle", lambda df: made.append(settle(df)) or made[-1])
+    q = spark.createDataFrame([("Supplier 001",), ("Supplier 012",), ("",)], "query string")
+    n = spark.createDataFrame([("Supplier 002",), ("Customer 001",), ("Order 1",), ("SUPPLIER 0012",), ("Supplier 001",), ("x",)], "name string")
+    pairs = M.close_pairs(q, n, 2)
+    assert sorted(tuple(r) for r in pairs.collect()) == [("", "x", 1), ("Supplier 001", "SUPPLIER 0012", 1), ("Supplier 001", "Supplier 002", 1),
+                                                         ("Supplier 012", "SUPPLIER 0012", 1), ("Supplier 012", "Supplier 001", 2), ("Supplier 012", "Supplier 002", 1)]
+    kept = [df for df in made if df.columns == ["name", "nl"]]
+    assert {r.name for r in kept[0].collect()} == {"Supplier 002", "SUPPLIER 0012", "Supplier 001", "x"}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
