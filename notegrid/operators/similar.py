@@ -8,7 +8,7 @@ count; ties go by name.
 
 Every point has a cause that an equality join can find:
 
-* Holding: the held text's rarest run of four characters is looked up in the index of such runs.
+* Holding: the held text's rarest run of nearly its own length is looked up in the index of such runs.
 * Words: an inverted index. Words matched by few names give candidates. A word that many names match gives
   only its first names, as all names reached by it alone score the same, and pairs of such words are
   keys of their own.
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notegrid.operators.resolve import exact_lookup
-from notegrid.session import settle
+from notegrid.session import broadcast_if_small, settle
 
 PREFIX, HOLDS, WORD, EDIT, LEAST = 50, 30, 10, 15, 10
 SUBSTANTIAL, WORD_LENGTH, SHORT = 4, 2, 20
@@ -38,18 +38,33 @@ def _words(c: str) -> Column:
     return F.filter(F.split(c, r"(?U)[\s\-_]+"), lambda w: F.length(w) >= WORD_LENGTH)
 
 
-def _grams(c: str) -> Column:
-    """Runs of four characters; empty for shorter texts."""
-    return F.when(F.length(c) >= SUBSTANTIAL, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(c) - SUBSTANTIAL + 1), lambda i: F.substr(F.col(c), i, F.lit(SUBSTANTIAL))))).otherwise(F.array().cast("array<string>"))
+# Lengths of runs: a text is looked up by runs of the greatest of these lengths that it has.
+RUNS = [4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64]
+
+
+def _run_length(c: str) -> Column:
+    return F.array_max(F.filter(F.array(*map(F.lit, RUNS)), lambda r: r <= F.length(c)))
+
+
+def _runs(c: str, r: str) -> Column:
+    """Runs of ``r`` characters; empty for shorter texts."""
+    return F.when(F.length(c) >= F.col(r), F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(c) - F.col(r) + 1), lambda i: F.substr(F.col(c), i, F.col(r))))).otherwise(F.array().cast("array<string>"))
 
 
 def held_in(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(short, long): distinct texts, both of four characters or more, the second holding the first."""
-    runs = settle(long.filter(F.length("long") >= SUBSTANTIAL).select("long", F.explode(_grams("long")).alias("g")))
+    """(short, long): distinct texts, both of four characters or more, the second holding the first.
+
+    The runs are nearly as long as the held text, so that few other texts share them however many there are; of the
+    holding texts only runs that are asked for are kept.
+    """
+    wanted = short.filter(F.length("short") >= SUBSTANTIAL).withColumn("r", _run_length("short"))
+    wanted = settle(wanted.select("short", "r", F.explode(_runs("short", "r")).alias("g")))
+    used = F.broadcast(wanted.select("r").distinct())  # at most as many rows as RUNS
+    runs = long.filter(F.length("long") >= SUBSTANTIAL).join(used, F.length("long") >= F.col("r")).select("long", F.explode(_runs("long", "r")).alias("g"))
+    runs = settle(runs.join(broadcast_if_small(wanted.select("g").distinct()), "g", "left_semi"))
     known = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    asked = short.filter(F.length("short") >= SUBSTANTIAL).select("short", F.explode(_grams("short")).alias("g")).join(known, "g", "left")
-    anchor = asked.groupBy("short").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count_if(F.col("n").isNull()).alias("missing")) \
+    anchor = wanted.join(known, "g", "left").groupBy("short").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count_if(F.col("n").isNull()).alias("missing")) \
         .filter("missing = 0").select("short", "g")
     return anchor.join(runs, "g").filter(F.contains("long", F.col("short"))).select("short", "long")
 

@@ -96,3 +96,14 @@ def test_lookup_or_suggest(spark):
     assert got["door"].tier == "alias" and got["Garden"].ambiguous and got["Garden"].suggestions == []
     assert [tuple(s) for s in got["Gardn.md"].suggestions] == [("Garden", 2, None)] and got["Gardn.md"].ambiguous
     assert got["Qqqq"].suggestions == [] and not got["Qqqq"].ambiguous
+
+
+def test_held_texts_meet_few_others_however_many_share_short_runs(spark, monkeypatch):
+    from notegrid.operators import similar as S
+    made, settle = [], S.settle
+    monkeypatch.setattr(S, "settle", lambda df: made.append(settle(df)) or made[-1])
+    short = spark.createDataFrame([("00000123",), ("0000",), ("abc",)], "short string")
+    names = [f"{k:09d}" for k in range(0, 3000, 3)]
+    got = S.held_in(short, spark.createDataFrame([(n,) for n in names], "long string"))
+    assert {tuple(r) for r in got.collect()} == {(s, n) for s in ("00000123", "0000") for n in names if s in n}
+    assert made[-1].filter("g <> '0000'").count() == sum("00000123" in n for n in names)
