@@ -153,3 +153,16 @@ def test_close_pairs_make_keys_only_for_near_texts_and_broadcast_none(spark, mon
     assert {r.name for r in kept[0].collect()} == {"Supplier 002", "SUPPLIER 0012", "Supplier 001", "x"}
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_fuzzy_phrases_are_never_broadcast(spark, monkeypatch, tmp_path):
+    bodies(spark, "We met Anna Karenima today.\nSaw Anna Karenina. Then Karenima Ann.", "Anna Karenine").write.parquet(f"{tmp_path}/notes")
+    notes = spark.read.parquet(f"{tmp_path}/notes")  # files have sizes to estimate from
+    known = M.surfaces(names(spark, "Anna Karenina", "Anna Karenin"))
+    want = [("F/N0", 1, "Anna Karenima", "Anna Karenina", 1, 1), ("F/N0", 1, "Anna Karenima", "Anna Karenin", 2, 2),
+            ("F/N1", 1, "Anna Karenine", "Anna Karenin", 1, 1), ("F/N1", 1, "Anna Karenine", "Anna Karenina", 1, 2)]
+    assert sorted(tuple(r) for r in M.mentions_fuzzy(notes, known).collect()) == sorted(want)
+    monkeypatch.setattr(M, "broadcast_if_small", M.settle)  # as if every counterpart were large
+    found = M.mentions_fuzzy(notes, known)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
