@@ -45,3 +45,18 @@ def test_all_codes_in_one_run(notes_of, spark):
         ("B/v", "owned-note-referenced"), ("B/v", "stale-reference"), ("B/v", "frontmatter-not-at-top"), ("B/s", "relative-date-cycle")}
     roots = {r["path"] for r in is_root(notes, found, SCHEMA).collect()}
     assert "B/s" not in roots and {"A/X/X", "B/u"} <= roots
+
+
+def test_rules_are_compiled_and_headers_read_again_only_for_keys_in_doubt(notes_of):
+    from notegrid.operators import rules as Q
+    from notegrid.types import compile_types
+    schema = compile_types({"types": {"task": {"output_dir": "T", "fields": {"status": {"kind": "text", "required": True}, "due": {"kind": "text"}}}}})
+    notes = notes_of({"T/a": {"type": "task", "status": "", "Status": "x"}, "T/b": {"type": "task", "status": "y", "Status": "x"},
+                      "T/c": {"type": "task", "Due": "x", "due": " "}, "T/d": {"type": "task", "dues": [], "due": "x"}})
+    rows = Q.field_issues(notes, schema, ["empty-string-required", "unknown-field", "frontmatter-key-casing"]).collect()
+    assert sorted((r.path, r.code, r.field, r.auto_fixable) for r in rows) == [
+        ("T/a", "empty-string-required", "status", False), ("T/a", "frontmatter-key-casing", "Status", True), ("T/a", "unknown-field", "Status", True),
+        ("T/b", "frontmatter-key-casing", "Status", False), ("T/b", "unknown-field", "Status", False),
+        ("T/c", "frontmatter-key-casing", "Due", True), ("T/c", "unknown-field", "Due", True), ("T/d", "unknown-field", "dues", False)]
+    plan = Q.field_issues(notes, schema, ["empty-string-required", "invalid-boolean-coercion"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
