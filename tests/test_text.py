@@ -166,3 +166,17 @@ def test_fuzzy_phrases_are_never_broadcast(spark, monkeypatch, tmp_path):
     found = M.mentions_fuzzy(notes, known)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_word_runs_leave_in_bounded_frames_and_only_found_names_are_grouped(spark, monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(M, "GRAM_ROWS", 3)
+    bodies_ = ["a b c d", None, "e"]
+    frames = list(M.gram_finder([1, 2])(iter([pd.DataFrame({"path": ["x", "y", "z"], "body": bodies_, "masked": bodies_})])))
+    assert [len(f) for f in frames] == [3, 3, 2] and set(frames[0]["path"]) == {"x"}
+    grouped, index = [], M.surface_index
+    monkeypatch.setattr(M, "surface_index", lambda known: grouped.append(known) or index(known))
+    known = M.surfaces(names(spark, "Ann", "(Bob)", "Carl", "x-"), spark.createDataFrame([("F/Carl", "Carl", "Bob")], "path string, name string, alias string"))
+    rows = M.mentions(bodies(spark, "I saw Ann, (Bob) and Bob."), known).orderBy("start").collect()
+    assert [(r.start, r.end, r.text, r.canonical) for r in rows] == [(6, 9, "Ann", "Ann"), (11, 16, "(Bob)", "(Bob)"), (21, 24, "Bob", "Carl")]
+    assert {r.key for r in grouped[0].select("key").collect()} == {"ann", "(bob)", "bob"}
