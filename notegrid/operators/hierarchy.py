@@ -174,10 +174,13 @@ def would_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
     walk = both.filter("ring IS NULL AND c_depth < p_depth").select(
         "child", "parent", F.col("parent").alias("at"), (F.col("p_depth") - F.col("c_depth")).alias("steps"))
     longest = walk.agg(F.max("steps")).first()[0] or 0
-    for bit in range(int(longest).bit_length()):
+    rounds = int(longest).bit_length()
+    for bit in range(rounds):
         step = F.shiftright("steps", bit).bitwiseAND(F.lit(1)) == 1
         moved = walk.filter(step).join(jump, "at").select("child", "parent", F.col("up").alias("at"), "steps")
         walk = settle(walk.filter(~step).unionByName(moved))
+        if bit + 1 == rounds:
+            break
         ahead = jump.select(F.col("at").alias("up"), F.col("up").alias("far"))
         jump = settle(jump.join(ahead, "up").select("at", F.col("far").alias("up")))
     return (same.unionByName(both.filter("ring IS NOT NULL").select("child", "parent"))

@@ -177,3 +177,14 @@ def test_tree_rows_number_a_forest_in_reading_order(spark):
     top = sorted(map(tuple, H.tree_rows(notes, edges, max_depth=2).collect()), key=lambda r: r[4])
     assert [r[:4] for r in top] == [r[:4] for r in order if r[3] < 2] and [r[4] for r in top] == list(range(1, len(top) + 1))
     assert H.tree_rows(notes.limit(0), edges).collect() == []
+
+
+def test_would_cycle_doubles_no_steps_it_does_not_take(spark, monkeypatch):
+    from notegrid.operators import hierarchy
+    made, settle = [], hierarchy.settle
+    monkeypatch.setattr(hierarchy, "settle", lambda df: made.append(df.columns) or settle(df))
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("y", "x")], "child string, parent string")
+    asked = spark.createDataFrame([("a", "d"), ("b", "d"), ("c", "d"), ("a", "c"), ("d", "a"), ("x", "d"), ("x", "y"), ("c", "c")], "child string, parent string")
+    got = {tuple(r) for r in hierarchy.would_cycle(edges, asked).collect()}
+    assert got == {("a", "d"), ("b", "d"), ("c", "d"), ("a", "c"), ("x", "y"), ("c", "c")}
+    assert made.count(["at", "up"]) == 1  # three steps are one and two: one doubling
