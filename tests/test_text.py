@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from notegrid.operators import mentions as M
+from notegrid.operators import resolve as R
 from notegrid.operators import search as T
 
 
@@ -180,3 +181,26 @@ def test_word_runs_leave_in_bounded_frames_and_only_found_names_are_grouped(spar
     rows = M.mentions(bodies(spark, "I saw Ann, (Bob) and Bob."), known).orderBy("start").collect()
     assert [(r.start, r.end, r.text, r.canonical) for r in rows] == [(6, 9, "Ann", "Ann"), (11, 16, "(Bob)", "(Bob)"), (21, 24, "Bob", "Carl")]
     assert {r.key for r in grouped[0].select("key").collect()} == {"ann", "(bob)", "bob"}
+
+
+def test_dead_links_are_found_without_shuffling_links(spark):
+    bodies = [("a", "see [[Ann]] and [[Zed|z]]\nno code\n`[[Gone]]` ~ [[ann#h]] [[Bob]]\n~~~\n[[Gone]]\n~~~\n[[L/Ann]]"),
+              ("b", "[[zed]] [[Nobody]]\n```\n[[Gone]]\n```"), ("c", "plain")]
+    notes = spark.createDataFrame([(p, "", b) for p, b in bodies], "path string, folder string, body string")
+    index = spark.createDataFrame([("L/Ann", "Ann", "t"), ("L/Cy", "Cy", "t")], "path string, name string, type string")
+    aliases = spark.createDataFrame([("L/Cy", "Bob", "t"), ("L/Cy", "ann", "t"), ("L/Cy", " ", "t")], "path string, alias string, type string")
+    targets = R.build_targets(index, aliases)
+    assert sorted((r["key"], r["kind"]) for r in targets.collect()) == [
+        ("ann", "real"), ("bob", "alias"), ("cy", "real"), ("l/ann", "real"), ("l/cy", "real")]
+    dead = T.broken_body_wikilinks(notes, targets)
+    assert sorted((r["path"], r["line"], r["target"]) for r in dead.collect()) == [
+        ("a", 1, "Zed"), ("b", 1, "Nobody"), ("b", 1, "zed")]
+    assert "hashpartitioning" not in dead._jdf.queryExecution().executedPlan().toString()
+
+
+def test_code_is_blanked_as_if_the_whole_body_were_cut(spark):
+    bodies = ["", "x", "a\nb `c` d\n", "one\n  ~~~ py\n[[x]]\n ~~~\nend", "~ one ~~ two\n\n```\nopen\n[[x]]", "\r\n`a`\n`b\nc`", "t\t\n\t```\nq\n\t```\nz ~~~ y"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    whole = T._masked(F.col("body"), T.CODE, r"\n|[^\n`]+|`")
+    for r in df.select("body", T.code_mask(F.col("body")).alias("m"), whole.alias("w")).collect():
+        assert r["m"] == r["w"], r["body"]
