@@ -78,6 +78,19 @@ def test_source_type_beats_same_name_elsewhere(spark):
                    4: ("no-source-match", "L/Rome"), 5: ("none", None)}
 
 
+def test_index_of_asked_keys_shuffles_no_other_names(spark):
+    notes = spark.createDataFrame([("P/Ann", "Ann", "person"), ("L/Ann", "Ann", "place"), *[(f"L/X{i}", f"X{i}", "place") for i in range(50)]],
+                                  "path string, name string, type string")
+    aliases = spark.createDataFrame([("P/Ann", "Bob", "person"), ("L/X1", "other", "place")], "path string, alias string, type string")
+    links = spark.createDataFrame([(i, "project", f, raw) for i, (f, raw) in enumerate([
+        ("lead", "[[ann#h|she]]"), ("any", "[[Ann]]"), ("lead", "[[L/Ann]]"), ("lead", "[[BOB]]"), ("lead", "[[Zed]]"), ("lead", "")])],
+        "src_path int, src_type string, field string, raw string")
+    targets = R.name_rows(notes, aliases)
+    asked = R.asked_index(targets, links)
+    assert {r["key"] for r in asked.collect()} == {"ann", "l/ann", "bob"}
+    assert sorted(R.resolve_links(links, asked, SCHEMA).collect()) == sorted(R.resolve_links(links, R.target_index(targets), SCHEMA).collect())
+
+
 def test_previous_values_across_quiet_days(spark):
     rows = [(1, "k", "2024-01-01 10:00:00", "a"), (2, "k", "2024-01-01 11:00:00", "b"), (3, "k", "2024-01-09 01:00:00", "b"),
             (4, "k", "2024-01-20 01:00:00", "a"), (5, "z", "2024-01-20 01:00:00", "b")]
