@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegrid.operators.headers import held, json_text
+from notegrid.session import spread
 from notegrid.types import TypeSchema
 
 
@@ -35,18 +36,25 @@ def write_table(notes: DataFrame, folder: str) -> None:
 def write_files(notes: DataFrame, root: str) -> None:
     """One Markdown file per note under a folder all executors share. Each file appears under its
     name only when complete, so a task that runs twice leaves the same files."""
-    def write(rows):
+    def write(batches):
         import os
         import uuid
-        for r in rows:
-            target = os.path.join(root, r["path"] + ".md")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(r["raw"])
-            os.replace(part, target)
-
-    notes.select("path", "raw").foreachPartition(write)
+        made = set()
+        for pdf in batches:
+            for path, raw in zip(pdf["path"], pdf["raw"]):
+                target = os.path.join(root, path + ".md")
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with open(part, "w", encoding="utf-8", newline="") as f:
+                    f.write(raw)
+                os.replace(part, target)
+            yield pdf[["path"]].iloc[:0]
+
+    # Rows go to the workers in Arrow batches, dealt out where the input is small.
+    spread(notes).select("path", "raw").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
 
 
 def project_rows(notes: DataFrame, fields: list[str], raw: str = "raw") -> DataFrame:

@@ -149,3 +149,26 @@ def test_stream_makes_one_state_call_and_timer_per_key_and_batch():
     found = list(judge.handleExpiredTimer(("k",), Now(), None))[0]
     assert len(found) == 250 and handle.timers == [1001, 501_001] and len(handle.rows) == 500
     assert list(judge.handleExpiredTimer(("k",), Now(), None)) == []
+
+
+def test_many_files_are_few_tasks(spark, tmp_path):
+    notes = spark.range(600).select(F.concat(F.lit("F"), F.col("id") % 3, F.lit("/n"), "id").alias("path"),
+                                    F.concat(F.lit("---\nzeta: "), "id", F.lit("\n---\nbody")).alias("raw"))
+    K.write_files(notes, str(tmp_path / "many"))
+    assert not list((tmp_path / "many").rglob("*.part"))
+    back = N.read_notes(spark, str(tmp_path / "many"))
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {(r["path"], r["z"]) for r in back.select("path", F.try_variant_get("fm", "$.zeta", "bigint").alias("z")).collect()} == {
+        (f"F{i % 3}/n{i}", i) for i in range(600)}
+    assert spark.conf.get(N.LIST_BY_TASKS) == "32"
+
+
+def test_plain_headers_read_as_yaml_does():
+    yaml, loader = N.yaml_tools()()
+    read = N.plain_header()()
+    plain = ['a: "x: #y, [z]"\nb-c: 12\nd_1: -7\ne: true\nf: false\ng: null', 'a: ""\na: 0', 'z: "2024-01-01"']
+    for text in plain:
+        assert read(text) == yaml.load(text, Loader=loader) and read(text) is not None
+    for text in ["", "a: x", 'a: "\\n"', 'a: "é"', "a: 012", "a: -0", "a: 1.5", "a: 2024-01-01", "a:", "a: [1]", "  a: 1", "true: 1", "Null: 1", "a: True",
+                 'a: "x" ', "a: 1\n", "a: 1\r", "a: 1 # c", "1: 2", "a: 1234567890123456789"]:
+        assert read(text) is None, text
