@@ -89,6 +89,11 @@ def test_index_of_asked_keys_shuffles_no_other_names(spark):
     asked = R.asked_index(targets, links)
     assert {r["key"] for r in asked.collect()} == {"ann", "l/ann", "bob"}
     assert sorted(R.resolve_links(links, asked, SCHEMA).collect()) == sorted(R.resolve_links(links, R.target_index(targets), SCHEMA).collect())
+    ambiguous = R.resolve_links(links, asked, SCHEMA).filter("resolution = 'ambiguous'")
+    found = R.link_candidates(ambiguous, targets)
+    assert sorted((r["key"], r["path"]) for r in found.collect()) == [("ann", "L/Ann"), ("ann", "P/Ann")]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in \
+        found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_previous_values_across_quiet_days(spark):
