@@ -139,3 +139,18 @@ def test_unknown_fields_are_ranked_by_kind_shape_and_edits(spark, notes_of):
         ("T/b", "Due Date"): ("due-date", False), ("T/b", "due_dat"): ("due-date", False), ("T/c", "due_date"): ("due-date", False)}
     moved = {(r["path"], r["field"]): r["new_field"] for r in X.repair_fields(notes, schema, ["fix_key"]).collect()}
     assert moved == {("T/a", "Due Date"): "due-date"}
+
+
+def test_repairs_are_columns_and_the_first_names_the_change(spark, notes_of):
+    schema = compile_types({"types": {"t": {"output_dir": "T", "fields": {
+        "b": {"kind": "boolean"}, "n": {"kind": "number"}, "s": {"kind": "select", "options": ["Open", "Done"], "required": True, "default": "Open"}}}}})
+    notes = notes_of({"T/a": {"type": "t", "b": "True", "n": "7", "s": "open"}, "T/b": {"type": "t", "B": True, "s": ""}, "T/c": {"type": "t", "n": 1, "s": "Done"}})
+    changes = X.repair_fields(notes, schema)
+    assert sorted((r["path"], r["operation"], r["field"], r["old"], r["new"], r["new_field"]) for r in changes.collect()) == [
+        ("T/a", "fix_boolean", "b", '"True"', "true", None), ("T/a", "fix_enum_case", "s", '"open"', '"Open"', None),
+        ("T/a", "fix_scalar", "n", '"7"', "7", None), ("T/b", "fix_default", "s", '""', '"Open"', None),
+        ("T/b", "fix_key", "B", "true", "true", "b")]
+    assert X.repair_fields(notes, schema, ["fix_key"]).count() == 1 and X.repair_fields(notes, schema, []).count() == 0
+    # The generator gets a finished column: what stands inside it would be interpreted.
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(made" in plan
