@@ -109,20 +109,21 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column("_text")):
                 data = own.encode(text.as_py() or "") + end
+                if with_ids:
+                    ids.append(data)
                 n = len(data) // 4
                 at, first = 0, n % capacity or capacity
                 for p in range(-(-n // capacity)):
                     size = first if p == 0 else capacity
                     part = data[4 * at:4 * (at + size)]
                     row.append(k), piece.append(p), start.append(at), length.append(size), crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
                     at += size
             columns = [batch.column(key).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                        pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
             names = [key, "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+            if with_ids:  # pieces of a text lie one after another in its ids
+                ends = pa.array(np.cumsum([0, *length]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
     return docs.select(F.col(key), F.col("text").alias("_text")).mapInArrow(work, schema)
@@ -228,7 +229,10 @@ def pack(items: DataFrame, capacity: int = 1024, slice_rows: int = 20_000) -> Da
     within = Window.partitionBy("length", "_slice").orderBy("_lot")
     ranked = (held.withColumn("_rank", F.row_number().over(within) - 1).join(per, ["length", "_slice"])
               .withColumn("_rank", F.col("_rank") + F.col("_before")))
-    runs = spark.createDataFrame(plan(histogram, capacity), "r_length int, first long, past long, base long, offset long")
+    # As an Arrow table: rows of Python objects would start a second set of Python workers on every executor.
+    kinds = {"r_length": pa.int32(), "first": pa.int64(), "past": pa.int64(), "base": pa.int64(), "offset": pa.int64()}
+    of_plan = np.array(plan(histogram, capacity), np.int64).reshape(-1, len(kinds))
+    runs = spark.createDataFrame(pa.table({c: pa.array(of_plan[:, k], kind) for k, (c, kind) in enumerate(kinds.items())}))
     # One row per run, fewer than a few per pair of lengths whatever the number of rows: a bounded broadcast.
     per_length = runs.groupBy("r_length").agg(F.sort_array(F.collect_list(F.struct("first", "past", "base", "offset"))).alias("runs"))
     ranked = ranked.join(F.broadcast(per_length), F.expr("length = r_length"))

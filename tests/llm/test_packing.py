@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from notegrid.llm import packing
@@ -95,3 +96,22 @@ def test_empty_table(spark):
 def test_long_white_space(text):
     encoder = packing.Encoder(PATH)
     assert encoder.encode(text) == np.asarray(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_planning_starts_no_python_workers(spark):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(20)], "doc_id long, text string")
+    packed = packing.pack(packing.pieces(docs, PATH, with_ids=True), 1024)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()  # the runs come as Arrow, not as pickled rows
+    assert packed.count() == 20
+
+
+def test_batches_of_a_stage_stay_small(spark, tmp_path):
+    from notegrid.llm.common import table
+    (spark.range(600).selectExpr("id AS doc_id", "repeat(sha2(string(id), 512), 80) AS text").coalesce(1)
+     .write.parquet(f"{tmp_path}/documents.parquet"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+    held = [r.n for r in table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(held) > 6_000_000 and max(held) < 3_000_000
