@@ -12,9 +12,9 @@ Every point has a cause that an equality join can find:
 * Words: an inverted index. Words matched by few names give candidates. A word that many names match gives
   only its first names, as all names reached by it alone score the same, and pairs of such words are
   keys of their own.
-* Edits: one edit by texts with one character left out. More edits by pieces: of k + 1 pieces of a name one
-  stands unchanged in the text, moved by k places at most. This search runs only for texts whose places
-  are not yet all taken by names that such an edit distance could not beat.
+* Edits: one edit by texts with one character left out. Of more edits, three at most, one half of a name has one at most, and
+  the halves are keys; halves that too many share are keys together with the edits left for the other half.
+  This search runs only for texts whose places are not yet all taken by names that such an edit distance could not beat.
 
 What the joins propose is scored in full, and the best are kept by a ranked window, which limits each
 task's rows before the shuffle.
@@ -22,6 +22,8 @@ task's rows before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from notegrid.session import broadcast_if_small, settle
 PREFIX, HOLDS, WORD, EDIT, LEAST = 50, 30, 10, 15, 10
 SUBSTANTIAL, WORD_LENGTH, SHORT = 4, 2, 20
 RARE = 200  # names that a word may match and still give candidates of its own
+HOT = 10_000  # pairs that share half a text and are still compared one by one
+MOVED = [0, 0, -1, 1]  # characters that the text's half is longer than the name's, by kind of edit
+MASK = "\u0001"  # stands for a replaced character in keys; what such keys propose is compared in full
 
 
 def _words(c: str) -> Column:
@@ -47,22 +52,26 @@ def _run_length(c: str) -> Column:
 
 
 def _runs(c: str, r: str) -> Column:
-    """Runs of ``r`` characters; empty for shorter texts."""
-    return F.when(F.length(c) >= F.col(r), F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(c) - F.col(r) + 1), lambda i: F.substr(F.col(c), i, F.col(r))))).otherwise(F.array().cast("array<string>"))
+    """Runs of ``r`` characters, repeats included; empty for shorter texts."""
+    return F.when(F.length(c) >= F.col(r), F.transform(
+        F.sequence(F.lit(1), F.length(c) - F.col(r) + 1), lambda i: F.substr(F.col(c), i, F.col(r)))).otherwise(F.array().cast("array<string>"))
 
 
 def held_in(short: DataFrame, long: DataFrame) -> DataFrame:
     """(short, long): distinct texts, both of four characters or more, the second holding the first.
 
     The runs are nearly as long as the held text, so that few other texts share them however many there are; of the
-    holding texts only runs that are asked for are kept.
+    holding texts only runs that are asked for are kept, and before that the greater side loses what the smaller one cannot meet.
     """
     wanted = short.filter(F.length("short") >= SUBSTANTIAL).withColumn("r", _run_length("short"))
-    wanted = settle(wanted.select("short", "r", F.explode(_runs("short", "r")).alias("g")))
     used = F.broadcast(wanted.select("r").distinct())  # at most as many rows as RUNS
     runs = long.filter(F.length("long") >= SUBSTANTIAL).join(used, F.length("long") >= F.col("r")).select("long", F.explode(_runs("long", "r")).alias("g"))
-    runs = settle(runs.join(broadcast_if_small(wanted.select("g").distinct()), "g", "left_semi"))
+    if long.count() < short.count():  # of many short texts only those stay whose first run some long text has
+        runs = settle(runs)
+        first = F.xxhash64(F.expr("substring(short, 1, r)")) == F.col("h")
+        wanted = settle(wanted.join(broadcast_if_small(runs.select(F.xxhash64("g").alias("h")).distinct()), first, "left_semi"))
+    wanted = settle(wanted.select("short", "r", F.explode(F.array_distinct(_runs("short", "r"))).alias("g")))
+    runs = settle(runs.join(broadcast_if_small(wanted.select("g").distinct()), "g", "left_semi").distinct())
     known = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     anchor = wanted.join(known, "g", "left").groupBy("short").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count_if(F.col("n").isNull()).alias("missing")) \
         .filter("missing = 0").select("short", "g")
@@ -97,8 +106,41 @@ def _score() -> Column:
 
 def _left_out(c: str) -> Column:
     """The text itself and all texts with one character left out."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
-    return F.array_distinct(F.concat(F.array(c), cut))
+    return F.array_distinct(F.concat(F.array(F.col(c)), _once(F.col(c), "")))
+
+
+def _once(x: Column, put: str) -> Column:
+    """All texts with one character replaced by ``put``, each once: of equal characters in a row the last is left out; a masked one is
+    not masked again."""
+    places = F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>"))
+    one = F.lit(1)
+    places = F.filter(places, lambda i: F.substr(x, i, one) != (F.lit(put) if put else F.substr(x, i + 1, one)))
+    return F.transform(places, lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.lit(put), F.substr(x, i + 1)))
+
+
+def _changed(x: Column, out: int, masked: int) -> Column:
+    """All texts with ``out`` characters left out and ``masked`` others masked."""
+    def step(texts: Column, put: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform(texts, lambda y: _once(y, put))))
+
+    return reduce(step, [""] * out + [MASK] * masked, F.array(x))
+
+
+def _near_edits(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """(t, f) that may be one edit apart. One half of the name then stands at the beginning or end of the text: only names that share
+    such a half with some text are written with a character left out."""
+    half = F.expr("CAST(len DIV 2 AS INT)")
+
+    def ends(c: str) -> Column:
+        sides = [F.expr(f"substring({c}, 1, CAST(len DIV 2 AS INT))"), F.right(F.col(c), F.col("len") - half)]
+        return F.explode(F.array(*[F.xxhash64("len", F.lit(i), x) for i, x in enumerate(sides)])).alias("v")
+
+    n = F.length("t")
+    short = asked.filter(n < SHORT).select("t")
+    have = short.withColumn("len", F.explode(F.sequence(F.greatest(n - 1, F.lit(1)), n + 1))).select(ends("t")).distinct()
+    near = named.filter(F.length("f") < SHORT).select("f", F.length("f").alias("len")).select("f", ends("f")).join(
+        broadcast_if_small(have), "v", "left_semi").select("f").distinct()
+    return short.select("t", F.explode(_left_out("t")).alias("v")).join(near.select("f", F.explode(_left_out("f")).alias("v")), "v").select("t", "f")
 
 
 def _piece_bounds() -> tuple[Column, Column]:
@@ -107,21 +149,84 @@ def _piece_bounds() -> tuple[Column, Column]:
     return first, last - first
 
 
-def _far_edits(asked: DataFrame, named: DataFrame) -> DataFrame:
-    """(t, f) that may be two or three edits apart: both of 10 to 19 characters."""
+def _with_pieces(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """Names of 10 to 19 characters with a piece that some asked text has at nearly the same place; texts two or three edits apart
+    share one."""
     first, size = _piece_bounds()
     pieces = F.expr("CAST(len DIV 5 + 1 AS INT)")
+    key = lambda piece: F.xxhash64("len", "i", piece).alias("v")
     mine = named.filter(F.length("f").between(10, SHORT - 1)).select("f", F.length("f").alias("len")).withColumn("p", pieces)
-    mine = mine.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select(
-        "f", "len", "i", F.substr(F.col("f"), first + 1, size).alias("piece"))
+    mine = mine.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("f", key(F.substr(F.col("f"), first + 1, size)))
     n = F.length("t")
-    theirs = asked.filter(n.between(10, SHORT - 1)).select("t", F.explode(F.sequence(F.greatest(F.lit(10), n - 3), F.least(F.lit(SHORT - 1), n + 3))).alias("len"))
+    theirs = asked.select("t", F.explode(F.sequence(F.greatest(F.lit(10), n - 3), F.least(F.lit(SHORT - 1), n + 3))).alias("len"))
     theirs = theirs.withColumn("p", pieces).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     theirs = theirs.withColumn("first", first).withColumn("size", size).withColumn("at", F.explode(F.sequence(F.col("first") - 3, F.col("first") + 3)))
     theirs = theirs.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n)).select(
-        "t", "len", "i", F.substr(F.col("t"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    pairs = theirs.join(mine, ["len", "i", "piece"]).filter(F.levenshtein("t", "f", 3).between(0, 3))
-    return pairs.select("t", "f").distinct()
+        "len", "i", key(F.substr(F.col("t"), F.col("at") + 1, F.col("size")))).select("v").distinct()
+    return mine.join(broadcast_if_small(theirs), "v", "left_semi").select("f").distinct()
+
+
+def _far_edits(asked: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
+    """(t, f) that may be two or three edits apart: both of 10 to 19 characters.
+
+    A name is cut in halves; three edits leave one half with one edit at most: a character replaced (masked on both sides),
+    or left out on one side. Such halves are keys. A key that many texts and many names share ("Customer " before a number) is
+    made finer by the edits that are left for the other half, so that pairs meet there only if the edits suffice.
+    """
+    n, h, k = F.length("t"), F.expr("CAST(len DIV 2 AS INT)"), F.expr("CAST(least(len, length(t)) DIV 5 AS INT)")
+    tasks = 4 * asked.sparkSession.sparkContext.defaultParallelism  # few bytes, but many keys are made of each text
+    asked = settle(asked.filter(n.between(10, SHORT - 1)).select("t").repartition(tasks))
+    mine = settle(_with_pieces(asked, named).repartition(tasks))
+    lengths = F.broadcast(mine.select(F.length("f").alias("len")).distinct())  # ten at most
+
+    def kinds(how) -> Column:
+        """Rows (kind, v): 0 the first half as it is, 1 masked, 2 the name's half, 3 the text's half less one character; 4 to 7 the second half."""
+        def part(kind: int) -> Column:
+            return F.transform(how(kind), lambda v: F.struct(F.lit(kind).alias("kind"), F.xxhash64("len", F.lit(kind), v).alias("v")))
+
+        return F.inline(F.concat(*map(part, range(8))))
+
+    def of_text(kind: int) -> Column:
+        x = F.left(F.col("t"), h + MOVED[kind]) if kind < 4 else F.right(F.col("t"), F.col("len") - h + MOVED[kind % 4])
+        return _once(x, MASK) if kind % 4 == 1 else _once(x, "") if kind % 4 == 3 else F.array(x)
+
+    def of_name(kind: int) -> Column:
+        x = F.left(F.col("f"), h) if kind < 4 else F.right(F.col("f"), F.col("len") - h)
+        return _once(x, MASK) if kind % 4 == 1 else _once(x, "") if kind % 4 == 2 else F.array(x)
+
+    theirs = settle(asked.join(lengths, F.abs(F.col("len") - n) <= k).select("t", "len", kinds(of_text)))
+    keys = theirs.groupBy("v", "len", "kind").agg(F.count(F.lit(1)).alias("nt"))
+    ours = settle(mine.withColumn("len", F.length("f")).select("f", "len", kinds(of_name)).join(
+        broadcast_if_small(theirs.select("v").distinct()), "v", "left_semi"))
+    busy = ours.groupBy("v").agg(F.count(F.lit(1)).alias("nf")).join(keys, "v").filter(F.col("nt") * F.col("nf") > hot)
+    busy = broadcast_if_small(busy.select("v", "len", "kind"))
+    within = F.levenshtein("t", "f", 3).between(0, 3)
+    on = ["v", "len", "kind"]
+    calm = theirs.join(busy, on, "left_anti").select("v", "t").join(ours.select("v", "f"), "v").filter(within).select("t", "f")
+
+    # Of the edits left, i characters stand in the name only, d in the text only and s are replaced.
+    first = F.col("kind") < 4
+    moved = F.element_at(F.array(*map(F.lit, MOVED)), F.col("kind") % 4 + 1)
+    text_rest = F.when(first, F.right(F.col("t"), n - h - moved)).otherwise(F.left(F.col("t"), n - F.col("len") + h - moved))
+    name_rest = F.when(first, F.right(F.col("f"), F.col("len") - h)).otherwise(F.left(F.col("f"), h))
+    left_, more = k - (F.col("kind") % 4 > 0).cast("int"), F.when(first, F.col("len") - h).otherwise(h) - F.length("rest")
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d in range(4) for s in range(4 - d)])
+    asked_rest = theirs.join(busy, on, "left_semi").withColumn("rest", text_rest).withColumn("more", more.cast("int")).withColumn("left_", left_) \
+        .select("*", F.inline(steps)).withColumn("i", F.col("d") + F.col("more")).filter((F.col("i") >= 0) & (F.col("i") + F.col("d") + F.col("s") <= F.col("left_")))
+
+    def spelt(out: str) -> Column:
+        made = F.array().cast("array<string>")
+        for a in range(4):
+            for b in range(4 - a):
+                made = F.when((F.col(out) == a) & (F.col("s") == b), _changed(F.col("rest"), a, b)).otherwise(made)
+        return F.explode(made).alias("x")
+
+    finer = F.xxhash64("v", "i", "s", "x").alias("z")
+    wanted = F.broadcast(asked_rest.select("len", "kind", "i", "s").distinct())  # some hundreds at most
+    left = asked_rest.select("t", "v", "i", "s", spelt("d")).select("t", finer)
+    right = ours.join(busy, on, "left_semi").withColumn("rest", name_rest).join(wanted, ["len", "kind"]).select("f", "v", "i", "s", spelt("i")).select("f", finer)
+    crowded = left.join(right.hint("merge"), "z").filter(within).select("t", "f")
+    return calm.unionByName(crowded).distinct()
 
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:
@@ -139,7 +244,7 @@ def similar_names(targets: DataFrame, names: DataFrame, limit: int = 5, rare: in
     texts = settle(asked.select("t").distinct().withColumn("tw", _words("t")))
     index = names.select("name").filter(F.col("name").isNotNull()).distinct().withColumn("low", F.lower("name"))
     index = settle(index.withColumn("f", F.lower(F.element_at(F.split("name", "/"), -1))).filter("f != ''").withColumn("fws", _words("f")))
-    plain = index.select("f").distinct()
+    plain = settle(index.select("f").distinct())
 
     word_rows = index.select("name", "low", F.explode(F.array_distinct("fws")).alias("fw"))
     sizes = word_rows.groupBy("fw").agg(F.count(F.lit(1)).alias("n"))
@@ -149,19 +254,21 @@ def similar_names(targets: DataFrame, names: DataFrame, limit: int = 5, rare: in
     matches = matches.join(load, "w")
     few = asked_rows.join(matches.filter("NOT common"), "w").join(word_rows, "fw").select("t", "name")
     # Common words: the first names of each, and names that two of them match.
-    many = settle(matches.filter("common").join(word_rows, "fw").select("w", "name", "low").distinct())
+    shared = broadcast_if_small(matches.filter("common").select("w", "fw"))
+    many = word_rows.join(shared, "fw").select("w", "name", "low")
     leading = many.withColumn("k", F.dense_rank().over(W.partitionBy("w").orderBy("low"))).filter(F.col("k") <= limit + 1)
-    leading = asked_rows.join(leading, "w").select("t", "name")
+    leading = asked_rows.join(leading.distinct(), "w").select("t", "name")
     pair = F.expr("flatten(transform(ws, (a, i) -> transform(slice(ws, i + 2, size(ws)), b -> named_struct('a', a, 'b', b))))")
     common_rows = asked_rows.join(load.filter("common"), "w")
-    asked_pairs = common_rows.groupBy("t").agg(F.sort_array(F.collect_set("w")).alias("ws")).select("t", F.explode(pair).alias("ab"))
-    named_pairs = many.groupBy("name").agg(F.sort_array(F.collect_set("w")).alias("ws")).select("name", F.explode(pair).alias("ab"))
+    asked_pairs = settle(common_rows.groupBy("t").agg(F.sort_array(F.collect_set("w")).alias("ws")).select("t", F.explode(pair).alias("ab")))
+    paired = asked_pairs.select(F.explode(F.array("ab.a", "ab.b")).alias("w")).distinct()
+    named_pairs = many.join(broadcast_if_small(paired), "w", "left_semi").groupBy("name").agg(
+        F.sort_array(F.collect_set("w")).alias("ws")).select("name", F.explode(pair).alias("ab"))
     twice = asked_pairs.join(named_pairs, "ab").select("t", "name")
 
     holding = held_in(texts.select(F.col("t").alias("short")), plain.select(F.col("f").alias("long"))).select(F.col("short").alias("t"), F.col("long").alias("f"))
     held = held_in(plain.select(F.col("f").alias("short")), texts.select(F.col("t").alias("long"))).select(F.col("long").alias("t"), F.col("short").alias("f"))
-    near = texts.filter(F.length("t") < SHORT).select("t", F.explode(_left_out("t")).alias("v")).join(
-        plain.filter(F.length("f") < SHORT).select("f", F.explode(_left_out("f")).alias("v")), "v").select("t", "f")
+    near = _near_edits(texts, plain)
     by_text = holding.unionByName(held).unionByName(near).distinct()
 
     def scored(pairs: DataFrame) -> DataFrame:

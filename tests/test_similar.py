@@ -87,6 +87,28 @@ def test_held_texts(spark):
         ("abcd", "abcde"), ("abcd", "abcd"), ("abcd", "xabcdx"), ("bcde", "abcde")}
 
 
+@pytest.mark.parametrize("hot", [0, 30, 10_000])
+def test_far_edits_are_found_by_halves_and_busy_halves_by_the_edits_left(spark, hot):
+    from notegrid.operators.similar import _far_edits, _near_edits
+    rng = random.Random(hot)
+
+    def bent(s):
+        s = list(s)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(s) + 1)
+            s[k:k + rng.randrange(2)] = rng.choice(["", "x", "0", "1"])
+        return "".join(s)
+    names = sorted({f"{x} {k:0{d}d}" for x, d in (("supplier", 9), ("order", 5), ("customer", 9)) for k in range(60)})
+    texts = sorted({bent(n.replace("pp", "p")) for n in names})
+    got = {(r.t, r.f) for r in _far_edits(spark.createDataFrame([(t,) for t in texts], "t string"),
+                                          spark.createDataFrame([(n,) for n in names], "f string"), hot).collect()}
+    size = lambda t, f: edits(t, f) if 10 <= len(t) < 20 and 10 <= len(f) < 20 else 99
+    assert got >= {(t, f) for t in texts for f in names if size(t, f) <= min(len(t), len(f)) // 5}
+    assert all(size(t, f) <= 3 for t, f in got)
+    near = _near_edits(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(n,) for n in names], "f string"))
+    assert {tuple(r) for r in near.collect()} >= {(t, f) for t in texts for f in names if edits(t, f) <= 1 and max(len(t), len(f)) < 20}
+
+
 def test_lookup_or_suggest(spark):
     notes = spark.createDataFrame([("A/Garden.md", "Garden"), ("B/Garden.md", "Garden"), ("A/Gate.md", "Gate")], "path string, name string")
     aliases = spark.createDataFrame([("A/Gate.md", "Door")], "path string, alias string")
