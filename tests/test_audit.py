@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from notegrid.operators.rules import validate_rows
 from notegrid.plans.audit import audit, is_root
 from notegrid.types import compile_types
 
@@ -49,7 +50,6 @@ def test_all_codes_in_one_run(notes_of, spark):
 
 def test_rules_are_compiled_and_headers_read_again_only_for_keys_in_doubt(notes_of):
     from notegrid.operators import rules as Q
-    from notegrid.types import compile_types
     schema = compile_types({"types": {"task": {"output_dir": "T", "fields": {"status": {"kind": "text", "required": True}, "due": {"kind": "text"}}}}})
     notes = notes_of({"T/a": {"type": "task", "status": "", "Status": "x"}, "T/b": {"type": "task", "status": "y", "Status": "x"},
                       "T/c": {"type": "task", "Due": "x", "due": " "}, "T/d": {"type": "task", "dues": [], "due": "x"}})
@@ -60,3 +60,30 @@ def test_rules_are_compiled_and_headers_read_again_only_for_keys_in_doubt(notes_
         ("T/c", "frontmatter-key-casing", "Due", True), ("T/c", "unknown-field", "Due", True), ("T/d", "unknown-field", "dues", False)]
     plan = Q.field_issues(notes, schema, ["empty-string-required", "invalid-boolean-coercion"])._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_validate_rows_is_the_write_time_check(spark, notes_of):
+    schema = compile_types({"types": {
+        "area": {"output_dir": "Areas"}, "person": {"output_dir": "People"},
+        "task": {"output_dir": "Tasks", "fields": {
+            "status": {"kind": "select", "required": True, "options": ["open", "done"], "default": "open"},
+            "size": {"kind": "number"}, "hot": {"kind": "boolean"}, "tags": {"kind": "list"}, "due": {"kind": "date", "required": True},
+            "area": {"kind": "relation", "source": ["area"]}, "people": {"kind": "relation", "source": ["person"], "multiple": True}}}}})
+    task = lambda **f: {"type": "task", "due": "2024-01-15", **f}
+    notes = notes_of({
+        "Areas/Home": {"type": "area"}, "Areas/Twin": {"type": "area"}, "Areas/b/Twin": {"type": "area"}, "People/Ann": {"type": "person"},
+        "Tasks/good": task(status="", size="12 days", hot="false", area="[[home|x]]", people=["[[Ann]]", " ", "[[People/Ann]]", "Bob"]),
+        "Tasks/kinds": task(size=[3], hot="True", tags="solo", status="opne", odd=1),
+        "Tasks/links": task(area="[[Ann]]", people=["[[Ann]]", "[[Nobody]]", "[[Areas/Home]]"]),
+        "Tasks/many": task(area="[[Twin]]"), "Tasks/path": task(area="[[Areas/b/Twin]]"),
+        "Tasks/undated": {"type": "task", "due": " "}, "Tasks/gone": {"type": "task"}})
+    got = {r.path: r for r in validate_rows(notes, schema).collect()}
+    said = {p: sorted((x.code, x.field, x.value) for x in r.problems) for p, r in got.items()}
+    assert got["Tasks/good"].valid and said["Tasks/good"] == [] and said["Tasks/path"] == [] and said["Areas/Home"] == []
+    assert said["Tasks/kinds"] == [("invalid_option_value", "status", "opne"), ("invalid_type", "hot", "True"), ("invalid_type", "size", "[3]"),
+                                   ("invalid_type", "tags", "solo"), ("unknown_field", "odd", "1")]
+    assert (got["Tasks/kinds"].errors, got["Tasks/kinds"].warnings, got["Tasks/kinds"].valid) == (4, 1, False)
+    assert said["Tasks/links"] == [("invalid_context_source", "area", "[[Ann]]"), ("invalid_context_source", "people", "[[Areas/Home]]"),
+                                   ("invalid_context_source", "people", "[[Nobody]]")]
+    assert said["Tasks/many"] == [("invalid_context_source", "area", "[[Twin]]")]
+    assert said["Tasks/undated"] == [("required_field_missing", "due", " ")] and said["Tasks/gone"] == [("required_field_missing", "due", None)]
