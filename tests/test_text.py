@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from notegrid.operators import mentions as M
@@ -204,3 +205,19 @@ def test_code_is_blanked_as_if_the_whole_body_were_cut(spark):
     whole = T._masked(F.col("body"), T.CODE, r"\n|[^\n`]+|`")
     for r in df.select("body", T.code_mask(F.col("body")).alias("m"), whole.alias("w")).collect():
         assert r["m"] == r["w"], r["body"]
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_ambiguous_mentions_list_their_candidates(spark, monkeypatch, limit):
+    monkeypatch.setattr(M, "BROADCAST_BYTES", limit)
+    names = spark.createDataFrame([("a/Ann", "Ann"), ("b/Zoe", "Zoe"), ("b/éva", "éva"), ("c/bob", "bob"), ("d/MAX", "MAX"), ("e/Max", "Max")],
+                                  "path string, name string")
+    aliases = spark.createDataFrame([("b/Zoe", "Zoe", "The Boss"), ("b/éva", "éva", "the boss"), ("c/bob", "bob", "The boss"), ("a/Ann", "Ann", "max")],
+                                    "path string, name string, alias string")
+    notes = spark.createDataFrame([("c/bob", "Ask the boss. We saw Max and Ann and max."), ("x/y", "Ask THE BOSS."), ("a/Ann", "We saw MAX here.")],
+                                  "path string, body string")
+    found = M.mentions(notes, M.surfaces(names, aliases), candidates=True)
+    got = sorted((r.path, r.text, r.tier, r.n_targets, r.candidates) for r in found.collect())
+    assert got == [("a/Ann", "MAX", "exact", 1, None), ("c/bob", "Ann", "exact", 1, None), ("c/bob", "Max", "ambiguous", 2, ["Ann", "Max"]),
+                   ("c/bob", "max", "exact", 1, None), ("c/bob", "the boss", "ambiguous", 2, ["éva", "Zoe"]),
+                   ("x/y", "THE BOSS", "ambiguous", 3, ["bob", "éva", "Zoe"])]
