@@ -172,3 +172,25 @@ def test_plain_headers_read_as_yaml_does():
     for text in ["", "a: x", 'a: "\\n"', 'a: "é"', "a: 012", "a: -0", "a: 1.5", "a: 2024-01-01", "a:", "a: [1]", "  a: 1", "true: 1", "Null: 1", "a: True",
                  'a: "x" ', "a: 1\n", "a: 1\r", "a: 1 # c", "1: 2", "a: 1234567890123456789"]:
         assert read(text) is None, text
+
+
+def test_tasks_list_and_read_notes_as_spark_does(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        folder = tmp_path / f"A{k % 3}" / ("deep" if k % 2 else ".") / "x y"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"Nöte {k}.md").write_text(f"---\ntype: t\nk: {k}\n---\nBody {k}\n" * (k > 0))
+    for name in ("_draft.md", ".hidden.md", "_metadata.md", "_a=b.md", "plain.txt", "Top.md", ".git/in.md", "_old/in.md", "A0/dir.md/in.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    cols = ["path", "name", "folder", "ext", "size", "mtime", "body", "raw", "error"]
+    want = sorted(tuple(r) for r in N.parse_notes(N._listed(spark, str(tmp_path)), str(tmp_path)).select(*cols).collect())
+    monkeypatch.setattr(N, "LIST_ROWS", 4)
+    monkeypatch.setattr(N, "READ_BYTES", 10)
+    monkeypatch.setattr(N, "_listed", None)  # the driver lists nothing
+    for root in (str(tmp_path), f"file:{tmp_path}/"):
+        got = N.read_notes(spark, root)
+        assert sorted(tuple(r) for r in got.select(*cols).collect()) == want and len(want) == 32
+        assert "FileScan" not in got._jdf.queryExecution().toString()
+    assert N.read_notes(spark, str(tmp_path / "A1" / "deep")).count() == 5
+    (tmp_path / "none").mkdir()
+    assert N.read_notes(spark, str(tmp_path / "none")).count() == 0
