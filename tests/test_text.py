@@ -221,3 +221,21 @@ def test_ambiguous_mentions_list_their_candidates(spark, monkeypatch, limit):
     assert got == [("a/Ann", "MAX", "exact", 1, None), ("c/bob", "Ann", "exact", 1, None), ("c/bob", "Max", "ambiguous", 2, ["Ann", "Max"]),
                    ("c/bob", "max", "exact", 1, None), ("c/bob", "the boss", "ambiguous", 2, ["éva", "Zoe"]),
                    ("x/y", "THE BOSS", "ambiguous", 3, ["bob", "éva", "Zoe"])]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_close_pairs_meet_once_where_the_very_edits_fit(spark, k):
+    import random
+    rng = random.Random(k)
+    texts = sorted({"".join(rng.choice("aab\u0001") for _ in range(rng.randrange(1, 8))) for _ in range(90)} | {f"n {i:05d}" for i in range(0, 300, 7)})
+    q, n = spark.createDataFrame([(x, x) for x in texts], "query string, ql string"), spark.createDataFrame([(x, x) for x in texts], "name string, nl string")
+    got = [tuple(r) for r in M._short_pairs(q, n, k).collect()]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    assert len(got) == len(set(got)) and set(got) == {(a, b, edits(a, b)) for a in texts for b in texts if 1 <= edits(a, b) <= k}
