@@ -178,6 +178,7 @@ def _far_edits(asked: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
     asked = settle(asked.filter(n.between(10, SHORT - 1)).select("t").repartition(tasks))
     mine = settle(_with_pieces(asked, named).repartition(tasks))
     lengths = F.broadcast(mine.select(F.length("f").alias("len")).distinct())  # ten at most
+    text, name = (F.translate(F.col(c), MASK, "\u0002") for c in ("t", "f"))  # no text has the mask itself
 
     def kinds(how) -> Column:
         """Rows (kind, v): 0 the first half as it is, 1 masked, 2 the name's half, 3 the text's half less one character; 4 to 7 the second half."""
@@ -187,11 +188,11 @@ def _far_edits(asked: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
         return F.inline(F.concat(*map(part, range(8))))
 
     def of_text(kind: int) -> Column:
-        x = F.left(F.col("t"), h + MOVED[kind]) if kind < 4 else F.right(F.col("t"), F.col("len") - h + MOVED[kind % 4])
+        x = F.left(text, h + MOVED[kind]) if kind < 4 else F.right(text, F.col("len") - h + MOVED[kind % 4])
         return _once(x, MASK) if kind % 4 == 1 else _once(x, "") if kind % 4 == 3 else F.array(x)
 
     def of_name(kind: int) -> Column:
-        x = F.left(F.col("f"), h) if kind < 4 else F.right(F.col("f"), F.col("len") - h)
+        x = F.left(name, h) if kind < 4 else F.right(name, F.col("len") - h)
         return _once(x, MASK) if kind % 4 == 1 else _once(x, "") if kind % 4 == 2 else F.array(x)
 
     theirs = settle(asked.join(lengths, F.abs(F.col("len") - n) <= k).select("t", "len", kinds(of_text)))
@@ -207,8 +208,8 @@ def _far_edits(asked: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
     # Of the edits left, i characters stand in the name only, d in the text only and s are replaced.
     first = F.col("kind") < 4
     moved = F.element_at(F.array(*map(F.lit, MOVED)), F.col("kind") % 4 + 1)
-    text_rest = F.when(first, F.right(F.col("t"), n - h - moved)).otherwise(F.left(F.col("t"), n - F.col("len") + h - moved))
-    name_rest = F.when(first, F.right(F.col("f"), F.col("len") - h)).otherwise(F.left(F.col("f"), h))
+    text_rest = F.when(first, F.right(text, n - h - moved)).otherwise(F.left(text, n - F.col("len") + h - moved))
+    name_rest = F.when(first, F.right(name, F.col("len") - h)).otherwise(F.left(name, h))
     left_, more = k - (F.col("kind") % 4 > 0).cast("int"), F.when(first, F.col("len") - h).otherwise(h) - F.length("rest")
     steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d in range(4) for s in range(4 - d)])
     asked_rest = theirs.join(busy, on, "left_semi").withColumn("rest", text_rest).withColumn("more", more.cast("int")).withColumn("left_", left_) \

@@ -96,9 +96,9 @@ def test_far_edits_are_found_by_halves_and_busy_halves_by_the_edits_left(spark,
         s = list(s)
         for _ in range(rng.randrange(4)):
             k = rng.randrange(len(s) + 1)
-            s[k:k + rng.randrange(2)] = rng.choice(["", "x", "0", "1"])
+            s[k:k + rng.randrange(2)] = rng.choice(["", "x", "0", "1", "\u0001"])
         return "".join(s)
-    names = sorted({f"{x} {k:0{d}d}" for x, d in (("supplier", 9), ("order", 5), ("customer", 9)) for k in range(60)})
+    names = sorted({f"{x} {k:0{d}d}" for x, d in (("supplier", 9), ("order", 5), ("customer\u0001", 8)) for k in range(60)})
     texts = sorted({bent(n.replace("pp", "p")) for n in names})
     got = {(r.t, r.f) for r in _far_edits(spark.createDataFrame([(t,) for t in texts], "t string"),
                                           spark.createDataFrame([(n,) for n in names], "f string"), hot).collect()}
