@@ -119,7 +119,7 @@ def _once(x: Column, put: str) -> Column:
 
 
 def _changed(x: Column, out: int, masked: int) -> Column:
-    """All texts with ``out`` characters left out and ``masked`` others masked."""
+    """All texts with ``out`` characters left out and ``masked`` others masked; ``x`` is worked out once, not for every place."""
     def step(texts: Column, put: str) -> Column:
         return F.array_distinct(F.flatten(F.transform(texts, lambda y: _once(y, put))))
 
@@ -189,11 +189,11 @@ def _far_edits(asked: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
 
     def of_text(kind: int) -> Column:
         x = F.left(text, h + MOVED[kind]) if kind < 4 else F.right(text, F.col("len") - h + MOVED[kind % 4])
-        return _once(x, MASK) if kind % 4 == 1 else _once(x, "") if kind % 4 == 3 else F.array(x)
+        return _changed(x, 0, 1) if kind % 4 == 1 else _changed(x, 1, 0) if kind % 4 == 3 else F.array(x)
 
     def of_name(kind: int) -> Column:
         x = F.left(name, h) if kind < 4 else F.right(name, F.col("len") - h)
-        return _once(x, MASK) if kind % 4 == 1 else _once(x, "") if kind % 4 == 2 else F.array(x)
+        return _changed(x, 0, 1) if kind % 4 == 1 else _changed(x, 1, 0) if kind % 4 == 2 else F.array(x)
 
     theirs = settle(asked.join(lengths, F.abs(F.col("len") - n) <= k).select("t", "len", kinds(of_text)))
     keys = theirs.groupBy("v", "len", "kind").agg(F.count(F.lit(1)).alias("nt"))
